@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .mixing import op2_mixing
 from .pii import op5_pii
 from .simhash import op10_simhash
 from .toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_pii": op5_pii, "op8_bpe": op8_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op5_pii": op5_pii, "op8_bpe": op8_bpe, "op10_simhash": op10_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
