@@ -7,7 +7,9 @@ from .mixing import op2_mixing
 from .pii import op5_pii
 from .simhash import op10_simhash
 from .toxicity import op1_toxicity
+from .warc import ORACLE as WARC_SQL
+from .warc import op6_warc
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op5_pii": op5_pii, "op8_bpe": op8_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op5_pii": op5_pii, "op6_warc": op6_warc, "op8_bpe": op8_bpe, "op10_simhash": op10_simhash}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_warc": WARC_SQL}
