@@ -8,11 +8,14 @@ from .licenses import oracle as licenses_sql
 from .mixing import op2_mixing
 from .pii import op5_pii
 from .quality import op7_quality
+from .sharding import op4_sharding
 from .simhash import op10_simhash
+from .topk import ORACLE as TOPK_SQL
+from .topk import op9_topk
 from .toxicity import op1_toxicity
 from .warc import ORACLE as WARC_SQL
 from .warc import op6_warc
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_licenses": op3_licenses, "op5_pii": op5_pii, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_licenses": op3_licenses, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_simhash": op10_simhash}
 
-ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses_sql(), "op6_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses_sql(), "op6_warc": WARC_SQL, "op9_topk": TOPK_SQL}
