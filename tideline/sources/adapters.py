@@ -54,7 +54,7 @@ VIEWS = {
             CASE user_id % 5 WHEN 0 THEN 'syslog' WHEN 1 THEN 'windows' WHEN 2 THEN 'dns' WHEN 3 THEN 'web' ELSE 'firewall' END AS source_type,
             {_HOST} AS hostname, {_IP} AS source_ip, CAST(user_id AS STRING) AS user_id,
             least(value / 100, 1.0) AS combined_score, least(value / 100, 1.0) AS adjusted_score, least(value / 100, 1.0) AS lgbm_score,
-            (event_id % 100) / 100.0 AS eif_score,
+            (event_id % 100) / CAST(100 AS DOUBLE) AS eif_score,
             CASE WHEN least(value / 100, 1.0) >= 0.9 THEN 'escalate' WHEN least(value / 100, 1.0) >= 0.4 THEN 'monitor' ELSE 'discard' END AS action,
             CASE event_type WHEN 'error' THEN 'credential-access' WHEN 'purchase' THEN 'exfiltration' WHEN 'signup' THEN 'persistence'
                 WHEN 'click' THEN 'discovery' ELSE 'lateral-movement' END AS mitre_tactic
@@ -72,7 +72,7 @@ VIEWS = {
         SELECT 'v' || CAST(n AS STRING) || alert_id AS verification_id, investigation_id, alert_id, seq, n AS version, started_at,
             CASE WHEN (seq + n) % 3 = 0 THEN 'true_positive' WHEN (seq + n) % 3 = 1 THEN 'false_positive' ELSE 'inconclusive' END AS verdict,
             CASE WHEN (seq + n) % 4 = 0 THEN 'P1' WHEN (seq + n) % 4 = 1 THEN 'P2' WHEN (seq + n) % 4 = 2 THEN 'P3' ELSE 'P4' END AS priority,
-            round((seq % 97) / 100.0 + n * 0.01, 2) AS confidence
+            round((seq % 97) / CAST(100 AS DOUBLE) + n / CAST(100 AS DOUBLE), 2) AS confidence
         FROM {investigations}, (SELECT 1 AS n UNION ALL SELECT 2 AS n) versions""",
     "feedback_labels": f"""
         SELECT 'f' || CAST(event_id AS STRING) AS feedback_id, CAST(event_id AS STRING) AS event_id, event_id AS seq, ts AS timestamp, {_HOST} AS hostname,
