@@ -63,7 +63,7 @@ HALF_LIVES = (2.0, 60.0, 600.0)
 
 
 def ewma(df: DataFrame, key: str, error: str, action: str, restart_s: float = 300, ts: str = "timestamp") -> DataFrame:
-    """Decayed event rates at three half-lives, decayed error rate, distinct actions since a restart, acceleration; a row an event.
+    """Decayed event rates at three half-lives, the decayed rate of errors, distinct actions since a restart, acceleration; a row an event.
 
     A gap is 1 ms at least. rate' = rate * 2^(-gap / half-life) + 1; the action window restarts after so many seconds.
     """
@@ -79,29 +79,29 @@ def ewma(df: DataFrame, key: str, error: str, action: str, restart_s: float = 30
     state = f"named_struct('t', x.t, 'r0', {r['r0']}, 'r1', {r['r1']}, 'r2', {r['r2']}, 'err', {err}, 'began', CASE WHEN {fresh} THEN x.t ELSE s.began END, 'acts', {acts}, 'out', {out})"
     folded = rows.withColumn("init", init).select(key, F.expr(f"aggregate(events, init, (s, x) -> {state}).out").alias("o"))
     x = folded.select(key, F.explode("o").alias("x")).select(key, "x.*")
-    return x.select(key, "seq", F.col("r0").alias("rate_fast"), F.col("r1").alias("rate_mid"), F.col("r2").alias("rate_slow"), (F.col("err") / F.col("r1")).alias("error_rate"), F.col("acts").alias("distinct_actions"), (F.col("r0") / F.greatest("r2", F.lit(0.01))).alias("acceleration"))
+    return x.select(key, "seq", F.col("r0").alias("rate_fast"), F.col("r1").alias("rate_mid"), F.col("r2").alias("rate_slow"), F.col("err").alias("error_rate"), F.col("acts").alias("distinct_actions"), (F.col("r0") / F.greatest("r2", F.lit(0.01))).alias("acceleration"))
 
 
-#: Action type (0-11) to kill-chain stage; actions without one don't advance.
-STAGES = {1: 1, 3: 1, 2: 2, 4: 2, 9: 3, 8: 3, 11: 3, 6: 4, 7: 4, 10: 5}
+# Kill-chain stage of each action type (0 info, 1 auth attempt, ... 11 config change).
+STAGES = {0: 0, 1: 1, 2: 2, 3: 1, 4: 3, 5: 0, 6: 0, 7: 1, 8: 4, 9: 3, 10: 5, 11: 4}
 
 
 def kill_chain(df: DataFrame, key: str, gate: float = 0.5, idle_s: float = 3600, ts: str = "timestamp") -> DataFrame:
-    """Stage and velocity after each event: the stage only advances, over the score gate, and resets after idle time.
+    """Stage and velocity after each event: the stage only advances, by rows over the gate, and resets after idle time.
 
-    velocity is 1 / max(mean gap in seconds of the last 5 transitions, 1), once there are two.
+    Idle time runs from the last row over the gate (at first the entity's first row). velocity is 1 / max(mean of the last 5
+    advances' gaps in seconds, 1), once there are two.
     """
     stage = F.coalesce(F.create_map(*[F.lit(v) for kv in STAGES.items() for v in kv])[F.col("action_type")], F.lit(0))
     rows = _fold(df, key, [F.col("adjusted_score").alias("p"), stage.alias("g")], ts)
-    idle = f"(s.t IS NOT NULL AND x.t - s.t > {idle_s}D)"
-    now = f"(CASE WHEN {idle} THEN 0 ELSE s.stage END)"
-    times = f"(CASE WHEN {idle} THEN CAST(array() AS ARRAY<DOUBLE>) ELSE s.times END)"
-    up = f"(x.p >= {gate}D AND x.g > {now})"
-    stage1 = f"(CASE WHEN {up} THEN x.g ELSE {now} END)"
-    times1 = f"(CASE WHEN {up} THEN slice(concat({times}, array(x.t)), greatest(size({times}) - 4, 1), 6) ELSE {times} END)"
-    velocity = f"(CASE WHEN size({times1}) >= 2 THEN 1D / greatest((element_at({times1}, -1) - {times1}[0]) / (size({times1}) - 1), 1D) ELSE 0D END)"
-    state = f"named_struct('t', x.t, 'stage', {stage1}, 'times', {times1}, 'out', concat(s.out, array(named_struct('seq', x.seq, 'stage', {stage1}, 'velocity', {velocity}))))"
-    init = "named_struct('t', CAST(NULL AS DOUBLE), 'stage', 0, 'times', CAST(array() AS ARRAY<DOUBLE>), 'out', CAST(array() AS ARRAY<STRUCT<seq: BIGINT, stage: INT, velocity: DOUBLE>>))"
+    last, none = "coalesce(s.t, x.t)", "CAST(array() AS ARRAY<DOUBLE>)"
+    idle = f"(x.t - {last} > {idle_s}D)"
+    now, gaps = f"(CASE WHEN {idle} THEN 0 ELSE s.stage END)", f"(CASE WHEN {idle} THEN {none} ELSE s.gaps END)"
+    up = f"(x.p > {gate}D AND x.g > {now})"
+    stage1, gaps1 = f"(CASE WHEN {up} THEN x.g ELSE {now} END)", f"(CASE WHEN {up} THEN slice(concat({gaps}, array(x.t - {last})), -least(5, size({gaps}) + 1), 5) ELSE {gaps} END)"
+    velocity = f"(CASE WHEN size({gaps1}) >= 2 THEN 1D / greatest(aggregate({gaps1}, 0D, (a, v) -> a + v) / size({gaps1}), 1D) ELSE 0D END)"
+    state = f"named_struct('t', CASE WHEN x.p > {gate}D THEN x.t ELSE {last} END, 'stage', {stage1}, 'gaps', {gaps1}, 'out', concat(s.out, array(named_struct('seq', x.seq, 'stage', {stage1}, 'velocity', {velocity}))))"
+    init = f"named_struct('t', CAST(NULL AS DOUBLE), 'stage', 0, 'gaps', {none}, 'out', CAST(array() AS ARRAY<STRUCT<seq: BIGINT, stage: INT, velocity: DOUBLE>>))"
     return rows.select(key, F.explode(F.expr(f"aggregate(events, {init}, (s, x) -> {state}).out")).alias("x")).select(key, "x.*")
 
 

@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import join_queries, report_queries, rollup_queries
+from . import join_queries, report_queries, rollup_queries, score_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "join_queries", "report_queries", "rollup_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "join_queries", "report_queries", "rollup_queries", "score_queries"]

@@ -101,7 +101,7 @@ VIEWS = {
         SELECT doc_id, lang, source, n_chars / CAST((SELECT max(n_chars) FROM {documents}) AS DOUBLE) AS score, toxic AS label
         FROM {documents} JOIN {labels} USING (doc_id)""",
 }
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
