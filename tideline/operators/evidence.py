@@ -42,8 +42,8 @@ def merkle_roots(leaves: DataFrame, batch: str, order: str, rounds: int | None =
     for r in range(deepest):
         # A batch that is done keeps its root; others halve.
         done = F.col("depth") <= r
-        up = level.groupBy(batch, "depth", F.floor(F.col("i") / 2).alias("j")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"))
-        level = up.select(batch, "depth", F.col("j").alias("i"), F.when(done, F.col("a")).otherwise(F.sha2(F.concat("a", "b"), 256)).alias("h"))
+        up = level.groupBy(batch, "depth", F.floor(F.col("i") / 2).alias("j")).agg(F.min_by("h", "i").alias("__l"), F.max_by("h", "i").alias("__r"))
+        level = up.select(batch, "depth", F.col("j").alias("i"), F.when(done, F.col("__l")).otherwise(F.sha2(F.concat("__l", "__r"), 256)).alias("h"))
     return level.join(sizes.select(batch, "n"), batch).select(batch, F.col("h").alias("merkle_root"), F.col("depth").alias("merkle_depth"), F.col("n").alias("event_count"))
 
 

@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 TOPICS = ("raw-logs", "security-events", "process-events", "network-events")
 _S = T.StringType()
 
-#: The permissive read schema: every alias of every field that normalisation looks at.
+#: The permissive read schema: every alias of every field that normalisation looks at. Names that differ in case alone are one.
 EVENT = T.StructType(
     [T.StructField(n, _S) for n in """event_id timestamp time ts level severity priority message msg hostname host container_name _HOSTNAME source source_type appname
     _SYSTEMD_UNIT unit user_id user username ip_address src_ip source_ip dst_ip dest_ip src_port dst_port protocol proto bytes_sent bytes_received duration_ms direction
-    dns_query pid PID _PID ppid uid gid exit_code binary_path exe arguments cwd syscall container_id pod_name namespace is_suspicious detection_rule category
-    description mitre_tactic mitre_technique attack_cat attack_type Label label event_type log_type request_id geo_country metadata""".split()]
+    dns_query pid _PID ppid uid gid exit_code binary_path exe arguments cwd syscall container_id pod_name namespace is_suspicious detection_rule category
+    description mitre_tactic mitre_technique attack_cat attack_type label event_type log_type request_id geo_country metadata""".split()]
 )
 
 
