@@ -22,8 +22,9 @@ EVENT = T.StructType(
 
 def read_events(spark: SparkSession, path: str, stream: bool = False, schema: T.StructType = EVENT) -> DataFrame:
     """NDJSON, one event a line; a malformed line is kept whole in _corrupt."""
-    reader = (spark.readStream if stream else spark.read).schema(T.StructType([*schema.fields, T.StructField("_corrupt", _S)]))
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    lines = (spark.readStream if stream else spark.read).text(path).filter(F.trim("value") != "")
+    kept = T.StructType([*schema.fields, T.StructField("_corrupt", _S)])
+    return lines.select(F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e")).select("e.*")
 
 
 def read_syslog(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
