@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -26,28 +27,28 @@ QUERY_BYTES = 400_000
 CACHE_PIECES = 250_000
 LONG = 200
 
-# One round of a word: neighbours join the merge table, z is its least (rank, position), and that pair becomes one token.
-# Rows are kept by (word, position); the second token of a pair stays as a null. Words without a pair leave the recursion.
+# One round: a row for each token and its neighbour joins the merge table, z is a word's least (rank, position), and that pair
+# becomes one token. A word's row, its tokens in order, is replaced; words without a pair leave the recursion.
 ENCODE = """
-WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
-    SELECT w, p, t FROM start
+WITH RECURSIVE words(w, x) USING KEY (w) AS (
+    SELECT w, x FROM start
     UNION ALL
-    SELECT w, p, CASE WHEN p = z & 4294967295 THEN (z >> 32)::INT WHEN before = z & 4294967295 THEN NULL ELSE t END
-    FROM (
-        WITH pairs AS MATERIALIZED (
-            SELECT *, lead(t) OVER o AS n, lag(p) OVER o AS before FROM s WHERE t IS NOT NULL WINDOW o AS (PARTITION BY w ORDER BY p))
-        SELECT pairs.*, z
-        FROM pairs JOIN (SELECT w, min(c::BIGINT << 32 | p) AS z FROM pairs JOIN merges ON t = a AND n = b GROUP BY w) USING (w)
-    )
-)
+    SELECT w, x[:(z & 4294967295) - 1] || [(z >> 32)::INT] || x[(z & 4294967295) + 2:]
+    FROM words JOIN (
+        SELECT w, min(c::BIGINT << 32 | p) AS z
+        FROM (SELECT w, unnest(x[:-2]) AS t, unnest(x[2:]) AS n, unnest(range(1, len(x))) AS p FROM words WHERE len(x) > 1)
+        JOIN merges ON (t::BIGINT << 32 | n) = pair
+        GROUP BY w) USING (w)
+),
+s AS (SELECT w, unnest(x) AS t, unnest(range(len(x))) AS p FROM words)
 """
 
-# The same for long words, whose rounds would be as many as their tokens: all matches of the least rank at once. They
+# For long words, whose rounds would be as many as their tokens: a row a token, all matches of the least rank at once. They
 # overlap only in runs of one token, where the 1st, 3rd, ... are taken. Where a new token could pair at a lower rank (alone), only the
 # leftmost is taken. r numbers a word's tokens, q is the last non-match before a token, f the first match before it.
 ENCODE_LONG = """
 WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
-    SELECT w, p, t FROM start
+    SELECT w, unnest(range(len(x))), unnest(x) FROM start
     UNION ALL
     SELECT w, p, CASE
         WHEN c = z AND (r - q) % 2 = 1 AND (z % 2 = 0 OR f IS NULL) THEN (z // 2)::INT
@@ -57,7 +58,7 @@ WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
         FROM (
             SELECT y.*, m.c * 2 + m.alone AS c, min(m.c * 2 + m.alone) OVER (PARTITION BY w) AS z, lag(m.c * 2 + m.alone) OVER (PARTITION BY w ORDER BY p) AS before
             FROM (SELECT *, lead(t) OVER o AS n, row_number() OVER o AS r FROM s WHERE t IS NOT NULL WINDOW o AS (PARTITION BY w ORDER BY p)) y
-            LEFT JOIN merges m ON y.t = m.a AND y.n = m.b
+            LEFT JOIN merges m ON (y.t::BIGINT << 32 | y.n) = m.pair
         )
         WHERE z IS NOT NULL
         WINDOW x AS (PARTITION BY w ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
@@ -66,7 +67,7 @@ WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
 """
 
 DECODE = """
-SELECT w, list(t ORDER BY p) AS ids, string_agg(h, '' ORDER BY p) AS decoded
+SELECT w, list(t ORDER BY p) AS ids, unhex(string_agg(h, '' ORDER BY p)) AS decoded
 FROM s JOIN tokens USING (t) WHERE t IS NOT NULL GROUP BY w
 """
 
@@ -81,13 +82,13 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern, self.cache = ranks, regex.compile(pattern), {}
-        self.base = [ranks[bytes([i])] for i in range(256)]
+        self.base = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         splits = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         a, b, c = zip(*splits)
         # Tokens that pair at a lower rank than their own.
         early = {x for *parts, k in splits for x in parts if k < x}
-        self._load("merges", {"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "c": pa.array(c, pa.int32()), "alone": pa.array([int(k in early) for k in c], pa.int32())})
+        self._load("merges", {"pair": pa.array([x << 32 | y for x, y in zip(a, b)], pa.int64()), "c": pa.array(c, pa.int32()), "alone": pa.array([int(k in early) for k in c], pa.int32())})
         self._load("tokens", {"t": pa.array(ranks.values(), pa.int32()), "h": pa.array([t.hex() for t in ranks])})
 
     def _load(self, name: str, columns: dict[str, pa.Array]) -> None:
@@ -95,16 +96,18 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def merge(self, pieces: list[bytes]) -> Iterator[tuple[int, list[int], bytes]]:
-        """Index, ids and decoded bytes of each piece, by the recursive query."""
-        lengths = [len(x) for x in pieces]
-        w = [i for i, n in enumerate(lengths) for _ in range(n)]
-        p = [j for n in lengths for j in range(n)]
-        t = [self.base[c] for x in pieces for c in x]
-        self._load("start", {"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(t, pa.int32())})
-        how = ENCODE_LONG if max(lengths) > LONG else ENCODE
-        for i, ids, decoded in self.db.execute(how + DECODE).fetchall():
-            yield i, ids, bytes.fromhex(decoded)
+    def merge(self, pieces: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
+        """Index, little-endian ids and decoded bytes of each piece, by the recursive query."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        tokens = self.base[np.frombuffer(b"".join(pieces), np.uint8)]
+        ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        self._load("start", {"w": pa.array(np.arange(len(pieces), dtype=np.int32)), "x": pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))})
+        how = ENCODE_LONG if lengths.max() > LONG else ENCODE
+        for part in self.db.sql(how + DECODE).to_arrow_reader(100_000):
+            ids, decoded = part.column("ids"), part.column("decoded").to_pylist()
+            raw, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
+            for k, i in enumerate(part.column("w").to_pylist()):
+                yield i, raw[ends[k] : ends[k + 1]], decoded[k]
 
     def learn(self, pieces: list[str]) -> None:
         """Puts pieces into the cache as (little-endian ids, decoded bytes)."""
@@ -112,8 +115,8 @@ class Codec:
         for x in [*sorted(pieces, key=len), None]:  # long ones come together
             raw = b"" if x is None else x.encode("utf-8", "replace")
             if batch and (x is None or size + len(raw) > QUERY_BYTES or (len(raw) > LONG) != (len(batch[-1][1]) > LONG)):
-                for i, ids, decoded in self.merge([y for _, y in batch]):
-                    self.cache[batch[i][0]] = b"".join(k.to_bytes(4, "little") for k in ids), decoded
+                for i, *found in self.merge([y for _, y in batch]):
+                    self.cache[batch[i][0]] = found
                 batch, size = [], 0
             if x is None:
                 continue
