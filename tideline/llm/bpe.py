@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Bytes of pieces that one recursive query takes, and bytes that the cache of pieces may hold.
+#: Bytes of pieces that one recursive query takes, pieces that the cache may hold (some 300 bytes each), and bytes from which a piece is long.
 QUERY_BYTES = 400_000
-CACHE_PIECES = 250_000
+CACHE_PIECES = 600_000
 LONG = 200
 
 # One round: a row for each token and its neighbour joins the merge table, z is a word's least (rank, position), and that pair
@@ -131,8 +132,9 @@ class Codec:
         cut = [self.pattern.findall(t or "") for t in texts]
         new = {x: None for pieces in cut for x in pieces if x not in self.cache}
         if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = {x: None for pieces in cut for x in pieces}
+            # the older half goes
+            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))
+            new = {x: None for pieces in cut for x in pieces if x not in self.cache}
         self.learn(list(new))
         for pieces in cut:
             known = [self.cache[x] for x in pieces]
@@ -190,7 +192,7 @@ def decoded(ids: list[int], name: str = "byte_bpe_multi_50k.tiktoken", path: str
     """The bytes of ids, by ordered aggregation over the token table."""
     one = codec(name, path)
     one._load("given_ids", {"p": pa.array(range(len(ids)), pa.int32()), "t": pa.array(ids, pa.int32())})
-    (found,) = one.db.execute("SELECT string_agg(h, '' ORDER BY p) FROM given_ids JOIN tokens USING (t)").fetchone()
+    ((found,),) = one.db.execute("SELECT string_agg(h, '' ORDER BY p) FROM given_ids JOIN tokens USING (t)").fetchall()
     return bytes.fromhex(found or "")
 
 
