@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Bytes of pieces that one recursive query takes, pieces that the cache may hold (some 300 bytes each), and bytes from which a piece is long.
-QUERY_BYTES = 400_000
-CACHE_PIECES = 600_000
+QUERY_BYTES = 300_000
+CACHE_PIECES = 150_000
 LONG = 200
 
 # One round: a row for each token and its neighbour joins the merge table, z is a word's least (rank, position), and that pair

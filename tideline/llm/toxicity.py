@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,7 +82,7 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def fit(bags: list[Counter], labels: np.ndarray, weights: np.ndarray, epochs: int = 10, rate: float = 0.2, batch: int = 64, decay: float = 1e-5, seed: int = 7) -> Model:
+def fit(bags: Iterable[Counter], labels: np.ndarray, weights: np.ndarray, epochs: int = 10, rate: float = 0.2, batch: int = 64, decay: float = 1e-5, seed: int = 7) -> Model:
     """Joint training of vectors and softmax by mini-batch Adagrad on the weighted cross-entropy of mean vectors.
 
     Buckets in fewer than LEAST_DOCS texts keep a zero vector: they tell of one text, not of a class.
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model |
         if rows["toxic"].nunique() < 2:
             return
         rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
-        bags = [Counter(dict(zip(w, n))) for w, n in zip(rows["words"], rows["times"])]
+        bags = (Counter(dict(zip(w, n))) for w, n in zip(rows["words"], rows["times"]))  # one at a time
         y = rows["toxic"].to_numpy(np.int64)
         drawn, of = np.bincount(y, minlength=2), rows.groupby("toxic")["of"].max().reindex([0, 1]).to_numpy(float)
         weights = (of / of.sum() / (drawn / drawn.sum()))[y]
