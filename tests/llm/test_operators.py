@@ -369,6 +369,27 @@ def test_topk_equals_all_products(spark, kind, monkeypatch):
     assert got == brute_topk([(i, np.floor(1024 * x)) for i, x in enumerate(v)], 10, 50)
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_topk_keeps_rows_near_a_dominant_axis(spark, sign, monkeypatch):
+    """The query's largest coordinate is 0.9, the local threshold about 0.75 (from the 20 longest), the best rows lie at the axis."""
+    rng = np.random.default_rng(11)
+    axis = np.eye(8)[2] * sign
+
+    def turned(from_, cosine):
+        x = rng.normal(size=8)
+        x -= from_ * (x @ from_)
+        return cosine * from_ + np.sqrt(1 - cosine**2) * x / np.linalg.norm(x)
+
+    query = turned(axis, 0.9)
+    v = [0.9 * query] + [turned(query, 0.75) for _ in range(20)] + [0.96 * turned(axis, 0.9995) for _ in range(20)]
+    v += [0.96 * x / np.linalg.norm(x) for x in rng.normal(size=(100, 8))]
+    monkeypatch.setattr(topk, "HEAD", 20)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    want = brute_topk([(i, np.floor(1024 * x)) for i, x in enumerate(v)], 10, 1000)
+    assert sum(21 <= i <= 40 for _, _, i, _ in want) == 10
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, 10, 1000).collect()) == want
+
+
 def test_topk_edges(spark):
     schema = "vec_id long, embedding array<double>"
     bad = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, [0.0, 0.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (200, []), (6, [1.0]), (7, [-3.0, 1.0]), (None, [1.0, 1.0]), (8, [1e9, -1e9]), (300, [1e9, 1e9])]

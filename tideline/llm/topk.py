@@ -81,8 +81,11 @@ def pruned(query: np.ndarray, norm: float, rows: np.ndarray, norms: np.ndarray,
     f = int(np.argmax(np.abs(query)))
     unit = query[f] / norm
     spread = np.sqrt(max(0.0, (1 - cosine**2) * (1 - unit**2))) + 1e-9
+    # The axis itself lies within the cone where the query's own coordinate is beyond the threshold: that end is open.
+    low = -1.0 - 1e-9 if unit < -cosine else cosine * unit - spread
+    high = 1.0 + 1e-9 if unit > cosine else cosine * unit + spread
     direction = rows[first:, f] / norms[first:]
-    return first + np.nonzero((direction >= cosine * unit - spread) & (direction <= cosine * unit + spread))[0]
+    return first + np.nonzero((direction >= low) & (direction <= high))[0]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
