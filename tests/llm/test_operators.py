@@ -87,6 +87,21 @@ def test_simhash_edges(spark, edge, nothing):
     assert kept.columns == edge.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7]
 
 
+def test_simhash_keeps_one_of_each_component(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(999)}" for _ in range(80)) for _ in range(5))
+    b2 = b.upper()  # the same fingerprint
+    assert simhash.fingerprint(b) == simhash.fingerprint(b2)
+    rows = [(None, c), (None, d), (None, d), (5, a), (5, b), (3, b2), (None, e), (9, e), (7, c + " x"), (None, None), (None, "")]
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    assert all((fps[i] ^ fps[j]).bit_count() > 2 for i, j in ((0, 1), (0, 3), (3, 4), (1, 6), (3, 9)))
+    near = (fps[0] ^ fps[8]).bit_count() <= 2
+    got = [(r.doc_id, r.text) for r in simhash.kept_documents(docs(spark, rows)).collect()]
+    want = [(None, d), (5, a), (3, b2), (9, e), (7, c + " x")] + ([] if near else [(None, c)])
+    assert sorted(map(repr, (x for x in got if x[1]))) == sorted(map(repr, want))
+    assert len([x for x in got if not x[1]]) == 1
+
+
 def test_fingerprint_by_bits():
     import xxhash
 

@@ -56,8 +56,8 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; texts stay whole."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns to keep, and fp (the fingerprint as a signed long) of every row; texts stay whole."""
 
     @F.pandas_udf("long")
     def fp(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             values = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
             yield pd.Series(values.view(np.int64))
 
-    return docs.select("doc_id", fp(F.col("text").cast("string")).alias("fp"))
+    return docs.select("doc_id", *keep, fp(F.col("text").cast("string")).alias("fp"))
 
 
 def bit_counts(x: Column) -> Column:
@@ -138,6 +138,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def rooted(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """distinct(fp, first) of one row a fingerprint, with root: the least fingerprint of its component."""
+    distinct = written(distinct, "simhash-fps")
+    roots = components(links(distinct.select("fp"), crowd))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs(doc_id, text, ...).
 
@@ -147,10 +154,7 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     only if all of its rows have none. No rows give no rows; further columns are not looked at.
     """
     rows = written(fingerprints(docs), "simhash-rows")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    distinct = written(distinct, "simhash-fps")
-    roots = components(links(distinct.select("fp"), crowd))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), crowd)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     # By fingerprint: copies may be a third of all rows, so a name goes to 16 salts and the rows to one of them each.
     names = named.join(least, "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
@@ -159,11 +163,21 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; of rows that repeat a doc_id, one."""
-    found = near_duplicates(docs, crowd)
-    ids = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.alias("d").join(ids.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each component: the least by doc_id (nulls last), fingerprint and a digest of id and text.
+
+    A component goes by its root fingerprint, so unlike texts stay apart where they share a doc_id or have none. Of rows that
+    repeat both doc_id and text, one.
+    """
+    name, text = F.col("doc_id").cast("string"), F.col("text").cast("string")
+    size = F.coalesce(F.length(name).cast("string"), F.lit("-"))
+    key = F.sha2(F.concat(size, F.lit(":"), F.coalesce(name, F.lit("")), F.coalesce(F.concat(F.lit("="), text), F.lit("-"))), 256)
+    keyed = docs.withColumn("__row_key", key)
+    rows = written(fingerprints(keyed, "__row_key"), "simhash-rows")
+    # Copies may be a third of all rows: each least is a partial aggregate, first of a fingerprint, then of a root.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "__row_key"))
+    least = rooted(rows.groupBy("fp").agg(first.alias("first")), crowd).groupBy("root").agg(F.min("first").alias("first"))
+    kept = keyed.dropDuplicates(["__row_key"]).join(least.select("first.__row_key"), "__row_key", "left_semi")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
