@@ -176,6 +176,30 @@ def test_pii_leaves_what_does_not_validate():
         assert pii.replaced(text) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("text", "value", "kind"),
+    [
+        ("card 4111111111111111 7 items", "4111111111111111", "card"), ("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"), ("4111111111111111 12/27", "4111111111111111", "card"), ("5 4111111111111111", "4111111111111111", "card"),
+        ("4111-1111-1111-1111-123", "4111-1111-1111-1111", "card"), ("ES91 2100 0418 4502 0005 1332 2024", "ES91 2100 0418 4502 0005 1332", "iban"), ("XX12 GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32", "iban"),
+        ("at 2024-01-15T10:00:00Z", "2024-01-15", "date"), ("at 2024-01-15T10:00:00.5+00:00", "2024-01-15", "date"),
+        ('token="' + "a1B2" * 75 + '"', '"' + "a1B2" * 75 + '"', "secret"), ("token=" + "a1B2" * 75, "a1B2" * 75, "secret"), ("api_key: " + "0af9" * 5000, "0af9" * 5000, "secret"),
+    ],
+)
+def test_pii_finds_values_within_and_long_ones(text, value, kind):
+    assert [(text[a:b], k) for a, b, k, _ in pii.find(text)] == [(value, kind)]
+    new, ((start, end, _),) = pii.replaced(text)
+    at = text.index(value)
+    assert (new[:start], new[end:]) == (text[:at], text[at + len(value) :]) and new[start:end] != value
+    assert re.sub("[a-zA-Z]", "a", re.sub(r"\d", "0", new[start:end])) == re.sub("[a-zA-Z]", "a", re.sub(r"\d", "0", value)) or kind == "secret"
+    assert len(new) == len(text)
+
+
+def test_long_secrets_keep_apart():
+    values = ["a1B2" * 100, "a1B2" * 100 + "c", "a1B2" * 99 + "a1B3", "b1B2" + "a1B2" * 99, "a1B2" * 64]
+    new = [pii.replaced(f"token={v}")[0] for v in values]
+    assert len(set(new)) == len(values) and len({n[: 6 + 256] for n in new[1:]}) > 2 and [len(n) for n in new] == [6 + len(v) for v in values]
+
+
 def test_pii_links_and_places(spark, edge, nothing):
     a, b = pii.replaced("call 017-555-7713, card 4417 7442 8035 1547")[0], pii.replaced("card 4417744280351547 or +1 (017) 555-7713")[0]
     digits = lambda s: re.sub(r"\D", "", s)

@@ -24,19 +24,26 @@ from .common import table
 
 KEY = b"tideline-pseudonyms"  # a deployment passes its own
 ROUNDS = 10
+#: Characters of a secret that are permuted as one number; longer values aren't cached either.
+LONG = 256
 
 MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?=[A-Za-z0-9])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b(\s{0,3}[:=]\s{0,3})(\"[^\"\s]{8,256}\"|'[^'\s]{8,256}'|[A-Za-z0-9+/_=-]{16,256})")
-NUMBER = re.compile(
-    r"(?<![\w.+-])(?:"
-    r"(?P<date>\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})"
-    r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
-    r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})"
-    r")(?![\w]|[.-]\d)"
-)
+SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b(\s{0,3}[:=]\s{0,3})(\"[^\"\s]{8,}\"|'[^'\s]{8,}'|[A-Za-z0-9+/_=-]{16,})")
+KINDS = {
+    "date": r"\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}",
+    "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}",
+    "card": r"\d(?:[ -]?\d){12,18}",
+}
+_END = r"(?![\w]|[.-]\d)"
+#: What may follow a value; a date may also be followed by T and a time.
+ENDS = {kind: rf"(?:(?=[Tt]\d\d)|{_END})" if kind == "date" else _END for kind in KINDS}
+NUMBER = re.compile(r"(?<![\w.+-])(?:" + "|".join(f"(?P<{kind}>{p}){ENDS[kind]}" for kind, p in KINDS.items()) + ")")
+#: Kinds alone, for the shorter ends of a match that doesn't validate; and where those may be.
+ALONE = {kind: (re.compile(f"(?:{p}){ENDS[kind]}"), re.compile(p), re.compile(ENDS[kind])) for kind, p in KINDS.items()}
+SEPARATOR = re.compile(r"[^\w()]")
 #: Where NUMBER may begin; a text without these is not searched for numbers.
 DIGIT = re.compile(r"\d")
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
@@ -170,6 +177,21 @@ def _date(text: str, key: bytes) -> str | None:
     return None
 
 
+def _secret(text: str, key: bytes) -> str:
+    """Hex digits, or letters and digits within their classes; of more than LONG characters by blocks, each keyed by all before it."""
+    hexed, out, seen = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text), [], hashlib.blake2b()
+    for at in range(0, len(text), LONG):
+        part = text[at : at + LONG]
+        place = f"|{len(text)}|{seen.copy().hexdigest()}" if len(text) > LONG else ""
+        if hexed:
+            new = f"{permuted(int(part, 16), 16 ** len(part), key, 'hex' + place):0{len(part)}x}"
+            out.append(new.upper() if text.isupper() else new)
+        else:
+            out.append(_characters(part, key, "secret" + place))
+        seen.update(part.encode("utf-8", "surrogatepass"))
+    return "".join(out)
+
+
 _HOW = {"card": _card, "ip": _ip, "phone": _phone, "ssn": _ssn, "iban": _iban, "date": _date}
 
 
@@ -183,30 +205,48 @@ def pseudonym(kind: str, value: str, key: bytes = KEY) -> str | None:
         inner = value[1:-1] if value[0] in "\"'" else value
         if not any(c.isdigit() for c in inner):
             return None
-        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", inner):
-            new = f"{permuted(int(inner, 16), 16 ** len(inner), key, 'hex'):0{len(inner)}x}"
-            new = new.upper() if inner.isupper() else new
-        else:
-            new = _characters(inner, key, "secret")
+        new = _secret(inner, key)
         return value.replace(inner, new)
     return _HOW[kind](value, key)
 
 
+def _first_valid(text: str, start: int, key: bytes) -> tuple[int, str, str] | None:
+    """End, kind and pseudonym of the longest value at start that validates, at the kinds' own ends or at separators within them."""
+    tries = []
+    for order, (kind, (ended, bare, end)) in enumerate(ALONE.items()):
+        m = ended.match(text, start)
+        if m:
+            # A card's digits are checked: it may end before a hyphen and more digits, as other kinds may not.
+            inner = (s.start() for s in SEPARATOR.finditer(text, start + 1, m.end()))
+            tries += [(-m.end(), order, kind)] + [(-e, order, kind) for e in inner if (kind == "card" or end.match(text, e)) and bare.fullmatch(text, start, e)]
+    for e, _, kind in sorted(tries):
+        if new := pseudonym(kind, text[start:-e], key):
+            return -e, kind, new
+    return None
+
+
 def find(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
-    """Start, end, kind and pseudonym of each validated value of a text, in order and without overlap."""
+    """Start, end, kind and pseudonym of each validated value of a text, in order and without overlap.
+
+    Where a match as a whole doesn't validate, its shorter ends are tried, then the search resumes within it.
+    """
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "mail", pseudonym("mail", m[0], key)) for m in MAIL.finditer(text)]
     if DIGIT.search(text):
-        found += [(*m.span(2), "secret", new) for m in SECRET.finditer(text) if (new := pseudonym("secret", m[2], key))]
+        secret = lambda value: (pseudonym if len(value) <= LONG else pseudonym.__wrapped__)("secret", value, key)
+        found += [(*m.span(2), "secret", new) for m in SECRET.finditer(text) if (new := secret(m[2]))]
         at = 0
         while m := NUMBER.search(text, at):
-            new = pseudonym(m.lastgroup if m.lastgroup in _HOW else "date", m[0], key)
-            if new is None and m.lastgroup == "phone" and (new := pseudonym("card", m[0], key)):
-                found.append((m.start(), m.end(), "card", new))
-            elif new is not None:
-                found.append((m.start(), m.end(), "date" if m.lastgroup not in _HOW else m.lastgroup, new))
+            kind = next(k for k in KINDS if m[k] is not None)
+            new = pseudonym(kind, m[0], key)
             at = m.end()
+            if new is None and (valid := _first_valid(text, m.start(), key)):
+                at, kind, new = valid
+            if new is None:
+                at = m.start() + 1
+            else:
+                found.append((m.start(), at, kind, new))
     out, end = [], 0
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
