@@ -306,6 +306,25 @@ def test_shards_of_nothing(spark, nothing, tmp_path):
 PAGES = "page_id long, url string, html string, __key string"
 
 
+@pytest.mark.parametrize("limit", [300, 5000, 1 << 20])
+def test_written_shards_hold_each_row_once(spark, tmp_path, limit):
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.randrange(200)) for i in range(60)] + [(None, f"null {i}" * 9) for i in range(7)] + [(None, None), (61, "")] + [(5, f"five {i}") for i in range(6)] + [(9, "y" * 90)] * 12 + [(70, "z" * 400)]
+    d = docs(spark, rows)
+    got = sharding.write_shards(d, str(tmp_path / "s"), limit)
+    back = spark.read.parquet(str(tmp_path / "s")).select(*d.columns)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, d.collect()))
+    got = got.collect()
+    assert sorted(map(repr, got)) != [] and len(got) == len(rows)
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.doc_bytes
+    assert all(r.shard_bytes == size[r.shard] and (size[r.shard] <= limit or r.oversized) for r in got)
+    assert [r.doc_id for r in got if r.oversized] == ([70] if limit < 400 else [])
+    if limit < 400:
+        assert sorted(map(repr, sharding.shards(d, limit).filter("shard NOT LIKE '%/%'").collect())) == sorted(repr(r) for r in got if "/" not in r.shard)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a", "<p>é</p>", "x"), (2, "http://b", None, "x"), (3, None, "", "x"), (4, "http://c\r\nX: y", "<p>é</p>", "x"), (5, "u", "z" * 300_000, "x"), (None, "u", "lone", "x"), (6, "u", "twice", "x"), (6, "u", "twice", "x")]
     pages = spark.createDataFrame(rows, PAGES)

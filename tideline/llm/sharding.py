@@ -10,11 +10,13 @@ apart by bits: their bucket overflows into numbered chunks; a single row over th
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import table, written
+from .common import shared_dir, table, written
 
 LIMIT = 16 << 20
 #: Bits that a directory adds to the least that could do, and the most it has (4 million entries).
@@ -35,51 +37,85 @@ def _directory(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     return fits.groupBy("cell").agg(F.min(F.struct("depth", "shard_bytes")).alias("b")).select("cell", "b.depth", "b.shard_bytes")
 
 
-def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, doc_bytes, shard, shard_depth, shard_bytes, oversized of every row of docs(doc_id, text, ...).
+def _bits(h: Column, n: Column) -> Column:
+    """The first n bits of a long, as text."""
+    return F.substring(F.lpad(F.conv(h.cast("string"), 10, 2), 64, "0"), F.lit(1), n)
 
-    shard is the prefix's bits ('' is the whole), with '/chunk' where equal hashes overflow. The bytes of a row are its text's
-    in UTF-8 (null and empty: 0). The hash is of doc_id and text, so a null doc_id, or ids that repeat, are spread as
-    well; rows that repeat both share a shard, or overflow. Only a shard of one row larger than the limit is oversized. No rows give
-    no rows; other columns are not looked at.
-    """
+
+def _hashed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", size.alias("doc_bytes"), F.xxhash64("doc_id", text).alias("h"))
-    todo = written(rows.withColumn("part", F.spark_partition_id()), "shards-rows")
-    total = todo.agg(F.sum("doc_bytes")).first()[0] or 0
-    low, done = 0, None
+    return docs.withColumn("__bytes", size).withColumn("__h", F.xxhash64("doc_id", text))
+
+
+def _placed(docs: DataFrame, limit: int) -> DataFrame:
+    """Every row of docs, all its columns, with __bytes, __shard, __depth, __shard_bytes and __oversized."""
+    todo = written(_hashed(docs).select("__h", "__bytes"), "shards-rows")
+    total = todo.agg(F.sum("__bytes")).first()[0] or 0
+    low, directories = 0, []
     high = min(MOST_BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + SLACK)
-    bits = lambda x, n: F.substring(F.lpad(F.conv(x.cast("string"), 10, 2), 64, "0"), F.lit(1), n)
     while True:
-        keyed = todo.withColumn("cell", _prefix(F.col("h"), high))
-        directory = written(_directory(keyed.groupBy("cell").agg(F.sum("doc_bytes").alias("bytes")), low, high, limit), "shards-directory")
-        found = written(keyed.join(directory, "cell", "left").drop("cell"), "shards-found")
-        fit = found.filter("depth IS NOT NULL").select("doc_id", "doc_bytes", bits(F.col("h"), F.col("depth")).alias("shard"), F.col("depth").alias("shard_depth"), "shard_bytes", F.lit(False).alias("oversized"))
-        done = fit if done is None else done.unionByName(fit)
-        todo = found.filter("depth IS NULL").select("doc_id", "doc_bytes", "h", "part")
-        if high == 64 or todo.isEmpty():
+        keyed = todo.withColumn("cell", _prefix(F.col("__h"), high))
+        directory = written(_directory(keyed.groupBy("cell").agg(F.sum("__bytes").alias("bytes")), low, high, limit), "shards-directory")
+        directories.append((high, directory.toDF("__cell", "__depth", "__shard_bytes")))
+        if high == 64:
+            break
+        todo = written(keyed.join(directory, "cell", "left_anti").select("__h", "__bytes"), "shards-rows")
+        if todo.isEmpty():
             break
         low, high = high + 1, min(64, high + MOST_BITS)
+    # The rows themselves pass the directories in turn; what none has overflows.
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    done, left = None, _hashed(docs).withColumn("__part", F.spark_partition_id())
+    for bits, directory in directories:
+        met = left.withColumn("__cell", _prefix(F.col("__h"), bits)).join(directory, "__cell", "left")
+        fit = met.filter("__depth IS NOT NULL").select(*columns, "__bytes", _bits(F.col("__h"), F.col("__depth")).alias("__shard"), "__depth", "__shard_bytes", F.lit(False).alias("__oversized"))
+        done = fit if done is None else done.unionByName(fit)
+        left = met.filter("__depth IS NULL").select(*columns, "__bytes", "__h", "__part")
     if high < 64:
         return done
     # Equal hashes, over the limit together: equal rows, of equal size. Chunks are counted within the input's partitions.
-    window = Window.partitionBy("h", "part").orderBy("doc_id")
-    rank = F.row_number().over(window) - 1
-    per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("doc_bytes", F.lit(1))))
-    chunks = todo.withColumn("chunk", F.floor(rank / per))
-    shard = F.concat(bits(F.col("h"), F.lit(64)), F.lit("/"), F.col("part"), F.lit("."), F.col("chunk"))
-    sized = chunks.withColumn("shard_bytes", F.sum("doc_bytes").over(Window.partitionBy("h", "part", "chunk")))
-    return done.unionByName(sized.select("doc_id", "doc_bytes", shard.alias("shard"), F.lit(64).alias("shard_depth"), "shard_bytes", (F.col("doc_bytes") > limit).alias("oversized")))
+    # Which row has which number is open, so it is fixed by writing.
+    window = Window.partitionBy("__h", "__part").orderBy("__bytes")
+    per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("__bytes", F.lit(1))))
+    chunks = written(left.withColumn("__chunk", F.floor((F.row_number().over(window) - 1) / per)), "shards-overflow")
+    shard = F.concat(_bits(F.col("__h"), F.lit(64)), F.lit("/"), F.col("__part"), F.lit("."), F.col("__chunk"))
+    sized = chunks.withColumn("__shard_bytes", F.sum("__bytes").over(Window.partitionBy("__h", "__part", "__chunk")))
+    return done.unionByName(sized.select(*columns, "__bytes", shard.alias("__shard"), F.lit(64).alias("__depth"), "__shard_bytes", (F.col("__bytes") > limit).alias("__oversized")))
+
+
+ASSIGNMENT = ("doc_bytes", "shard", "shard_depth", "shard_bytes", "oversized")
+
+
+def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id, doc_bytes, shard, shard_depth, shard_bytes, oversized of every row of docs(doc_id, text, ...).
+
+    shard is the prefix's bits ('' is the whole), with '/chunk' where equal hashes overflow. The bytes of a row are its text's
+    in UTF-8 (null and empty: 0). The hash is of doc_id and text, so a null doc_id, or ids that repeat, are spread as
+    well; rows that repeat both share a shard, or overflow. Only a shard of one row larger than the limit is oversized. No rows give
+    no rows; other columns are not looked at.
+    """
+    return _placed(docs.select("doc_id", "text"), limit).select("doc_id", *(F.col(f"__{c}").alias(o) for c, o in zip(("bytes", "shard", "depth", "shard_bytes", "oversized"), ASSIGNMENT)))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """Writes docs under path, a folder a shard, and returns the assignment; docs must have one row a doc_id."""
-    placed = written(shards(docs, limit), "shards-placed")
-    joined = docs.join(placed.select("doc_id", "shard"), "doc_id")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
-    return placed
+    """Writes each row of docs once under path, a folder a shard, and returns the assignment as read from the shards written.
+
+    Null and repeated ids are rows like any other. Folders are named by column shard, which docs must not have.
+    """
+    if "shard" in (c.lower() for c in docs.columns):
+        raise ValueError("docs has a column shard")
+    placed = _placed(docs, limit).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__shard").alias("shard"))
+    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    # The schema is stated, since '0101' would be read as a number; '' is a null folder.
+    schema = StructType([*docs.schema.fields, StructField("shard", StringType())])
+    rows = docs.sparkSession.read.schema(schema).parquet(path)
+    rows = _hashed(rows).select("doc_id", F.col("__bytes").alias("doc_bytes"), F.coalesce("shard", F.lit("")).alias("shard"))
+    sizes = rows.groupBy("shard").agg(F.sum("doc_bytes").alias("shard_bytes"))
+    depth = F.length(F.substring_index("shard", "/", 1))
+    return rows.join(sizes, "shard").select("doc_id", "doc_bytes", "shard", depth.alias("shard_depth"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
-    return shards(table(spark, sf_dir, "documents"))
+    """Documents are written to shards in the shared folder; the rows are read from these."""
+    return write_shards(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
