@@ -129,19 +129,30 @@ def with_thresholds(scores: DataFrame, thresholds: DataFrame, default: tuple[flo
     return joined.select(*scores.columns, F.coalesce("t_suspicious", F.lit(default[0])).alias("suspicious"), F.coalesce("t_anomalous", F.lit(default[1])).alias("anomalous"))
 
 
+#: Characters of a pattern's literal start that its hosts are joined on.
+PREFIX = 16
+
+
 def with_asset_weight(scores: DataFrame, assets: DataFrame) -> DataFrame:
-    """Scores times the greatest weight of a hostname pattern that fits, 1 without one. Patterns meet distinct hosts, not rows."""
-    hosts = scores.select("hostname").distinct()
-    weights = hosts.join(F.broadcast(assets.limit(10_000)), F.expr("hostname LIKE hostname_pattern")).groupBy("hostname").agg(F.max("multiplier").alias("multiplier"))
+    """Scores times the greatest weight of a hostname pattern that fits, 1 without one. Patterns meet distinct hosts, not rows, by their literal start."""
+    starts = F.transform(F.sequence(F.lit(0), F.least(F.lit(PREFIX), F.length("hostname"))), lambda n: F.substring(F.col("hostname"), F.lit(1), n))
+    hosts = scores.select("hostname").filter("hostname IS NOT NULL").distinct().select("hostname", F.explode(starts).alias("__start"))
+    start = F.substring(F.regexp_extract("hostname_pattern", r"^[^%_\\]*", 0), 1, PREFIX)
+    patterns = assets.filter("hostname_pattern IS NOT NULL").select("hostname_pattern", "multiplier", start.alias("__start"))
+    weights = hosts.join(small(patterns), "__start").filter("hostname LIKE hostname_pattern").groupBy("hostname").agg(F.max("multiplier").alias("multiplier"))
     joined = scores.join(weights, "hostname", "left").withColumn("multiplier", F.coalesce("multiplier", F.lit(1.0)))
     return joined.withColumn("weighted_score", F.least(F.lit(1.0), F.col("adjusted_score") * F.col("multiplier")))
 
 
 def match_tactics(rows: DataFrame, rules: DataFrame, cap: int = 25, cap_plain: int = 5) -> DataFrame:
     """Rules whose threshold the score reaches and whose features the row's overlap, by priority; a row without features takes the threshold alone."""
-    plain = F.size("active_features") == 0
-    met = rows.crossJoin(F.broadcast(rules.limit(1000))).filter((F.col("trigger_threshold") <= F.col("score")) & (plain | F.arrays_overlap("active_features", "trigger_features")))
+    plain, reached = F.size("active_features") == 0, F.col("trigger_threshold") <= F.col("score")
+    known = small(rules)
+    alone = rows.filter(plain).crossJoin(known).filter(reached)
+    # Rows with features meet the rules on each feature; a pair counts on the first that they share.
+    by_feature = small(rules.withColumn("__f", F.explode(F.array_distinct("trigger_features"))))
+    shared = F.array_compact(F.array_intersect("active_features", "trigger_features"))[0]
+    met = rows.filter(~plain).withColumn("__f", F.explode(F.array_distinct("active_features"))).join(by_feature, "__f").filter(reached & (F.col("__f") == shared))
+    met = alone.unionByName(met.drop("__f"))
     ranked = met.withColumn("__n", F.row_number().over(Window.partitionBy("alert_id").orderBy("priority", "rule_id")))
     return ranked.filter(F.col("__n") <= F.when(plain, cap_plain).otherwise(cap)).drop("__n")
-
-

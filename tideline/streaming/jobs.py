@@ -119,15 +119,15 @@ def kill_chain_stream(df: DataFrame, key: str, gate: float = 0.5, idle_s: float
     return _stateful(df, [key], ["action_type", "adjusted_score"], update, f"{key} string, seq long, stage int, velocity double", "last double, stage int, gaps array<double>", int(2 * idle_s), **how)
 
 
-def auth_stream(df: DataFrame, key: str, fail: str, target: str, idle_s: int = 86_400, most_targets: int = 10_000, **how) -> DataFrame:
-    """Authentication counters of an entity; the set of targets is kept up to a bound, beyond which its size stands still."""
+def auth_stream(df: DataFrame, key: str, fail: str, target: str, idle_s: int = 86_400, **how) -> DataFrame:
+    """Authentication counters of an entity; all of its targets are kept until it is idle."""
 
     def update(held, rows, key):
         fails, n, targets = held if held else (0, 0, [])
         seen, out = set(targets), []
         for seq, bad, to in zip(rows["seq"], rows[fail], rows[target]):
             fails, n = fails + int(bad), n + 1
-            if to and len(seen) < most_targets:
+            if to:
                 seen.add(to)
             out.append((key[0], int(seq), fails / n, math.log10(1 + len(seen)), math.log10(1 + n)))
         return out, (fails, n, sorted(seen))
