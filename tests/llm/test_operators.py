@@ -402,10 +402,33 @@ def test_bpe_equals_the_library(spark, edge, nothing, tiktoken_encoding):
 
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert sorted(repr((r.doc_id, list(r.ids), r.decoded_sha256, r.ids_sha256)) for r in got) == sorted(repr((i, ids, sha(raw), sha(np.array(ids, "<u4").tobytes()))) for i, ids, raw in want)
-    assert all(bpe.decoded(ids) == raw for _, ids, raw in want[:20])
+    back = bpe.decoded(spark.createDataFrame([(i, ids) for i, ids, _ in want], "doc_id long, ids array<int>")).collect()
+    assert sorted(repr((r.doc_id, bytes(r.bytes))) for r in back) == sorted(repr((i, raw)) for i, _, raw in want)
     assert bpe.encoded(nothing).count() == 0
 
 
+def test_bpe_keeps_ids_of_rows(spark):
+    big = [((1 << 60) + 1, "a b"), (None, "c"), ((1 << 60) + 3, None)]
+    assert {r.doc_id for r in bpe.encoded(docs(spark, big)).collect()} == {i for i, _ in big}
+    named = spark.createDataFrame([("x", "a b"), (None, "c")], "doc_id string, text string")
+    assert {r.doc_id for r in bpe.encoded(named).collect()} == {"x", None}
+    with pytest.raises(Exception, match="aren't tokens"):
+        bpe.decoded(spark.createDataFrame([(1, [1 << 30])], "doc_id long, ids array<int>")).collect()
+
+
+def test_bpe_forms_and_evictions_agree(monkeypatch, tiktoken_encoding):
+    """Words about the length from which the other recursion takes them, by both; and a cache smaller than the texts need."""
+    rng = random.Random(14)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in [*range(150, 260, 10), bpe.LONG, bpe.LONG + 1]] + ["ab" * 150, "aaab" * 60, "z" * 201, "日本" * 34]
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 10)
+    for long in (1, bpe.LONG, 10_000):
+        monkeypatch.setattr(bpe, "LONG", long)
+        with bpe.codec() as one:
+            for at in range(0, len(words), 5):
+                for w, ids in zip(words[at : at + 5], one.encode(words[at : at + 5])):
+                    assert ids.tolist() == tiktoken_encoding.encode_ordinary(w)
+
+
 def brute_topk(rows, k, every):
     out = []
     for q, v in rows:

@@ -1,55 +1,61 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside each Spark partition.
 
 Texts are cut by the tokenizer's pattern. The distinct pieces of a batch that aren't tokens themselves become rows
-(word, position, token), one a byte. A recursive query joins neighbouring tokens to the merge table and contracts each
+(word, position, token), one a byte. A recursive query joins neighbouring rows to the merge table and contracts each
 word's minimum-rank pair, leftmost first, until no pair of the word is in the table; ordered aggregation gives a
-word's ids and, from the tokens' bytes, its decoding. A bounded cache keeps the pieces of a Python worker.
+word's ids. Decoding goes from the documents' ids alone: token rows join the tokens' bytes and are aggregated in order.
+A codec lives as long as its partition; a bounded cache holds the pieces it has met as packed ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import table
 
-#: Bytes of pieces that one recursive query takes, pieces that the cache may hold (some 300 bytes each), and bytes from which a piece is long.
-QUERY_BYTES = 300_000
-CACHE_PIECES = 150_000
+#: Bytes of pieces that one recursive query takes, pieces that the cache may hold (some 200 bytes each), and bytes from which a piece is long.
+QUERY_BYTES = 100_000
+CACHE_PIECES = 400_000
 LONG = 200
+#: Bytes of texts encoded together, and ids of a text that are decoded into one string.
+BATCH_BYTES = 2_000_000
+RUN = 1 << 16
 
-# One round: a row for each token and its neighbour joins the merge table, z is a word's least (rank, position), and that pair
-# becomes one token. A word's row, its tokens in order, is replaced; words without a pair leave the recursion.
+# One round: neighbouring rows join the merge table, z is a word's least (rank, position); the row there becomes the new token, the row after
+# it goes, and those behind move up. A word without a pair has no rows in the next round, so its last round holds its tokens.
 ENCODE = """
-WITH RECURSIVE words(w, x) USING KEY (w) AS (
-    SELECT w, x FROM start
+WITH RECURSIVE s(w, p, t, i) AS (
+    SELECT w, p, t, 0 FROM start
     UNION ALL
-    SELECT w, x[:(z & 4294967295) - 1] || [(z >> 32)::INT] || x[(z & 4294967295) + 2:]
-    FROM words JOIN (
-        SELECT w, min(c::BIGINT << 32 | p) AS z
-        FROM (SELECT w, unnest(x[:-2]) AS t, unnest(x[2:]) AS n, unnest(range(1, len(x))) AS p FROM words WHERE len(x) > 1)
-        JOIN merges ON (t::BIGINT << 32 | n) = pair
-        GROUP BY w) USING (w)
-),
-s AS (SELECT w, unnest(x) AS t, unnest(range(len(x))) AS p FROM words)
+    SELECT w, p - (p > (z & 4294967295))::INT, CASE WHEN p = (z & 4294967295) THEN (z >> 32)::INT ELSE t END, i + 1
+    FROM s JOIN (
+        SELECT a.w, min(c::BIGINT << 32 | a.p) AS z
+        FROM s a JOIN s b ON b.w = a.w AND b.p = a.p + 1 JOIN merges ON (a.t::BIGINT << 32 | b.t) = pair
+        GROUP BY a.w) USING (w)
+    WHERE p <> (z & 4294967295) + 1
+)
+SELECT w, list(t ORDER BY p) AS ids FROM s JOIN (SELECT w, max(i) AS i FROM s GROUP BY w) USING (w, i) GROUP BY w
 """
 
-# For long words, whose rounds would be as many as their tokens: a row a token, all matches of the least rank at once. They
+# For long words, whose rounds would be as many as their tokens: the same, with all matches of the least rank at once. They
 # overlap only in runs of one token, where the 1st, 3rd, ... are taken. Where a new token could pair at a lower rank (alone), only the
 # leftmost is taken. r numbers a word's tokens, q is the last non-match before a token, f the first match before it.
 ENCODE_LONG = """
 WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
-    SELECT w, unnest(range(len(x))), unnest(x) FROM start
+    SELECT w, p, t FROM start
     UNION ALL
     SELECT w, p, CASE
         WHEN c = z AND (r - q) % 2 = 1 AND (z % 2 = 0 OR f IS NULL) THEN (z // 2)::INT
@@ -65,12 +71,13 @@ WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
         WINDOW x AS (PARTITION BY w ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
     )
 )
+SELECT w, list(t ORDER BY p) AS ids FROM s WHERE t IS NOT NULL GROUP BY w
 """
 
 DECODE = """
-SELECT w, list(t ORDER BY p) AS ids, unhex(string_agg(h, '' ORDER BY p)) AS decoded
-FROM s JOIN tokens USING (t) WHERE t IS NOT NULL GROUP BY w
-"""
+SELECT d, p // %d AS part, list(b ORDER BY p) AS pieces
+FROM given_ids JOIN tokens USING (t) GROUP BY d, part ORDER BY d, part
+""" % RUN
 
 
 def read_ranks(lines: list[str]) -> dict[bytes, int]:
@@ -79,10 +86,10 @@ def read_ranks(lines: list[str]) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encodes and decodes pieces by one vocabulary; holds the merge table, the tokens' bytes and a bounded cache."""
+    """Encodes and decodes by one vocabulary; holds the merge table, the tokens' bytes and a bounded cache of pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.pattern, self.cache = ranks, regex.compile(pattern), {}
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.base = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         splits = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -90,110 +97,160 @@ class Codec:
         # Tokens that pair at a lower rank than their own.
         early = {x for *parts, k in splits for x in parts if k < x}
         self._load("merges", {"pair": pa.array([x << 32 | y for x, y in zip(a, b)], pa.int64()), "c": pa.array(c, pa.int32()), "alone": pa.array([int(k in early) for k in c], pa.int32())})
-        self._load("tokens", {"t": pa.array(ranks.values(), pa.int32()), "h": pa.array([t.hex() for t in ranks])})
+        self._load("tokens", {"t": pa.array(ranks.values(), pa.int32()), "b": pa.array(ranks, pa.binary())})
+        self.known = np.fromiter(ranks.values(), np.uint32, len(ranks))
+        self._forget()
+
+    def __enter__(self) -> Codec:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.db.close()
+        self._forget()
+
+    def _forget(self) -> None:
+        # A piece's code is its token, or -1 - k for the k-th run of ids, which ends at ends[k].
+        self.codes: dict[str, int] = {}
+        self.ids, self.ends = array("I"), array("Q")
 
     def _load(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def merge(self, pieces: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
-        """Index, little-endian ids and decoded bytes of each piece, by the recursive query."""
+    def merge(self, pieces: list[bytes], long: bool) -> Iterator[tuple[np.ndarray, pa.ListArray]]:
+        """Numbers of pieces and their ids, by the recursive query."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         tokens = self.base[np.frombuffer(b"".join(pieces), np.uint8)]
-        ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        self._load("start", {"w": pa.array(np.arange(len(pieces), dtype=np.int32)), "x": pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))})
-        how = ENCODE_LONG if lengths.max() > LONG else ENCODE
-        for part in self.db.sql(how + DECODE).to_arrow_reader(100_000):
-            ids, decoded = part.column("ids"), part.column("decoded").to_pylist()
-            raw, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
-            for k, i in enumerate(part.column("w").to_pylist()):
-                yield i, raw[ends[k] : ends[k + 1]], decoded[k]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Puts pieces into the cache as (little-endian ids, decoded bytes)."""
-        batch, size = [], 0
-        for x in [*sorted(pieces, key=len), None]:  # long ones come together
-            raw = b"" if x is None else x.encode("utf-8", "replace")
-            if batch and (x is None or size + len(raw) > QUERY_BYTES or (len(raw) > LONG) != (len(batch[-1][1]) > LONG)):
-                for i, *found in self.merge([y for _, y in batch]):
-                    self.cache[batch[i][0]] = found
-                batch, size = [], 0
-            if x is None:
-                continue
+        places = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        words = np.repeat(np.arange(len(pieces)), lengths)
+        self._load("start", {"w": pa.array(words, pa.int32()), "p": pa.array(places, pa.int32()), "t": pa.array(tokens)})
+        for part in self.db.sql(ENCODE_LONG if long else ENCODE).to_arrow_reader(100_000):
+            yield part.column("w").to_numpy(), part.column("ids")
+
+    def learn(self, pieces: set[str]) -> None:
+        """Enters pieces into the cache."""
+        batches, sizes = {False: [], True: []}, {False: 0, True: 0}
+        for x in pieces:
+            raw = x.encode("utf-8", "replace")
             if (k := self.ranks.get(raw)) is not None:
-                self.cache[x] = k.to_bytes(4, "little"), raw
-            else:
-                batch.append((x, raw))
-                size += len(raw)
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """Little-endian unsigned 32-bit ids and decoded bytes of each whole text; null is empty."""
+                self.codes[x] = k
+                continue
+            long = len(raw) > LONG
+            if sizes[long] and sizes[long] + len(raw) > QUERY_BYTES:
+                self._enter(batches[long], long)
+                batches[long], sizes[long] = [], 0
+            batches[long].append((x, raw))
+            sizes[long] += len(raw)
+        for long, batch in batches.items():
+            if batch:
+                self._enter(batch, long)
+
+    def _enter(self, batch: list[tuple[str, bytes]], long: bool) -> None:
+        for words, runs in self.merge([raw for _, raw in batch], long):
+            first, base = len(self.ends), len(self.ids)
+            offsets = runs.offsets.to_numpy().astype(np.int64)
+            self.ids.frombytes(runs.flatten().to_numpy().astype(np.uint32).tobytes())
+            self.ends.frombytes((base + offsets[1:] - offsets[0]).astype(np.uint64).tobytes())
+            self.codes.update(zip((batch[w][0] for w in words.tolist()), range(-1 - first, -1 - first - len(words), -1)))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The unsigned 32-bit ids of each whole text; null is empty."""
         cut = [self.pattern.findall(t or "") for t in texts]
-        new = {x: None for pieces in cut for x in pieces if x not in self.cache}
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            # the older half goes
-            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))
-            new = {x: None for pieces in cut for x in pieces if x not in self.cache}
-        self.learn(list(new))
-        for pieces in cut:
-            known = [self.cache[x] for x in pieces]
-            yield b"".join([x[0] for x in known]), b"".join([x[1] for x in known])
-
-
-_codecs: dict[tuple[str, str], Codec] = {}
+        flat = list(chain.from_iterable(cut))
+        distinct = set(flat)
+        new = {x for x in distinct if x not in self.codes}
+        if len(self.codes) + len(new) > CACHE_PIECES:
+            self._forget()
+            new = distinct
+        self.learn(new)
+        codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        ids, ends = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.ends, np.uint64).astype(np.int64)
+        many = codes < 0
+        runs = -1 - codes[many]
+        lengths = np.diff(ends, prepend=0)[runs]
+        sizes = np.ones(len(codes), np.int64)
+        sizes[many] = lengths
+        stop = np.cumsum(sizes)
+        out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint32)
+        out[stop[~many] - 1] = codes[~many]
+        step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        out[np.repeat(stop[many] - lengths, lengths) + step] = ids[np.repeat(ends[runs] - lengths, lengths) + step]
+        borders = np.concatenate(([0], stop))[np.cumsum([len(x) for x in cut])]
+        return np.split(out, borders[:-1]) if cut else []
+
+    def decode(self, rows: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        """Number of a row and the next bytes of its ids, by ordered aggregation over the token table."""
+        sizes = [len(x) for x in rows]
+        ids = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+        if len(ids) and not np.isin(ids, self.known).all():
+            raise ValueError("ids that aren't tokens")
+        places = np.arange(len(ids)) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes) if len(ids) else ids
+        self._load("given_ids", {"d": pa.array(np.repeat(np.arange(len(rows)), sizes), pa.int32()), "p": pa.array(places, pa.int64()), "t": pa.array(ids, pa.int32())})
+        for part in self.db.sql(DECODE).to_arrow_reader(1_000):
+            yield from zip(part.column("d").to_pylist(), pc.binary_join(part.column("pieces"), b"").to_pylist())
 
 
 def codec(name: str = "byte_bpe_multi_50k.tiktoken", path: str | None = None, pattern: str | None = None) -> Codec:
-    """This worker's codec for a vocabulary file: of the public tokenizers, or at a path."""
+    """A codec for a vocabulary file: of the public tokenizers, or at a path."""
     import public_tokenizers
 
-    key = (path or public_tokenizers.path(name), pattern or public_tokenizers.PATTERN)
-    if key not in _codecs:
-        with open(key[0]) as f:
-            _codecs[key] = Codec(read_ranks(f.readlines()), key[1])
-    return _codecs[key]
+    with open(path or public_tokenizers.path(name)) as f:
+        return Codec(read_ranks(f.readlines()), pattern or public_tokenizers.PATTERN)
+
 
+def slices(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in parts of about so many bytes of text, or one row."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most_bytes
+    starts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(starts, starts[1:]) if b > a)
 
-def encoded(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", path: str | None = None, pattern: str | None = None, ids: bool = True, batch_chars: int = 2_000_000) -> DataFrame:
+
+def encoded(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", path: str | None = None, pattern: str | None = None, ids: bool = True, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of every row of docs(doc_id, text, ...).
 
-    Whole texts are encoded, special tokens' strings as ordinary text. Null and empty texts have no ids; repeated rows
-    repeat; other columns are not looked at. The vocabulary file is the installed package's on each executor.
+    Whole texts are encoded, special tokens' strings as ordinary text. doc_id keeps its type and value, null too. Null and empty texts have
+    no ids; repeated rows repeat; no rows give no rows; other columns are not looked at. The vocabulary file is the installed package's on
+    each executor.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = codec(name, path, pattern)
-        for part in parts:
-            names, texts = part["doc_id"].tolist(), part["text"].tolist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < batch_chars):
-                    size += len(texts[end] or "")
-                    end += 1
-                rows = list(one.encode(texts[at:end]))
+    fields = [StructField("doc_id", docs.schema["doc_id"].dataType), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    schema = StructType([*fields, *([StructField("ids", ArrayType(IntegerType()))] if ids else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with codec(name, path, pattern) as one:
+            for part in (x for b in batches for x in slices(b, batch_bytes)):
+                rows = one.encode(part.column("text").to_pylist())
+                sums = [hashlib.sha256() for _ in rows]
+                for d, decoded in one.decode(rows):
+                    sums[d].update(decoded)
                 out = {
-                    "doc_id": pd.array(names[at:end], dtype="Int64"),
-                    "n_tokens": [len(a) // 4 for a, _ in rows],
-                    "ids_sha256": [hashlib.sha256(a).hexdigest() for a, _ in rows],
-                    "decoded_sha256": [hashlib.sha256(b).hexdigest() for _, b in rows],
+                    "doc_id": part.column("doc_id"),
+                    "n_tokens": pa.array([len(x) for x in rows], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows]),
+                    "decoded_sha256": pa.array([x.hexdigest() for x in sums]),
                 }
                 if ids:
-                    out["ids"] = [memoryview(a).cast("I").tolist() for a, _ in rows]
-                yield pd.DataFrame(out)
-                at = end
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(out)
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+def decoded(rows: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", path: str | None = None) -> DataFrame:
+    """doc_id and bytes of every row of rows(doc_id, ids, ...): the decoding of its ids; null and empty ids give no bytes, unknown ids an error."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with codec(name, path) as one:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    ids = [np.array(x or (), np.uint32) for x in part.column("ids").to_pylist()]
+                    out = [b""] * len(ids)
+                    for d, found in one.decode(ids):
+                        out[d] += found
+                    yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "bytes": pa.array(out, pa.binary())})
 
-def decoded(ids: list[int], name: str = "byte_bpe_multi_50k.tiktoken", path: str | None = None) -> bytes:
-    """The bytes of ids, by ordered aggregation over the token table."""
-    one = codec(name, path)
-    one._load("given_ids", {"p": pa.array(range(len(ids)), pa.int32()), "t": pa.array(ids, pa.int32())})
-    ((found,),) = one.db.execute("SELECT string_agg(h, '' ORDER BY p) FROM given_ids JOIN tokens USING (t)").fetchall()
-    return bytes.fromhex(found or "")
+    return rows.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, StructType([StructField("doc_id", rows.schema["doc_id"].dataType), StructField("bytes", BinaryType())]))
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
