@@ -336,14 +336,31 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archived(spark.createDataFrame([], PAGES), str(tmp_path / "none")).count() == 0
 
 
+def test_warc_keeps_ids_and_names_records_once(spark, tmp_path):
+    """Ids over 2^53 come back whole, repeated ones too, archives are read by several tasks, and no record id occurs twice."""
+    big = 1 << 60
+    rows = [(big + 1, "a", "same", "x"), (big + 3, "b", "same", "x"), (None, "c", "same", "x"), (7, "d", "z", "x"), (7, "e", "y", "x"), (7, "e", "y", "x"), (7, None, "y", "x")] + [(i, "u", f"p{i}", "x") for i in range(20, 60)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, PAGES), str(tmp_path / "w"), archive_bytes=500)
+    back = warc.read_archives(manifest)
+    assert back.rdd.getNumPartitions() > 3
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in back.collect())
+    assert {k: n for k, n in got.items() if (k[0] or big) > 60 or k[0] == 7} == {(big + 1, "revisit", big + 3): 1, (big + 3, "response", None): 1, (None, "revisit", big + 3): 1, (7, "response", None): 4}
+    ids = []
+    for f in (tmp_path / "w").iterdir():
+        if f.name.endswith(".warc.gz"):
+            with open(f, "rb") as file:
+                ids += [h["warc-record-id"] for h, _ in warc.records(file)]
+    assert len(ids) == len(set(ids)) == len(rows)
+
+
 def test_warc_reader_verifies():
-    good = warc.record(1, "u", b"abc", None, False) + warc.record(2, "u", b"abc", 1, True)
+    good = warc.record("r1", 1, "u", b"abc", None) + warc.record("r2", 2, "u", b"abc", (1, "u"))
     assert [(h["warc-type"], warc.payload(h, b)) for h, b in warc.records(io.BytesIO(good))] == [("response", b"abc"), ("revisit", None)]
     with pytest.raises(warc.WarcError):
         list(warc.records(io.BytesIO(good[:-9])))
     import zlib
 
-    plain = zlib.decompress(warc.record(1, "u", b"abc", None, False), 31)
+    plain = zlib.decompress(warc.record("r1", 1, "u", b"abc", None), 31)
     for bad in (plain.replace(b"abc", b"abd"), plain.replace(b"Content-Length: 80", b"Content-Length: 79") if b"Content-Length: 80" in plain else plain[:-1]):
         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
         with pytest.raises(warc.WarcError):

@@ -15,18 +15,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    Only where the cluster names none (tests in local mode) a temporary folder is set.
+    Only where the cluster names none, and in local mode alone (tests), a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     at = spark.sparkContext.getCheckpointDir()
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as a URI of the file system that Spark takes it to be on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that written() made and that nothing reads any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        at = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs a read."""
     spark = df.sparkSession

@@ -11,18 +11,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
-from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import qualified, shared_dir, table, written
 
 #: Bytes after which a new archive begins, and bytes inflated at a time.
 ARCHIVE_BYTES = 16 << 20
@@ -41,15 +41,24 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
-    """One gzip member: a response with its payload, or a revisit without."""
+def record(name: str, page_id: int | None, url: str | None, payload: bytes, refers_to: tuple[int, str | None] | None, date: str = DATE) -> bytes:
+    """One gzip member: a response with its payload, or, if it refers to a page (id and url), a revisit without.
+
+    name, unique among all records, gives the record's id; WARC-Page-ID and -Refers-To-Page-ID are extension headers, as is the payload's length.
+    """
+    revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block = http + (b"\r\n" if revisit else b"Content-Length: %d\r\n\r\n" % len(payload) + payload)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    line = lambda x: x.replace("\r", "%0D").replace("\n", "%0A")
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}"]
     if url:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + line(url))
+    if page_id is not None:
+        head.append(f"WARC-Page-ID: {page_id}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page-ID: {refers_to[0]}", f"WARC-Refers-To-Date: {date}"]
+        if refers_to[1]:
+            head.append("WARC-Refers-To-Target-URI: " + line(refers_to[1]))
     head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Payload-Length: {len(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -115,28 +124,30 @@ def payload(head: dict[str, str], block: bytes) -> bytes | None:
 
 
 def with_response(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """pages(page_id, url, html) with __refers_to, the page_id of the response that holds an equal payload, or null.
+    """pages(page_id, url, html) with __refers_to and __refers_url, page_id and url of the response that holds an equal payload, or null.
 
     Only payloads that occur twice or more are joined, by digest; as one may be that of a third of all rows, each is
     sent to several salts and the rows to one of them.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    keyed = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.sha2(html.cast("binary"), 256).alias("__key"))
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha2(html.cast("binary"), 256).alias("__key"))
     keyed = keyed.withColumn("__key", F.when(F.octet_length(html) >= least_bytes, F.col("__key")))
-    copies = keyed.filter("__key IS NOT NULL").groupBy("__key").agg(F.max("page_id").alias("__last"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = keyed.filter("__key IS NOT NULL").groupBy("__key").agg(F.max("page_id").alias("__last"), F.max_by("url", "page_id").alias("__last_url"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = copies.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = keyed.withColumn("__salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(copies, ["__key", "__salt"], "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("__last")), F.col("__last"))
-    return joined.select("page_id", "url", "html", refers.alias("__refers_to"))
+    return joined.select("page_id", "url", "html", refers.alias("__refers_to"), F.when(refers.isNotNull(), F.col("__last_url")).alias("__refers_url"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes pages(page_id, url, html) as gzip WARC archives under folder (a URI) and returns the manifest: path, records, bytes."""
 
-    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    folder = qualified(pages.sparkSession, folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        fs, root = _file_system(folder)
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         name, done, out, size, rows = f"{task.partitionId():06}-{task.taskAttemptId()}", [], None, 0, 0
 
@@ -144,23 +155,26 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             nonlocal out, size, rows
             if out is not None:
                 out.close()
-                done.append((f"{folder}/{name}-{len(done):04}.warc.gz", rows, size))
+                done.append({"path": f"{folder}/{name}-{len(done):04}.warc.gz", "records": rows, "bytes": size})
             out, size, rows = None, 0, 0
 
-        for part in parts:
-            for page_id, url, html, refers_to in part.itertuples(index=False, name=None):
+        for batch in batches:
+            for page in batch.to_pylist():
                 if out is None:
                     out = fs.open_output_stream(f"{root}/{name}-{len(done):04}.warc.gz", compression=None)
-                revisit = not pd.isna(refers_to)
-                data = record(None if pd.isna(page_id) else int(page_id), url, (html or "").encode("utf-8", "replace"), int(refers_to) if revisit else None, revisit)
+                refers = None if page["__refers_to"] is None else (page["__refers_to"], page["__refers_url"])
+                data = record(f"{folder}/{name}-{len(done):04}/{rows}", page["page_id"], page["url"], (page["html"] or "").encode("utf-8", "replace"), refers)
                 out.write(data)
                 size, rows = size + len(data), rows + 1
                 if size >= archive_bytes:
                     close()
         close()
-        yield pd.DataFrame(done, columns=["path", "records", "bytes"]).astype({"records": "int64", "bytes": "int64"})
+        yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
+
+    return written(with_response(pages, least_bytes).mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
 
-    return written(with_response(pages, least_bytes).mapInPandas(write, "path string, records long, bytes long"), "warc-manifest")
+
+FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
@@ -168,44 +182,33 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
     With payloads, also payload (binary; null for a revisit). An archive is read as a stream, one record at a time.
     """
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path in part["path"]:
-                fs, at = _file_system(path)
-                with fs.open_input_stream(at, compression=None) as file:
-                    rows, size = [], 0
-                    for head, block in records(file):
-                        data = payload(head, block)
-                        length = int(head["warc-payload-length"])
-                        if data is not None and len(data) != length:
-                            raise WarcError(f"payload length of {head.get('warc-record-id')}")
-                        rows.append((_page(head["warc-record-id"]), head.get("warc-target-uri"), length, head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], _page(head.get("warc-refers-to")), *([data] if payloads else [])))
-                        size += length
-                        if len(rows) == 4096 or payloads and size > 8 << 20:
-                            yield _frame(rows, names)
-                            rows, size = [], 0
-                    yield _frame(rows, names)
-
-    # An archive a row: dealt evenly, as an archive is bounded in size.
-    return manifest.select("path").repartition("path").mapInPandas(read, schema)
-
-
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
-
-
-def _page(urn: str | None) -> int | None:
-    bare = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(bare) if bare else None
-
-
-def _file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if not urlsplit(uri).scheme:
-        return pyarrow.fs.LocalFileSystem(), uri
-    return pyarrow.fs.FileSystem.from_uri(uri)
+    fields = FIELDS.append(pa.field("payload", pa.binary())) if payloads else FIELDS
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (x for b in batches for x in b.column("path").to_pylist()):
+            fs, at = pyarrow.fs.FileSystem.from_uri(path)
+            with fs.open_input_stream(at, compression=None) as file:
+                rows, size = [], 0
+                for head, block in records(file):
+                    data = payload(head, block)
+                    length = int(head["warc-payload-length"])
+                    if data is not None and len(data) != length:
+                        raise WarcError(f"payload length of {head.get('warc-record-id')}")
+                    found = (_number(head.get("warc-page-id")), head.get("warc-target-uri"), length, head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], _number(head.get("warc-refers-to-page-id")), data)
+                    rows.append(dict(zip(fields.names, found)))
+                    size += length
+                    if len(rows) == 4096 or payloads and size > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, fields)
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_pylist(rows, fields)
+
+    schema = ", ".join(f"{x} {'long' if x in ('page_id', 'payload_bytes', 'refers_to') else 'binary' if x == 'payload' else 'string'}" for x in fields.names)
+    # An archive a row, bounded in size: dealt over as many tasks as there are archives, a number that isn't coalesced.
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read, schema)
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text else None
 
 
 def archived(pages: DataFrame, folder: str) -> DataFrame:
@@ -219,8 +222,6 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    import uuid
-
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     found = archived(table(spark, sf_dir, "pages"), folder)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
