@@ -448,9 +448,9 @@ def test_bpe_forms_and_evictions_agree(monkeypatch, tiktoken_encoding):
 
 def brute_topk(rows, k, every):
     out = []
-    for q, v in rows:
+    for own, (q, v) in enumerate(rows):
         if q % every == 0:
-            scores = sorted((-sum(int(a) * int(b) for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))
+            scores = sorted((-sum(int(a) * int(b) for a, b in zip(v, w)), i) for n, (i, w) in enumerate(rows) if n != own and len(w) == len(v))
             out += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
@@ -492,11 +492,19 @@ def test_topk_edges(spark):
     schema = "vec_id long, embedding array<double>"
     bad = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, [0.0, 0.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (200, []), (6, [1.0]), (7, [-3.0, 1.0]), (None, [1.0, 1.0]), (8, [1e9, -1e9]), (300, [1e9, 1e9])]
     got = topk.top_k(spark.createDataFrame(bad, schema)).collect()
-    per = Counter(r.query_id for r in got)
-    assert per == {0: 4, 100: 4, 300: 4, 200: 1}
+    part = [(i, np.floor(1024 * np.array(v))) for i, v in bad if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ends = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted((q, n, i, ends(s)) for q, n, i, s in brute_topk(part, 10, 100))
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_topk_keeps_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (100, [0.0, 1.0]), (100, [0.25, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_topk([(i, np.floor(1024 * np.array(v))) for i, v in rows], 10, 100)
+    assert [r.score for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0][:2] == [1024 * 921, 1024 * 512]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     from oracle import same
