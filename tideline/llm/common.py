@@ -29,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """A path as a URI of the file system that Spark takes it to be on."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, fresh, table, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE = 3
@@ -128,7 +128,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: each node and its smaller neighbours go to the least of those
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = _join_salted(large, least).select("b", "m").union(least.select("a", "m")).toDF("b", "a").filter("a <> b").distinct()
-        now = written(small.select("a", "b"), "simhash-edges")
+        before, now = now, written(small.select("a", "b"), "simhash-edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
@@ -171,12 +172,14 @@ def kept_documents(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     name, text = F.col("doc_id").cast("string"), F.col("text").cast("string")
     size = F.coalesce(F.length(name).cast("string"), F.lit("-"))
     key = F.sha2(F.concat(size, F.lit(":"), F.coalesce(name, F.lit("")), F.coalesce(F.concat(F.lit("="), text), F.lit("-"))), 256)
-    keyed = docs.withColumn("__row_key", key)
-    rows = written(fingerprints(keyed, "__row_key"), "simhash-rows")
+    mark = fresh(docs, "__row_key")
+    keyed = docs.withColumn(mark, key)
+    rows = written(fingerprints(keyed, mark).withColumnRenamed(mark, "row_key"), "simhash-rows")
     # Copies may be a third of all rows: each least is a partial aggregate, first of a fingerprint, then of a root.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "__row_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "row_key"))
     least = rooted(rows.groupBy("fp").agg(first.alias("first")), crowd).groupBy("root").agg(F.min("first").alias("first"))
-    kept = keyed.dropDuplicates(["__row_key"]).join(least.select("first.__row_key"), "__row_key", "left_semi")
+    # The chosen rows first, by a thin join; of those alone repeats are dropped.
+    kept = keyed.join(written(least.select(F.col("first.row_key").alias(mark)), "simhash-kept"), mark, "left_semi").dropDuplicates([mark])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table
 
 TOKEN = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 17
@@ -129,9 +129,9 @@ def fit(bags: Iterable[Counter], labels: np.ndarray, weights: np.ndarray, epochs
             p *= (weights[part] / len(part))[:, None].astype(np.float32)
             grad_words = (mix.T @ (p @ out.T) * SCALE) / of_word
             grad_out, grad_bias = hidden.T @ p, p.sum(axis=0)
-            slots, inverse = np.unique(ids, return_inverse=True)
-            spread = np.repeat(grad_words, lengths, axis=0)
-            grad = np.stack([np.bincount(inverse, spread[:, j], len(slots)) for j in range(DIM)], axis=1).astype(np.float32) + decay * vectors[slots]
+            slots = np.flatnonzero(np.bincount(ids, minlength=BUCKETS))
+            of = np.repeat(np.arange(len(words)), lengths)
+            grad = np.stack([np.bincount(ids, g[of], BUCKETS)[slots] for g in np.ascontiguousarray(grad_words.T)], axis=1).astype(np.float32) + decay * vectors[slots]
             seen[slots] += (grad**2).mean(axis=1, keepdims=True)
             vectors[slots] -= step * grad / np.sqrt(seen[slots])
             seen_out += grad_out**2
@@ -171,7 +171,8 @@ class Scorer:
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     """text, toxic, share: at most per_class training rows of each class, and the class's share of all training rows.
 
-    Rows with a null doc_id or a label other than 0 and 1 don't teach. Of several labels of a doc_id the larger counts.
+    Rows with a null doc_id or a label other than 0 and 1 don't teach. Of several labels of a doc_id the larger counts, of several
+    texts the least, so that repeated ids don't loosen the bound.
     """
     usable = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 <> 2")
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -182,7 +183,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
         chosen = part if chosen is None else chosen.union(part)
     chosen = chosen.join(F.broadcast(totals), "toxic")  # two rows
     # at most 2 * per_class ids of a few bytes each
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", F.col("count").alias("of"))
+    taught = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return taught.groupBy("doc_id", "toxic", F.col("count").alias("of")).agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model | None:
@@ -243,8 +245,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, threshol
 
 def clean_documents(docs: DataFrame, labels: DataFrame, per_class: int = 3000, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns."""
-    kept = with_score(docs, train(docs, labels, per_class), "__toxicity").filter(F.col("__toxicity") < threshold)
-    return kept.drop("__toxicity")
+    name = fresh(docs, "__toxicity")
+    return with_score(docs, train(docs, labels, per_class), name).filter(F.col(name) < threshold).drop(name)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
