@@ -1,5 +1,6 @@
 """The ten operators against brute force, round trips and held-out accuracy, and in the cases that tables can bring."""
 
+import datetime
 import io
 import os
 import random
@@ -143,6 +144,12 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-5
 
 
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    d, labels = toy(spark, 60)
+    rows = toxicity.sample(d.union(d).union(d.withColumn("text", F.lit("a"))), labels, 5).collect()
+    assert Counter(r.toxic for r in rows) == {0: 5, 1: 5} and {r.text for r in rows} == {"a"}
+
+
 def test_toxicity_edges(spark, edge, nothing):
     _, labels = toy(spark, 40)
     got = toxicity.toxicity(edge, labels).collect()
@@ -171,6 +178,16 @@ def test_pseudonyms_keep_their_format(kind, value, valid):
     assert pii.pseudonym(kind, value, b"other") != new
 
 
+def test_one_date_is_linked_in_all_layouts():
+    """Year, day and month first; 02/29 can only be month first."""
+    numbers = lambda v: sorted(map(int, re.split("[-/.]", v)))
+    for same in (["2024-02-29", "29.02.2024", "02/29/2024", "2024/2/29"], ["2021-04-03", "03.04.2021", "3/4/2021"]):
+        new = [pii.pseudonym("date", v) for v in same]
+        assert len({tuple(numbers(v)) for v in new}) == 1 and numbers(new[0]) != numbers(same[0])
+    days = [(datetime.date(1990, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(3000)]
+    assert len({pii.pseudonym("date", d) for d in days}) == len(days)
+
+
 def test_pii_leaves_what_does_not_validate():
     for text in ("1234567890123456 999.1.1.1 v 3.4.5 on 2024-13-45", "plain words 12 and 345", "a@b", ""):
         assert pii.replaced(text) == (text, [])
@@ -182,7 +199,8 @@ def test_pii_leaves_what_does_not_validate():
         ("card 4111111111111111 7 items", "4111111111111111", "card"), ("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"), ("4111111111111111 12/27", "4111111111111111", "card"), ("5 4111111111111111", "4111111111111111", "card"),
         ("4111-1111-1111-1111-123", "4111-1111-1111-1111", "card"), ("ES91 2100 0418 4502 0005 1332 2024", "ES91 2100 0418 4502 0005 1332", "iban"), ("XX12 GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32", "iban"),
         ("at 2024-01-15T10:00:00Z", "2024-01-15", "date"), ("at 2024-01-15T10:00:00.5+00:00", "2024-01-15", "date"),
-        ('token="' + "a1B2" * 75 + '"', '"' + "a1B2" * 75 + '"', "secret"), ("token=" + "a1B2" * 75, "a1B2" * 75, "secret"), ("api_key: " + "0af9" * 5000, "0af9" * 5000, "secret"),
+        ('token="' + "a1B2" * 75 + '"', '"' + "a1B2" * 75 + '"', "secret"), ("token=" + "a1B2" * 75, "a1B2" * 75, "secret"), ("api_key: " + "0af9" * 5000, "0af9" * 5000, "secret"), ("password = hunterhunterhunterhunter", "hunterhunterhunterhunter", "secret"),
+        ("to " + "a.b1" * 50 + "@example.com now", "a.b1" * 50 + "@example.com", "mail"),
     ],
 )
 def test_pii_finds_values_within_and_long_ones(text, value, kind):
@@ -210,15 +228,50 @@ def test_pii_links_and_places(spark, edge, nothing):
     out = pii.pseudonymised(edge)
     assert out.columns == edge.columns and sorted(map(repr, out.collect())) == sorted(map(repr, edge.collect()))
     assert pii.pseudonymised(nothing, spans="spans").count() == 0
+    clash = spark.createDataFrame([(1, "call 017-555-7713", "old", 9)], "doc_id long, text string, spans string, __pii long")
+    (row,) = pii.pseudonymised(clash, spans="spans").collect()
+    assert row.asDict().keys() == {"doc_id", "text", "spans", "__pii"} and row["__pii"] == 9 and row.spans[0].kind == "phone"
+
+
+def local_sums(tokens):
+    x = np.log(np.array(tokens) / max(tokens, default=1))
+    return lambda at: [(np.exp(a * x).sum(), (np.exp(a * x) * x).sum()) for a in at]
+
+
+def weights(tokens, a):
+    raw = np.array(tokens) ** a
+    return raw / raw.sum()
+
+
+def solved(tokens, target, limit, budget=None):
+    return mixing.solve(local_sums(tokens), len(tokens), min(tokens, default=1), max(tokens, default=1), target, limit, budget)
+
+
+def entropy(shares):
+    return -sum(p * np.log(p) for p in shares)
 
 
 def test_weights_meet_their_goals():
     tokens = [1000.0, 10.0, 1.0]
-    a = mixing.solve(tokens, 0.9, 1e9)
-    assert mixing.entropy(mixing.weights(tokens, a)) >= 0.9 * np.log(3) and mixing.entropy(mixing.weights(tokens, a + 1e-6)) < 0.9 * np.log(3)
-    a = mixing.solve(tokens, 0.9, 3.0)
-    assert max(mixing.repeats(tokens, mixing.weights(tokens, a), None)) == pytest.approx(3.0, rel=1e-6)
-    assert mixing.solve(tokens, 0.0, 3.0) == 1.0 and mixing.solve([], 0.9, 2.0) == 1.0
+    a = solved(tokens, 0.9, 1e9)
+    assert entropy(weights(tokens, a)) >= 0.9 * np.log(3) and entropy(weights(tokens, a + 1e-6)) < 0.9 * np.log(3)
+    a = solved(tokens, 0.9, 3.0)
+    ratio = weights(tokens, a) / tokens
+    assert max(ratio) / min(ratio) == pytest.approx(3.0, rel=1e-6)
+    a = solved(tokens, 0.9, 3.0, budget=500.0)
+    assert max(500 * weights(tokens, a) / tokens) == pytest.approx(3.0, rel=1e-6)
+    assert solved(tokens, 0.0, 3.0) == 1.0 and solved([], 0.9, 2.0) == 1.0 and solved([5.0], 0.9, 2.0) == 1.0
+
+
+def test_mixing_sums_and_clashing_columns(spark):
+    tokens = [float(3 + i % 7 * 100) for i in range(50)]
+    got = mixing.sums_of(spark.createDataFrame([(t,) for t in [*tokens, 0.0]], "tokens double"), max(tokens))([0.2, 0.9])
+    assert np.allclose(got, local_sums(tokens)([0.2, 0.9]))
+    rows = [(i, f"t{i} " * (i % 9 + 1), f"s{i % 3}", 10 * i, 1, "w", 77, -1) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, full long, last long, weight string, Mix_Pass long, row long")
+    out = mixing.mixed(d)
+    assert out.columns == ["doc_id", "text", "source", "full", "last", "weight", "row", *mixing.MADE]
+    assert {(r.doc_id, r.full, r.last, r.weight, r.row) for r in out.collect()} == {(r[0], r[3], r[4], r[5], r[7]) for r in rows}
 
 
 def test_mixing_equals_brute_force(spark):
@@ -230,8 +283,9 @@ def test_mixing_equals_brute_force(spark):
     for i, t in rows:
         per["big" if i < 700 else "mid" if i < 850 else None] += len(t.split())
     names = sorted(per, key=str)
-    shares = mixing.weights([per[n] for n in names], mixing.solve([per[n] for n in names], 0.97, 2.0))
-    want = dict(zip(names, mixing.repeats([per[n] for n in names], shares, None)))
+    tokens = [float(per[n]) for n in names]
+    ratio = weights(tokens, solved(tokens, 0.97, 2.0)) / tokens
+    want = dict(zip(names, ratio / min(ratio)))
     have, times = defaultdict(int), Counter()
     for r in got:
         have[r.source] += len(r.text.split())

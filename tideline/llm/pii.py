@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 KEY = b"tideline-pseudonyms"  # a deployment passes its own
 ROUNDS = 10
 #: Characters of a secret that are permuted as one number; longer values aren't cached either.
 LONG = 256
 
-MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?=[A-Za-z0-9])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
+MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?=[A-Za-z0-9])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,63}(?![A-Za-z0-9])")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b(\s{0,3}[:=]\s{0,3})(\"[^\"\s]{8,}\"|'[^'\s]{8,}'|[A-Za-z0-9+/_=-]{16,})")
 KINDS = {
     "date": r"\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}",
@@ -44,9 +44,10 @@ NUMBER = re.compile(r"(?<![\w.+-])(?:" + "|".join(f"(?P<{kind}>{p}){ENDS[kind]}"
 #: Kinds alone, for the shorter ends of a match that doesn't validate; and where those may be.
 ALONE = {kind: (re.compile(f"(?:{p}){ENDS[kind]}"), re.compile(p), re.compile(ENDS[kind])) for kind, p in KINDS.items()}
 SEPARATOR = re.compile(r"[^\w()]")
-#: Where NUMBER may begin; a text without these is not searched for numbers.
+#: Where NUMBER may begin, and what SECRET needs; a text without these is not searched for them.
 DIGIT = re.compile(r"\d")
-FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
+ASSIGNED = re.compile(r"[:=]")
+FIRST, LAST = datetime.date(1900, 1, 1), datetime.date(2100, 1, 1)
 
 
 def permuted(x: int, n: int, key: bytes, tweak: str) -> int:
@@ -147,39 +148,39 @@ def _iban(text: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
+def _other_date(day: datetime.date, key: bytes) -> datetime.date:
+    """The pseudonym of a date: days to 12, which could be months, among their like, later ones among theirs."""
+    if day.day <= 12:
+        x = permuted(((day.year - FIRST.year) * 12 + day.month - 1) * 12 + day.day - 1, (LAST.year - FIRST.year) * 144, key, "date early")
+        return datetime.date(FIRST.year + x // 144, x // 12 % 12 + 1, x % 12 + 1)
+    x, first, n = day.toordinal(), FIRST.toordinal(), LAST.toordinal() - FIRST.toordinal()
+    while True:
+        x = first + permuted(x - first, n, key, "date late")
+        if (found := datetime.date.fromordinal(x)).day > 12:
+            return found
+
+
 def _date(text: str, key: bytes) -> str | None:
+    """A calendar date in any layout: a year first, or a day first, or a month first where it can only be so; one date has one pseudonym in all."""
     sep = re.search(r"\D", text)[0]
     parts = text.split(sep)
     numbers = list(map(int, parts))
     for order in ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0), (2, 0, 1)):
         try:
-            day = datetime.date(*(numbers[i] for i in order)).toordinal()
+            day = datetime.date(*(numbers[i] for i in order))
         except ValueError:
             continue
         if FIRST <= day < LAST:
-            # 13/02/2001 can only be day first; what could be either is permuted among the dates that could be either.
-            both = len(parts[0]) < 4 and numbers[0] <= 12 and numbers[1] <= 12
-            if both:
-                x = permuted((numbers[2] - 1900) * 144 + (numbers[0] - 1) * 12 + numbers[1] - 1, 200 * 144, key, "date either")
-                new = [x // 12 % 12 + 1, x % 12 + 1, x // 144 + 1900]
-            else:
-                kind = "date" if len(parts[0]) == 4 else f"date {order}"
-                x = day - FIRST
-                while True:
-                    x = permuted(x, LAST - FIRST, key, kind)
-                    d = datetime.date.fromordinal(x + FIRST)
-                    if len(parts[0]) == 4 or d.day > 12:
-                        break
-                new = [0, 0, 0]
-                for i, v in zip(order, (d.year, d.month, d.day)):
-                    new[i] = v
+            new, found = [0, 0, 0], _other_date(day, key)
+            for i, v in zip(order, (found.year, found.month, found.day)):
+                new[i] = v
             return sep.join(str(v).zfill(max(2, len(p))) if len(p) > 1 or v > 9 else str(v) for v, p in zip(new, parts))
     return None
 
 
-def _secret(text: str, key: bytes) -> str:
-    """Hex digits, or letters and digits within their classes; of more than LONG characters by blocks, each keyed by all before it."""
-    hexed, out, seen = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text), [], hashlib.blake2b()
+def _blocks(text: str, key: bytes, kind: str, lower: bool = False) -> str:
+    """A secret's hex digits, or letters and digits within their classes; of more than LONG characters by blocks, each keyed by all before it."""
+    hexed, out, seen = kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text), [], hashlib.blake2b()
     for at in range(0, len(text), LONG):
         part = text[at : at + LONG]
         place = f"|{len(text)}|{seen.copy().hexdigest()}" if len(text) > LONG else ""
@@ -187,7 +188,7 @@ def _secret(text: str, key: bytes) -> str:
             new = f"{permuted(int(part, 16), 16 ** len(part), key, 'hex' + place):0{len(part)}x}"
             out.append(new.upper() if text.isupper() else new)
         else:
-            out.append(_characters(part, key, "secret" + place))
+            out.append(_characters(part, key, kind + place, lower))
         seen.update(part.encode("utf-8", "surrogatepass"))
     return "".join(out)
 
@@ -200,13 +201,10 @@ def pseudonym(kind: str, value: str, key: bytes = KEY) -> str | None:
     """The pseudonym of a value of a kind, or None if it doesn't validate."""
     if kind == "mail":
         local, _, domain = value.rpartition("@")
-        return f"{_characters(local, key, 'mail', lower=local.islower())}@{domain}"
+        return f"{_blocks(local, key, 'mail', lower=local.islower())}@{domain}"
     if kind == "secret":
         inner = value[1:-1] if value[0] in "\"'" else value
-        if not any(c.isdigit() for c in inner):
-            return None
-        new = _secret(inner, key)
-        return value.replace(inner, new)
+        return value.replace(inner, _blocks(inner, key, "secret"))
     return _HOW[kind](value, key)
 
 
@@ -231,11 +229,12 @@ def find(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
     Where a match as a whole doesn't validate, its shorter ends are tried, then the search resumes within it.
     """
     found = []
+    whole = lambda kind, value: (pseudonym if len(value) <= LONG else pseudonym.__wrapped__)(kind, value, key)
     if "@" in text:
-        found += [(m.start(), m.end(), "mail", pseudonym("mail", m[0], key)) for m in MAIL.finditer(text)]
+        found += [(m.start(), m.end(), "mail", whole("mail", m[0])) for m in MAIL.finditer(text)]
+    if ASSIGNED.search(text):
+        found += [(*m.span(2), "secret", whole("secret", m[2])) for m in SECRET.finditer(text)]
     if DIGIT.search(text):
-        secret = lambda value: (pseudonym if len(value) <= LONG else pseudonym.__wrapped__)("secret", value, key)
-        found += [(*m.span(2), "secret", new) for m in SECRET.finditer(text) if (new := secret(m[2]))]
         at = 0
         while m := NUMBER.search(text, at):
             kind = next(k for k in KINDS if m[k] is not None)
@@ -276,7 +275,8 @@ SPANS = "array<struct<start:int,end:int,kind:string>>"
 def pseudonymised(docs: DataFrame, key: bytes = KEY, spans: str | None = None) -> DataFrame:
     """docs(text, ...) with personal data of every whole text replaced; spans names a column for the places, in code points.
 
-    Null texts stay null, empty ones empty; rows, repeated ones too, and all other columns stay as they are.
+    Null texts stay null, empty ones empty; rows, repeated ones too, and all other columns stay as they are, but that one named as
+    spans gives way to the places. No rows give no rows.
     """
 
     @F.pandas_udf(f"text string, spans {SPANS}")
@@ -285,9 +285,10 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, spans: str | None = None) -
             done = [replaced(t, key) for t in texts]
             yield pd.DataFrame({"text": [t for t, _ in done], "spans": [[{"start": a, "end": b, "kind": k} for a, b, k in s] for _, s in done]})
 
-    done = docs.withColumn("__pii", run(F.col("text").cast("string")))
-    columns = [F.col("__pii.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*columns, *([F.col("__pii.spans").alias(spans)] if spans else []))
+    name = fresh(docs, "__pii")
+    done = docs.withColumn(name, run(F.col("text").cast("string")))
+    columns = [F.col(f"{name}.text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() != (spans or "text ").lower()]
+    return done.select(*columns, *([F.col(f"{name}.spans").alias(spans)] if spans else []))
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
