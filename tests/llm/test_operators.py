@@ -441,16 +441,69 @@ def test_quality_rejects_outliers(spark, edge, nothing):
     got = {r.doc_id: r for r in quality.quality(docs(spark, rows).withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string")})).collect()}
     assert sum(got[i].kept for i in range(400)) >= 398 and not any(got[1000 + i].kept for i in range(10))
     few = quality.quality(edge).collect()
-    assert len(few) == len(EDGE) and all(r.kept == (not r.base_failed) and r.distance is None for r in few)
+    assert len(few) == len(EDGE) and all(not r.kept and r.base_failed and r.distance is None for r in few)
     assert quality.quality(nothing).count() == 0
 
 
-def test_mcd_resists_a_quarter_of_outliers(spark):
+def test_chi_square():
+    for share, want in ((0.5, 5.348), (0.95, 12.592), (0.999, 22.458)):
+        assert quality.chi_square(share) == pytest.approx(want, rel=5e-3)
+
+
+def vectors_table(spark, values, groups):
+    rows = [(*map(float, v), i % 4, g, False) for i, (v, g) in enumerate(zip(values, groups))]
+    return spark.createDataFrame(rows, ", ".join(f"{x} double" for x in quality.X) + ", salt int, groups array<string>, base_failed boolean")
+
+
+def least_determinant(values, rng, starts=60, steps=12):
+    """The least determinant (with the floor) that concentration steps from random starts of 8 rows find."""
+    found, h = [], int(np.ceil(quality.SUPPORT * len(values)))
+    for _ in range(starts):
+        near = values[rng.choice(len(values), 8, replace=False)]
+        for _ in range(steps):
+            inverse = np.linalg.inv(np.cov(near.T, bias=True) + quality._FLOOR)
+            off = values - near.mean(axis=0)
+            near = values[np.argsort(np.einsum("ij,jk,ik->i", off, inverse, off))[:h]]
+        found.append(np.linalg.slogdet(np.cov(near.T, bias=True) + quality._FLOOR)[1])
+    return min(found)
+
+
+def test_mcd_meets_the_least_determinant_of_random_starts(spark):
+    """Groups of 15 to 720 rows with up to a quarter of outliers, correlated or not, against many random starts in numpy."""
     rng = np.random.default_rng(8)
-    values = np.vstack([rng.normal(0, 1, (600, 6)), rng.normal(25, 1, (120, 6))])
-    rows = spark.createDataFrame([(*map(float, v), i % 4, ["g"], False) for i, v in enumerate(values)], ", ".join(f"{x} double" for x in quality.X) + ", salt int, groups array<string>, base_failed boolean")
-    found = quality.estimates(rows).first()
-    assert np.abs(np.array(found.centre)).max() < 0.6
+    mix = rng.normal(0, 1, (6, 6))
+    parts = {"plain": np.vstack([rng.normal(0, 1, (600, 6)), rng.normal(25, 1, (120, 6))]), "mixed": np.vstack([rng.normal(0, 1, (300, 6)) @ mix, rng.normal(0, 1, (60, 6)) @ mix + 9]), "small": np.vstack([rng.normal(3, 1, (15, 6)), rng.normal(40, 0.1, (3, 6))])}
+    values, names = np.vstack(list(parts.values())), [[g] for g, v in parts.items() for _ in v]
+    got = {r.g: r for r in quality.estimates(vectors_table(spark, values, names)).collect()}
+    for g, v in parts.items():
+        # The histogram's limit takes a few rows more than the share, each of which adds a little to the determinant.
+        assert got[g].logdet <= least_determinant(v, rng) + (0.6 if len(v) > 100 else 4), g
+        clean = v[: len(v) * 5 // 6]
+        assert np.abs(np.array(got[g].centre) - np.median(clean, axis=0)).max() < 1.0, g
+
+
+def test_quality_verdict_by_brute_force(spark):
+    """distance and kept of real documents against numpy on the statistics, with the operator's estimates pooled anew."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = quality._levels(quality.transformed(quality.measured(d)).withColumn("salt", F.lit(0)))
+    found = {r.g: r.asDict() for r in quality.estimates(rows).collect()}
+    got = {r.doc_id: r for r in quality.quality(d).collect()}
+    for r in rows.collect():
+        cov = None
+        for x in (found[g] for g in r.groups if g in found):
+            white = np.zeros((6, 6))
+            white[np.tril_indices(6)] = x["white"]
+            s, c, n = np.linalg.inv(white.T @ white), np.array(x["centre"]), x["n"]
+            if cov is None:
+                cov, centre = np.diag([25 * v**2 for v in quality.SPREADS.values()]), c
+            both = (n * c + quality.PRIOR * centre) / (n + quality.PRIOR)
+            cov = (n * (s + np.outer(c - both, c - both)) + quality.PRIOR * (cov + np.outer(centre - both, centre - both))) / (n + quality.PRIOR)
+            centre = both
+        off = np.array([r[x] for x in quality.X]) - centre
+        distance = np.sqrt(off @ np.linalg.solve(cov, off))
+        assert got[r.doc_id].distance == pytest.approx(distance, rel=1e-3)
+        assert got[r.doc_id].kept == (not r.base_failed and distance <= np.sqrt(quality.chi_square(1 - quality.REJECTED))) or abs(distance - 6.3) < 0.05
+    assert sum(r.kept for r in got.values()) > 0.7 * len(got)
 
 
 @pytest.fixture(scope="module")

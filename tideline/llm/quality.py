@@ -1,10 +1,12 @@
 """Quality rules: text statistics, fixed rules, and robust multivariate outliers per language and source.
 
-Each text gives a vector of transformed statistics. Per (lang, source) a minimum-covariance-determinant estimate is found
-over all of its rows by concentration steps: the `SUPPORT` share of rows nearest to the present centre, by Mahalanobis distance, gives the next
-centre and covariance. A step is one aggregation of moments (partial sums in each task, so that a
-source with a third of all rows costs no task more) and one quantile a group; the groups' small matrices are inverted in tasks, one row a group. Groups
-with few rows borrow their language's estimate, or that of all rows. Rows beyond the cut-off distance are rejected.
+Each text gives a vector of transformed statistics. Per (lang, source), per language and over all rows a minimum-covariance-determinant
+estimate is found: of three starts (medians, the covariance of squashed values, that of spatial signs) each takes concentration steps, in
+which the `SUPPORT` share of rows nearest to the present centre, by Mahalanobis distance, gives the next centre and covariance; the
+start with the least determinant is taken on. A step is a histogram of distances (for the share's limit) and a sum of
+moments, both over all rows and both aggregated by salt before by group, so that a source with a third of all rows costs no task more; the
+groups' small matrices are inverted in tasks, one row a group. Covariances are regularised alike at every size: a group's counts
+with its rows, its parent's (language, all, then fixed spreads) as `PRIOR` rows. Rows beyond the chi-square cut-off are rejected.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -25,8 +28,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
-#: Share of a group's rows in the estimate, concentration steps, rows a group needs, and the cut-off of the scaled distance.
-SUPPORT, STEPS, LEAST_ROWS, CUT = 0.75, 4, 100, 6.0
+#: Share of a group's rows in the estimate, concentration steps of all starts and of the best, and the rows that a parent counts for.
+SUPPORT, FIRST_STEPS, LAST_STEPS, PRIOR = 0.75, 2, 3, 20
+#: Share of normal vectors that the cut-off would reject.
+REJECTED = 1e-6
 #: Transformed statistics and the least standard deviation each is given, so that a statistic which is constant in
 #: clean text doesn't reject the first deviation.
 SPREADS = {"x_length": 0.25, "x_words": 0.5, "x_symbols": 0.05, "x_lines": 0.2, "x_repeats": 0.1, "x_alnum": 0.03}
@@ -88,13 +93,19 @@ def transformed(stats: DataFrame) -> DataFrame:
 
 
 def _levels(rows: DataFrame) -> DataFrame:
-    """Each row once a level: all rows, its language, its (lang, source); g names the group of the level."""
+    """Each row with the names of its groups: all rows, its language, its (lang, source)."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     lang = name("lang")
     both = F.concat(F.length(lang).cast("string"), F.lit(":"), lang, name("source"))
     return rows.withColumn("groups", F.array(F.lit("*"), F.concat(F.lit("l"), lang), F.concat(F.lit("s"), both)))
 
 
+def chi_square(share: float, degrees: int = len(X)) -> float:
+    """The quantile of chi-square, by Wilson and Hilferty."""
+    v = 2 / (9 * degrees)
+    return degrees * (1 - v + NormalDist().inv_cdf(share) * math.sqrt(v)) ** 3
+
+
 def _distance(est: Column) -> Column:
     """Squared Mahalanobis distance of X to an estimate's centre, by the rows of its whitening matrix (lower triangle)."""
     d = [F.col(x) - est["centre"][i] for i, x in enumerate(X)]
@@ -108,84 +119,156 @@ def _distance(est: Column) -> Column:
     return total
 
 
-ESTIMATE = "g string, n long, centre array<double>, white array<double>"
+KEY = ["g", "start"]
+ESTIMATES = "g string, start int, logdet double, n double, centre array<double>, white array<double>"
+_FLOOR = np.diag(np.array(list(SPREADS.values())) ** 2)
+_UPPER, _LOWER = np.triu_indices(len(X)), np.tril_indices(len(X))
 
 
-def _estimates(moments: DataFrame) -> DataFrame:
-    """Centre and whitening of each group's moments; the least spreads are added to the covariance."""
-    floor = np.diag(np.array(list(SPREADS.values())) ** 2)
-    upper = np.triu_indices(len(X))
+def _estimate(n: float, centre: np.ndarray, cov: np.ndarray) -> dict:
+    root = np.linalg.cholesky(cov + 1e-12 * np.eye(len(X)))
+    return {"logdet": 2 * float(np.log(np.diag(root)).sum()), "n": float(n), "centre": centre.tolist(), "white": np.linalg.inv(root)[_LOWER].tolist()}
 
-    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for g, n, sums, products in part[["g", "n", "sums", "products"]].itertuples(index=False, name=None):
-                centre = np.array(sums) / n
-                second = np.zeros((len(X), len(X)))
-                second[upper] = np.array(products) / n
-                second = second + np.triu(second, 1).T
-                white = np.linalg.inv(np.linalg.cholesky(second - np.outer(centre, centre) + floor + 1e-12 * np.eye(len(X))))
-                rows.append((g, n, centre.tolist(), white[np.tril_indices(len(X))].tolist()))
-            yield pd.DataFrame(rows, columns=["g", "n", "centre", "white"])
 
-    return moments.mapInPandas(solve, ESTIMATE)
+def _covariance(n: float, sums: list[float], products: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    centre, second = np.array(sums) / n, np.zeros((len(X), len(X)))
+    second[_UPPER] = np.array(products) / n
+    return centre, second + np.triu(second, 1).T - np.outer(centre, centre)
+
+
+def _spread(table_: DataFrame) -> DataFrame:
+    """A row a group, sent to all salts, for groups with very many rows."""
+    return table_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    sums = F.array(*[F.sum(x) for x in X])
-    products = F.array(*[F.sum(F.col(a) * F.col(b)) for i, a in enumerate(X) for b in X[i:]])
-    return rows.groupBy("g").agg(F.count("*").alias("n"), sums.alias("sums"), products.alias("products"))
+    """Number of rows, sums and products of X for each group and start; by salt first."""
+    x = [F.col(c) for c in X]
+    terms = [F.lit(1.0), *x, *(x[i] * x[j] for i, j in zip(*_UPPER))]
+    parts = rows.groupBy(*KEY, "salt").agg(*[F.sum(t).alias(f"s{i}") for i, t in enumerate(terms)])
+    total = parts.groupBy(*KEY).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(terms))])
+    return total.select(*KEY, F.col("s0").alias("n"), F.array(*[f"s{i}" for i in range(1, 1 + len(X))]).alias("sums"), F.array(*[f"s{i}" for i in range(1 + len(X), len(terms))]).alias("products"))
 
 
-def _with_estimate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows(g, salt) with their group's estimate; each estimate is sent to all salts, for groups with very many rows."""
-    spread = estimates.select("g", F.struct("n", "centre", "white").alias("est"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows.join(spread, ["g", "salt"])
+def _quantiles(values: DataFrame, share: float) -> DataFrame:
+    """For each place of the arrays v the least whole number, q, under which the share of the values lies; values(g, start, v) are on a unit grid.
 
+    Counts of (group, place, number) are summed wherever their rows are; a group's numbers are few, as the grids are coarse.
+    """
+    counts = values.select(*KEY, F.posexplode("v").alias("k", "v")).groupBy(*KEY, "k", F.floor("v").alias("b")).agg(F.count("*").alias("n"))
+    window = Window.partitionBy(*KEY, "k")
+    run = counts.withColumns({"run": F.sum("n").over(window.orderBy("b")), "of": F.sum("n").over(window)})
+    least = run.filter(F.col("run") >= share * F.col("of")).groupBy(*KEY, "k").agg((F.min("b") + 1).cast("double").alias("q"))
+    return least.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("q"))
 
-def estimates(rows: DataFrame, steps: int = STEPS, support: float = SUPPORT) -> DataFrame:
-    """g, n, centre and white of each group of each level, by concentration steps over all rows that passed the rules."""
-    members = rows.filter(~F.col("base_failed")).select(*X, "salt", F.explode("groups").alias("g"))
-    medians = members.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(x, F.lit(0.5), F.lit(1000)).alias(x) for x in X])
-    off = F.array(*[F.col(x) for x in X])
-    start = medians.select("g", "n", off.alias("centre"))
-    # The first distances are from the coordinates' medians, by the least spreads and the medians of absolute deviations.
-    centred = members.join(start.select("g", "centre", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["g", "salt"])
-    mads = centred.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col("centre")[i]), F.lit(0.5), F.lit(1000)).alias(x) for i, x in enumerate(X)])
-    diagonal = []
-    for i, x in enumerate(X):
-        diagonal += [F.lit(0.0)] * i + [1 / F.sqrt(F.pow(1.4826 * F.col(x), 2) + SPREADS[x] ** 2)]
-    now = written(start.join(mads.select("g", F.array(*diagonal).alias("white")), "g").select("g", "n", "centre", "white"), "quality-estimate")
-    for _ in range(steps):
-        near = _with_estimate(members, now).withColumn("d", _distance(F.col("est")))
-        limit = near.groupBy("g").agg(F.percentile_approx("d", F.lit(support), F.lit(1000)).alias("limit"))
-        within = near.drop("est").join(limit.select("g", "limit", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["g", "salt"]).filter("d <= limit")
-        now = written(_estimates(_moments(within)), "quality-estimate")
-    # The covariance of the nearest rows is too small; the median distance of all rows, against that of a normal, scales it.
-    near = _with_estimate(members, now).withColumn("d", _distance(F.col("est")))
-    middle = near.groupBy("g").agg(F.percentile_approx("d", F.lit(0.5), F.lit(1000)).alias("middle"), F.count("*").alias("rows"))
-    normal = len(X) * (1 - 2 / (9 * len(X))) ** 3  # the median of chi-square
-    scale = F.greatest(F.sqrt(F.col("middle") / normal), F.lit(1.0))
-    return now.join(middle, "g").select("g", F.col("rows").alias("n"), "centre", F.transform("white", lambda x: x / scale).alias("white"))
 
+#: Parts of a least spread, and of a power of e, that histograms tell apart.
+FINE = 8
 
-def quality(docs: DataFrame, cut: float = CUT, least_rows: int = LEAST_ROWS) -> DataFrame:
+
+def _solved(moments: DataFrame, shaped: bool) -> DataFrame:
+    """An estimate from each group's moments; if shaped, from their correlations, with the group's own centre and scale."""
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples(index=False):
+                centre, cov = _covariance(r.n, r.sums, r.products)
+                if shaped:
+                    cov = cov + 1e-3 * np.eye(len(X))
+                    cov, centre = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov))) * np.outer(r.scale, r.scale), np.array(r.centre)
+                rows.append({"g": r.g, "start": r.start, **_estimate(r.n, centre, cov if shaped else cov + _FLOOR)})
+            yield pd.DataFrame(rows, columns=[*KEY, "logdet", "n", "centre", "white"])
+
+    return moments.mapInPandas(solve, ESTIMATES)
+
+
+def _starts(members: DataFrame) -> DataFrame:
+    """The first estimates of each group: by medians and deviations, and with the correlations of tanh and of directions."""
+    width = [SPREADS[x] / FINE for x in X]
+    one = members.withColumn("start", F.lit(0))
+    centre = F.array(*[(F.col("q")[i] - 0.5) * w for i, w in enumerate(width)])
+    centres = written(_quantiles(one.select(*KEY, F.array(*[F.col(x) / w for x, w in zip(X, width)]).alias("v")), 0.5).select("g", centre.alias("centre")), "quality-centre")
+    off = F.array(*[F.abs(F.col(x) - F.col("centre")[i]) / w for i, (x, w) in enumerate(zip(X, width))])
+    mads = _quantiles(one.join(_spread(centres), ["g", "salt"]).select(*KEY, off.alias("v")), 0.5)
+    scales = F.array(*[F.sqrt(F.pow(1.4826 * (F.col("q")[i] - 0.5) * w, 2) + SPREADS[x] ** 2) for i, (x, w) in enumerate(zip(X, width))])
+    scaled = written(centres.join(mads, "g").select("g", "centre", scales.alias("scale")), "quality-scale")
+    z = members.join(_spread(scaled), ["g", "salt"]).select("g", "salt", *[((F.col(x) - F.col("centre")[i]) / F.col("scale")[i]).alias(x) for i, x in enumerate(X)])
+    z = z.withColumn("length", F.sqrt(sum((F.col(x) * F.col(x) for x in X), F.lit(1e-12))))
+    squashed = z.select("g", F.lit(1).alias("start"), "salt", *[F.tanh(x).alias(x) for x in X])
+    turned = z.select("g", F.lit(2).alias("start"), "salt", *[(F.col(x) / F.col("length")).alias(x) for x in X])
+    sums = _moments(squashed.union(turned))
+    # The third start has no correlations: moments of a unit matrix.
+    unit = F.array(*[F.lit(float(i == j)) for i, j in zip(*_UPPER)])
+    plain = scaled.select("g", F.lit(0).alias("start"), F.lit(1.0).alias("n"), F.array(*[F.lit(0.0)] * len(X)).alias("sums"), unit.alias("products"))
+    return _solved(plain.union(sums).join(scaled, "g"), shaped=True)
+
+
+def _step(members: DataFrame, now: DataFrame, support: float) -> DataFrame:
+    """One concentration step of each group's estimates."""
+    place = lambda: F.log(_distance(F.struct("centre", "white")) + 1e-9) * FINE
+    near = members.join(_spread(now.select(*KEY, "centre", "white")), ["g", "salt"])
+    limits = written(_quantiles(near.select(*KEY, F.array(place()).alias("v")), support).select(*KEY, F.col("q")[0].alias("limit")), "quality-limits")
+    within = members.join(_spread(now.select(*KEY, "centre", "white").join(limits, KEY)), ["g", "salt"]).filter(place() < F.col("limit"))
+    return written(_solved(_moments(within), shaped=False), "quality-estimate")
+
+
+def estimates(rows: DataFrame, first_steps: int = FIRST_STEPS, last_steps: int = LAST_STEPS, support: float = SUPPORT) -> DataFrame:
+    """g, n, centre, white and logdet of each group of each level, over all rows that passed the rules."""
+    members = rows.filter(~F.col("base_failed")).select(*X, "salt", F.explode("groups").alias("g"))
+    now = written(_starts(members), "quality-estimate")
+    for _ in range(first_steps):
+        now = _step(members, now, support)
+    # Structs are compared by their first fields: the logarithm of the determinant, then the start.
+    now = now.groupBy("g").agg(F.min(F.struct("logdet", "start", "n", "centre", "white")).alias("best")).select("g", "best.*")
+    for _ in range(last_steps):
+        now = _step(members, now, support)
+    # The covariance of the nearest rows is too small; the median distance of all rows, against that of a normal, scales it.
+    near = members.join(_spread(now.select(*KEY, "centre", "white")), ["g", "salt"])
+    middle = _quantiles(near.select(*KEY, F.array(F.log(_distance(F.struct("centre", "white")) + 1e-9) * FINE).alias("v")), 0.5)
+    counts = members.groupBy("g", "salt").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("n"))
+    scale = F.greatest(F.sqrt(F.exp((F.col("q")[0] - 0.5) / FINE) / chi_square(0.5)), F.lit(1.0))
+    return now.drop("n").join(middle.drop("start"), "g").join(counts, "g").select("g", "n", "centre", F.transform("white", lambda x: x / scale).alias("white"), "logdet")
+
+
+def _combined(levels: list[dict]) -> dict:
+    """One estimate from those of all rows, a language and a source: each pools its rows with PRIOR rows of the one before."""
+    centre = cov = None
+    for x in levels:
+        root = np.zeros((len(X), len(X)))
+        root[_LOWER] = x["white"]
+        root = np.linalg.inv(root)
+        c, s, n = np.array(x["centre"]), root @ root.T, float(x["n"])
+        if cov is None:
+            centre, cov = c, 25 * _FLOOR
+        part, off = n / (n + PRIOR), c - centre
+        centre, cov = centre + part * off, part * s + (1 - part) * cov + part * (1 - part) * np.outer(off, off)
+    return _estimate(0, centre, cov)
+
+
+def quality(docs: DataFrame, rejected: float = REJECTED) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance of every row of docs.
 
-    A row is rejected if it fails a fixed rule, or lies further than `cut` from its group's estimate: that of its (lang, source) if
-    so many rows passed the rules, else its language's, else that of all rows; with fewer rows than that altogether the rules alone
-    decide, and distance is null. Null texts have no words and so fail; null lang and source are values of their own; repeated rows
+    A row is rejected if it fails a fixed rule, or lies beyond the distance that a share `rejected` of normal vectors would, from its
+    (lang, source)'s estimate, pooled with its language's and that of all rows. If no row passes the rules there is no estimate, and
+    distance is null. Null texts have no words and so fail; null lang and source are values of their own; repeated rows
     repeat; no rows give no rows; other columns are not looked at.
     """
     rows = transformed(measured(docs)).withColumn("salt", (F.rand(1) * SALTS).cast("int"))
     rows = written(_levels(rows), "quality-rows")
-    found = written(estimates(rows).filter(F.col("n") >= least_rows), "quality-groups")
-    # Which level serves a group is settled per group, then one estimate a row is joined.
-    named = rows.select("groups").distinct().withColumn("level", F.explode(F.sequence(F.lit(2), F.lit(0), F.lit(-1))))
-    named = named.withColumn("g", F.col("groups")[F.col("level")]).join(found, "g").groupBy("groups").agg(F.max_by(F.struct("centre", "white"), "level").alias("est"))
-    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    judged = rows.join(spread, ["groups", "salt"], "left").withColumn("distance", F.sqrt(_distance(F.col("est"))))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
+    found = written(estimates(rows), "quality-groups")
+    # Estimates of the levels are brought together per (lang, source), then one is joined to each row.
+    named = rows.select("groups").distinct().select("groups", F.posexplode("groups").alias("level", "g")).join(found, "g")
+    named = named.groupBy("groups").agg(F.array_sort(F.collect_list(F.struct("level", "n", "centre", "white"))).alias("levels"))
+
+    def combine(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            made = [_combined(list(x)) for x in part["levels"]]
+            yield pd.DataFrame({"groups": part["groups"], "centre": [m["centre"] for m in made], "white": [m["white"] for m in made]})
+
+    pooled = written(named.mapInPandas(combine, "groups array<string>, centre array<double>, white array<double>"), "quality-pooled")
+    judged = rows.join(_spread(pooled.select("groups", F.struct("centre", "white").alias("est"))), ["groups", "salt"], "left").withColumn("distance", F.sqrt(_distance(F.col("est"))))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= math.sqrt(chi_square(1 - rejected)), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
 
