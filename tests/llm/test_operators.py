@@ -304,32 +304,49 @@ def test_mixing_edges(spark, edge, nothing):
 
 
 def brute_license(text):
+    """Every window of a template's span against it, with plain sets."""
     words = licenses.words_of(text or "")
     found = [(i, label) for p, label in licenses.PHRASES.items() for q in [p.split()] for i in range(len(words)) if words[i : i + len(q)] == q]
-    labels, best = {x for _, x in found}, 1.0 if found else 0.0
-    for start in range(0, len(words), licenses.BLOCK // 2):
-        block = set(words[start : start + licenses.BLOCK])
-        for label, t in licenses.TEMPLATES:
-            words_t = licenses.template_words(t)
-            share = len(words_t & block) / len(words_t)
-            if share >= licenses.CONTAINMENT - 1e-9:
-                labels.add(label)
-                best = max(best, share)
+    met = []
+    for k, (_, must, t) in enumerate(licenses.TEMPLATES):
+        own, span = licenses.template_words(t), licenses.span_of(t)
+        for start, w in enumerate(words):
+            share = len(own & set(words[start : start + span])) / len(own) if w in own else 0
+            if share >= licenses.CONTAINMENT - 1e-9 and set(must.split()) <= set(words[start : start + span]):
+                met.append((k, start, span, share))
+    over = set(licenses.shadows(licenses.TEMPLATES, licenses.CONTAINMENT))
+    kept = [x for x in met if not any((y[0], x[0]) in over and y[1] < x[1] + x[2] and x[1] < y[1] + y[2] for y in met)]
+    labels = {x for _, x in found} | {licenses.TEMPLATES[k][0] for k, *_ in kept}
     at = [i for i, _ in found]
-    return len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found})), ",".join(sorted(labels)), round(best, 9)
+    return len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found})), ",".join(sorted(labels)), 1.0 if found else round(max((x[3] for x in kept), default=0.0), 9)
 
 
 def test_licenses_equal_brute_force(spark, edge, nothing):
     rng = random.Random(2)
-    pool = [w for _, t in licenses.TEMPLATES for w in t.split()] + ["foo", "BAR", "ÉTÉ", "x-y", "mit", "license"]
-    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(150)))) for i in range(60)]
-    rows += [(100 + i, f"start {t} end") for i, (_, t) in enumerate(licenses.TEMPLATES)] + [(200 + i, t.replace("License", "licence", 1)) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    pool = [w for *_, t in licenses.TEMPLATES for w in t.split()] + ["foo", "BAR", "ÉTÉ", "x-y", "mit", "license"]
+    texts = [t for *_, t in licenses.TEMPLATES]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(150)))) for i in range(40)]
+    for n in (0, 37, 100):  # templates at any place of the blocks, whole, thinned and spread out
+        for i, t in enumerate(texts):
+            words = t.split()
+            thin = [w for w in words if rng.random() > 0.12]
+            spread = [x for w in words for x in ([w, "foo"] if rng.random() < 0.4 else [w])]
+            rows += [(1000 + 100 * n + 3 * i + k, "bar " * n + " ".join(w)) for k, w in enumerate((words, thin, spread))]
+    rows += [(200 + i, f"{a} and {b}") for i, (a, b) in enumerate(zip(texts, texts[1:]))]
     rows += [(300, "APACHE LICENSE"), (301, "apacheé license"), (302, "cc by cc by"), (303, "mit license, MIT-License")] + EDGE
     got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in licenses.licenses(docs(spark, rows)).collect()]
     assert sorted(map(repr, got)) == sorted(repr((i, *brute_license(t))) for i, t in rows)
     assert licenses.licenses(nothing).count() == 0
 
 
+def test_licenses_tell_relatives_apart(spark):
+    rows = [(i, t) for i, (_, _, t) in enumerate(licenses.TEMPLATES)] + [(100, "Licensed under CC BY 4.0"), (101, "the license was released after MIT came under pressure"), (102, "All rights of part of this work")]
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in licenses.licenses(docs(spark, rows)).collect()}
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert got[i] == ({label}, 1.0), label
+    assert [got[i] for i in (100, 101, 102)] == [({"cc-by"}, 1.0), ({""}, 0.0), ({""}, 0.0)]
+
+
 @pytest.mark.parametrize("limit", [200, 5000, 1 << 20])
 def test_shards_fit(spark, limit):
     rng = random.Random(4)

@@ -1,14 +1,15 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with license templates.
 
 DataFrame functions only. One pass over the texts keeps, of every row, its number of words and the places of words that occur in a
-phrase or template (few in any text); all else works on these. Blocks are windows of `BLOCK` words, each half
-overlapping the next, so that any passage of up to half a block lies within one.
-
-The join finds every (block, template) whose distinct words hold at least `containment` of the template's. Words are
-ordered by their number of documents, rarest first. A template's prefix is so many words that a block without all of them can't reach the
-overlap needed; blocks and templates are joined on prefix words, kept if the block has enough template words (length
-filter) and enough of both orders remain after the first common word (positional filter), and verified. Templates are a parameter
-of at most `MOST_TEMPLATES` rows, and so broadcast.
+phrase or template (few in any text); all else works on these.
+
+A template matches where a window of its span (half as long again as the template) holds at least `containment` of its distinct words, and the
+words that tell it from its relatives. Blocks are two spans long, each half overlapping the next, so every window lies within one. The
+join finds every (block, template) whose words could do: words are ordered by their number of documents, rarest first, and a template's
+prefix is so many words that a block without all of them can't reach the overlap needed; blocks and templates are joined on prefix words, kept if
+the block has enough template words (length filter) and enough of both orders remain after the first common word (positional
+filter), and then every window of the block is verified. Of templates that overlap, one that is told apart by a word of its own (Lesser,
+NonCommercial) shadows those that it holds. Templates are a parameter of at most `MOST_TEMPLATES` rows, and so broadcast.
 """
 
 from __future__ import annotations
@@ -25,30 +26,51 @@ from .common import table, written
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Notices whose near variants the join finds: (label, text). Words of STOP carry no licence and are left out.
+#: Licence texts and notices whose near variants the join finds: (label, words that must stand, text). Words of STOP carry no licence and are left out.
+#: Notices of fewer words than these are left to the base phrases: as bags of words they'd meet ordinary sentences.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
+of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+permission notice shall be included in all copies or substantial portions of the Software."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form
+must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+the distribution."""
+_GNU = """This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free
+Software Foundation, either version 3 of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but
+WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+_CC = "This work is licensed under a Creative Commons Attribution {kind} 4.0 International License. To view a copy of this license, visit creativecommons org licenses {code} 4.0"
 TEMPLATES = [
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache org licenses"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("agpl", "GNU Affero General Public License as published by the Free Software Foundation"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY NC 4.0"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-    ("proprietary", "All rights reserved. No part may be reproduced without prior written permission of the copyright owner"),
+    ("apache", "apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a
+copy of the License at http www apache org licenses LICENSE 2.0. Unless required by applicable law or agreed to in writing, software distributed under the
+License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""),
+    ("gpl", "gnu", _GNU.format(what="program", kind="")),
+    ("lgpl", "gnu lesser", _GNU.format(what="library", kind="Lesser")),
+    ("agpl", "gnu affero", _GNU.format(what="program", kind="Affero")),
+    ("mit", "", _MIT),
+    ("bsd", "", _BSD),
+    ("bsd-3-clause", "neither endorse", _BSD + """ Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission."""),
+    ("isc", "", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+notice and this permission notice appear in all copies."""),
+    ("zlib", "misrepresented", """This software is provided as is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from
+the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented"""),
+    ("mpl", "mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at mozilla org MPL 2.0"),
+    ("unlicense", "unencumbered", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("cc-by", "attribution", _CC.format(kind="", code="by")),
+    ("cc-by-sa", "sharealike", _CC.format(kind="ShareAlike", code="by sa")),
+    ("cc-by-nd", "noderivatives", _CC.format(kind="NoDerivatives", code="by nd")),
+    ("cc-by-nc", "noncommercial", _CC.format(kind="NonCommercial", code="by nc")),
+    ("cc-by-nc-sa", "noncommercial sharealike", _CC.format(kind="NonCommercial ShareAlike", code="by nc sa")),
+    ("cc-by-nc-nd", "noncommercial noderivatives", _CC.format(kind="NonCommercial NoDerivatives", code="by nc nd")),
+    ("cc0", "waived", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This work is published under CC0 1.0 Universal"),
+    ("proprietary", "prior", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher"),
 ]
 STOP = set("a an and any are as at by for from in is it may of on or that the this to with you your".split())
 CONTAINMENT = 0.8
-BLOCK = 64
+LEAST_SPAN = 16
 MOST_TEMPLATES = 1000
 
 
@@ -60,6 +82,21 @@ def template_words(text: str) -> set[str]:
     return set(words_of(text)) - STOP
 
 
+def span_of(text: str) -> int:
+    """Words of a template's window: half as many again as its own, rounded up to a power of two, so that templates share blocks."""
+    return max(LEAST_SPAN, 1 << math.ceil(math.log2(1.5 * len(words_of(text)))))
+
+
+def need_of(words: set[str], containment: float) -> int:
+    return math.ceil(len(words) * containment - 1e-9)
+
+
+def shadows(templates: list[tuple[str, str, str]], containment: float) -> list[tuple[int, int]]:
+    """(a, b) where a, told apart by a word that b lacks, holds so much of b that its own text would match b."""
+    sets = [template_words(t) for _, _, t in templates]
+    return [(i, j) for i, (_, must, _) in enumerate(templates) for j, other in enumerate(sets) if i != j and set(must.split()) - other and len(sets[i] & other) >= need_of(other, containment)]
+
+
 def hits(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """doc_id, n_words and hits: (at, word) of the words that are in the vocabulary, in order, of every whole text."""
     # F.lower also lowers other letters; these separate no words and the vocabulary is ASCII. The Kelvin sign alone would become one, and goes first.
@@ -95,57 +132,84 @@ def base_places(found: Column) -> Column:
     return F.flatten(F.array(*(places(*x) for x in PHRASES.items())))
 
 
-def templates_table(spark, templates: list[tuple[str, str]], order: DataFrame, containment: float) -> DataFrame:
-    """id, label, size, need, prefix word, its place and the words in global order: a row a prefix word."""
-    rows = [(i, label, w) for i, (label, text) in enumerate(templates) for w in template_words(text)]
-    ranked = spark.createDataFrame(rows, "id int, label string, word string").join(F.broadcast(order), "word", "left").withColumn("docs", F.coalesce("docs", F.lit(0).cast("long")))
-    sets = ranked.groupBy("id", "label").agg(F.array_sort(F.collect_list(F.struct("docs", "word"))).alias("ordered"))
-    sets = sets.select("id", "label", F.transform("ordered", lambda x: x["word"]).alias("template")).withColumn("size", F.size("template"))
-    sets = sets.withColumn("need", F.ceil(F.col("size") * F.lit(containment) - 1e-9).cast("int"))
-    return sets.select("*", F.posexplode(F.slice("template", 1, F.col("size") - F.col("need") + 1)).alias("place", "word"))
+def templates_table(spark, templates: list[tuple[str, str, str]], docs_of: dict[str, int], containment: float) -> DataFrame:
+    """id, span, size, need, must, the words in global order, and a prefix word with its place: a row a prefix word."""
+    rows = []
+    for i, (_, must, text) in enumerate(templates):
+        words = sorted(template_words(text), key=lambda w: (docs_of.get(w, 0), w))
+        need = need_of(set(words), containment)
+        rows += [(i, span_of(text), len(words), need, must.split(), words, place, w) for place, w in enumerate(words[: len(words) - need + 1])]
+    return spark.createDataFrame(rows, "id int, span int, size int, need int, must array<string>, template array<string>, place int, word string")
 
 
-def matches(found: DataFrame, templates: list[tuple[str, str]], containment: float, block: int) -> DataFrame:
-    """doc_id, hits_key, method_labels and score of the rows of hits() with a block that meets a template."""
+def matches(found: DataFrame, templates: list[tuple[str, str, str]], containment: float) -> DataFrame:
+    """doc_id, hits_key and found (id, at, span, share of each window that meets a template) of the rows of hits() with any."""
     if not templates or len(templates) > MOST_TEMPLATES or not 0 < containment <= 1:
         raise ValueError(f"templates: 1 to {MOST_TEMPLATES}; containment: over 0, up to 1")
     spark = found.sparkSession
-    vocabulary = sorted(set().union(*(template_words(t) for _, t in templates)))
+    vocabulary = sorted(set().union(*(template_words(t) for *_, t in templates)))
     each = F.array_distinct(F.transform("hits", lambda x: x["word"]))
-    # The vocabulary is that of the templates, so the order has so many rows at most.
-    order = written(found.select(F.explode(each).alias("word")).filter(F.col("word").isin(vocabulary)).groupBy("word").agg(F.count("*").alias("docs")), "license-order")
-    prefixes = templates_table(spark, templates, order, containment)
-    # Blocks of the rows with enough template words, each as its distinct ones in global order.
-    step = max(1, block // 2)
-    least = min(math.ceil(len(template_words(t)) * containment - 1e-9) for _, t in templates)
-    rows = found.select("doc_id", "hits_key", F.filter("hits", lambda x: x["word"].isin(vocabulary)).alias("hits")).filter(F.size("hits") >= least)
-    # A hit at place p lies in blocks p // step and the one before.
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.array(F.floor(x["at"] / step), F.greatest(F.floor(x["at"] / step) - 1, F.lit(0))))))
-    blocks = rows.select("doc_id", "hits_key", "hits", F.explode(starts).alias("start"))
-    inside = F.filter("hits", lambda x: (x["at"] >= F.col("start") * step) & (x["at"] < F.col("start") * step + block))
-    blocks = blocks.select("doc_id", "hits_key", F.array_distinct(F.transform(inside, lambda x: x["word"])).alias("words")).filter(F.size("words") >= least)
-    ranks = order.agg(F.map_from_entries(F.collect_list(F.struct("word", "docs"))).alias("ranks"))  # one row, of the vocabulary
-    sort = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.col("ranks")[w].alias("d"), w.alias("w")))), lambda x: x["w"])
-    blocks = blocks.crossJoin(F.broadcast(ranks)).select("doc_id", "hits_key", sort.alias("words"))
+    # The order has as many rows as the templates have words.
+    order = found.select(F.explode(each).alias("word")).filter(F.col("word").isin(vocabulary)).groupBy("word").agg(F.count("*").alias("docs"))
+    docs_of = {r.word: r.docs for r in order.collect()}
+    prefixes = templates_table(spark, templates, docs_of, containment)
+    least = {}
+    for *_, t in templates:
+        least[span_of(t)] = min(least.get(span_of(t), 1 << 30), need_of(template_words(t), containment))
+    rows = found.select("doc_id", "hits_key", F.filter("hits", lambda x: x["word"].isin(vocabulary)).alias("hits")).filter(F.size("hits") >= min(least.values()))
+    spans = F.explode(F.array(*[F.struct(F.lit(s).alias("span"), F.lit(n).alias("least")) for s, n in sorted(least.items())]))
+    rows = rows.withColumn("s", spans).select("doc_id", "hits_key", "hits", "s.*").filter(F.size("hits") >= F.col("least"))
+    # A hit at place p lies in blocks p // span and the one before.
+    block = lambda x: F.floor(x["at"] / F.col("span"))
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.array(block(x), F.greatest(block(x) - 1, F.lit(0))))))
+    blocks = rows.select("*", F.explode(starts).alias("block"))
+    first = F.col("block") * F.col("span")
+    inside = F.filter("hits", lambda x: (x["at"] >= first) & (x["at"] < first + 2 * F.col("span")))
+    blocks = blocks.select("doc_id", "hits_key", "span", "least", first.alias("first"), inside.alias("hits"))
+    ranks = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, docs_of.get(w, 0))])
+    distinct = F.array_distinct(F.transform("hits", lambda x: x["word"]))
+    ordered = F.transform(F.array_sort(F.transform(distinct, lambda w: F.struct(ranks[w].alias("d"), w.alias("w")))), lambda x: x["w"])
+    blocks = blocks.filter(F.size(distinct) >= F.col("least")).withColumn("words", ordered)
     probes = blocks.select("*", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    met = probes.join(F.broadcast(prefixes), "word")
+    met = probes.join(F.broadcast(prefixes), ["span", "word"])
     met = met.filter((F.col("n") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("place") - 1, F.col("n") - F.col("at") - 1) >= F.col("need")))
-    overlap = F.size(F.array_intersect("words", "template"))
-    sure = met.filter(overlap >= F.col("need")).withColumn("score", overlap / F.col("size"))
-    return sure.groupBy("doc_id", "hits_key").agg(F.collect_set("label").alias("method_labels"), F.max("score").alias("score"))
+    # A block meets a template over its first common word alone, so that each pair comes once.
+    common = F.array_intersect("words", "template")
+    met = met.filter((F.size(common) >= F.col("need")) & (F.element_at(common, 1) == F.col("word")))
+    # Windows begin at the template's words in the block's first half.
+    own = met.withColumn("own", F.filter("hits", lambda x: F.array_contains("template", x["word"])))
 
+    def window(x: Column, i: Column) -> Column:
+        words = F.array_distinct(F.transform(F.filter(F.slice("own", i + 1, F.col("span")), lambda y: y["at"] < x["at"] + F.col("span")), lambda y: y["word"]))
+        enough = (x["at"] < F.col("first") + F.col("span")) & (F.size(words) >= F.col("need")) & (F.size(F.array_except("must", words)) == 0)
+        return F.when(enough, F.struct("id", x["at"].alias("at"), "span", (F.size(words) / F.col("size")).alias("share")))
 
-def licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
+    sure = own.select("doc_id", "hits_key", F.explode(F.array_compact(F.transform("own", window))).alias("found"))
+    return sure.groupBy("doc_id", "hits_key").agg(F.collect_set("found").alias("found"))
+
+
+def licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of docs(doc_id, text, ...).
 
-    score is the largest containment of a template in a block, 1 where a base phrase stands, else 0. Null texts are empty: no
+    score is the largest containment of a template in a window, 1 where a base phrase stands, else 0. Null texts are empty: no
     words, null first_word and last_word, empty labels. Rows with a null doc_id are scanned like others; repeated rows repeat; no rows
     give no rows; other columns are not looked at.
     """
     templates = TEMPLATES if templates is None else templates
-    vocabulary = sorted({w for p in PHRASES for w in p.split()}.union(*(template_words(t) for _, t in templates)))
+    vocabulary = sorted({w for p in PHRASES for w in p.split()}.union(*(template_words(t) for *_, t in templates)))
     found = written(hits(docs, vocabulary).withColumn("hits_key", F.xxhash64("n_words", "hits")), "license-hits")
-    labelled = matches(found, templates, containment, block).withColumnsRenamed({"doc_id": "m_id", "hits_key": "m_key"})
+    pairs = [f"{a}>{b}" for a, b in shadows(templates, containment)]
+    names = F.array(*[F.lit(label) for label, *_ in templates])
+
+    def shadowed(x: Column) -> Column:
+        over = lambda y: (y["at"] < x["at"] + x["span"]) & (x["at"] < y["at"] + y["span"]) & F.concat(y["id"].cast("string"), F.lit(">"), x["id"].cast("string")).isin(pairs)
+        return F.exists("found", over)
+
+    kept = matches(found, templates, containment).withColumn("found", F.filter("found", lambda x: ~shadowed(x)) if pairs else F.col("found"))
+    labelled = kept.select(
+        F.col("doc_id").alias("m_id"), F.col("hits_key").alias("m_key"), F.transform("found", lambda x: F.element_at(names, x["id"] + 1)).alias("method_labels"),
+        F.array_max(F.transform("found", lambda x: x["share"])).alias("score"),
+    )
     base = found.select("doc_id", "n_words", "hits_key", base_places(F.col("hits")).alias("places"))
     # Rows of one key are the same text, or agree in all that counts; few rows match a template.
     both = base.join(labelled, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("hits_key") == F.col("m_key")), "left")
@@ -166,25 +230,32 @@ def op3_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for op3_licenses by plain comparison: every block against every template."""
+    """DuckDB SQL for op3_licenses by plain comparison: every window against every template."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    sets = [(i, label, w, len(words), math.ceil(len(words) * CONTAINMENT - 1e-9)) for i, (label, text) in enumerate(TEMPLATES) for words in [template_words(text)] for w in sorted(words)]
+    sets = [(i, w, int(w in must.split())) for i, (_, must, text) in enumerate(TEMPLATES) for w in sorted(template_words(text))]
+    kinds = [(i, quote(label), span_of(t), len(template_words(t)), need_of(template_words(t), CONTAINMENT), len(must.split())) for i, (label, must, t) in enumerate(TEMPLATES)]
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     phrases = []
     for phrase, label in PHRASES.items():
         first, *rest = phrase.split()
         joins = " ".join(f"JOIN h h{k} ON h{k}.id = h0.id AND h{k}.place = h0.place + {k} AND h{k}.word = {quote(w)}" for k, w in enumerate(rest, 1))
         phrases.append(f"SELECT h0.id, h0.place, {quote(label)} AS label FROM h h0 {joins} WHERE h0.word = {quote(first)}")
+    values = lambda rows: ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id,
         regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 h AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place FROM d),
 base AS ({" UNION ALL ".join(phrases)}),
-sets(t, label, word, size, need) AS (VALUES {", ".join(f"({i}, {quote(x)}, {quote(w)}, {n}, {k})" for i, x, w, n, k in sets)}),
-known AS (SELECT * FROM h WHERE word IN (SELECT word FROM sets)),
-blocks AS (SELECT DISTINCT id, word, place // {BLOCK // 2} - back AS start FROM known, (VALUES (0), (1)) b(back) WHERE place // {BLOCK // 2} >= back),
-met AS (SELECT id, label, count(*) / size AS share FROM blocks JOIN sets USING (word) GROUP BY id, start, t, label, size, need HAVING count(*) >= need),
-named AS (SELECT id, label, 1.0 AS share FROM base UNION ALL SELECT id, label, share FROM met),
+sets(t, word, must) AS (VALUES {values((i, quote(w), m) for i, w, m in sets)}),
+kinds(t, label, span, size, need, musts) AS (VALUES {values(kinds)}),
+shadows(a, b) AS (VALUES {values(shadows(TEMPLATES, CONTAINMENT))}),
+known AS (SELECT id, t, place, word, must, span, place // span AS part FROM h JOIN sets USING (word) JOIN kinds USING (t)),
+pairs AS (SELECT x.id, x.t, x.place, y.word, y.must FROM known x JOIN (SELECT *, part AS p FROM known UNION ALL SELECT *, part - 1 AS p FROM known) y
+    ON x.id = y.id AND x.t = y.t AND x.part = y.p WHERE y.place >= x.place AND y.place < x.place + x.span),
+met AS (SELECT id, t, place, span, label, count(DISTINCT word) / size AS share FROM pairs JOIN kinds USING (t) GROUP BY id, t, place, span, label, size, need, musts
+    HAVING count(DISTINCT word) >= need AND count(DISTINCT word) FILTER (must = 1) >= musts),
+kept AS (SELECT * FROM met x WHERE NOT EXISTS (SELECT 1 FROM met y JOIN shadows s ON y.t = s.a WHERE s.b = x.t AND y.id = x.id AND y.place < x.place + x.span AND x.place < y.place + y.span)),
+named AS (SELECT id, label, 1.0 AS share FROM base UNION ALL SELECT id, label, share FROM kept),
 of_base AS (SELECT id, count(*) AS n, min(place) AS first, max(place) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY id),
 of_all AS (SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM named GROUP BY id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word,
