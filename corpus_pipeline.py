@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm.bpe import encoded
-from tideline.llm.common import table, written
+from tideline.llm.common import discard, table, written
 from tideline.llm.mixing import mixed
 from tideline.llm.pii import pseudonymised
 from tideline.llm.simhash import kept_documents
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents through the stages; a stage's table is removed once the next one's is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            discard(before)
     return docs
