@@ -36,7 +36,7 @@ REJECTED = 1e-6
 #: clean text doesn't reject the first deviation.
 SPREADS = {"x_length": 0.25, "x_words": 0.5, "x_symbols": 0.05, "x_lines": 0.2, "x_repeats": 0.1, "x_alnum": 0.03}
 X = list(SPREADS)
-SALTS = 16
+SALTS = 64
 
 
 def statistics(text: str | None) -> tuple[int, int, int, int, int, int]:

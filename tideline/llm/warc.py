@@ -159,11 +159,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             out, size, rows = None, 0, 0
 
         for batch in batches:
-            for page in batch.to_pylist():
+            for page_id, url, html, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     out = fs.open_output_stream(f"{root}/{name}-{len(done):04}.warc.gz", compression=None)
-                refers = None if page["__refers_to"] is None else (page["__refers_to"], page["__refers_url"])
-                data = record(f"{folder}/{name}-{len(done):04}/{rows}", page["page_id"], page["url"], (page["html"] or "").encode("utf-8", "replace"), refers)
+                refers = None if refers_to is None else (refers_to, refers_url)
+                data = record(f"{folder}/{name}-{len(done):04}/{rows}", page_id, url, (html or "").encode("utf-8", "replace"), refers)
                 out.write(data)
                 size, rows = size + len(data), rows + 1
                 if size >= archive_bytes:
@@ -195,18 +195,23 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     if data is not None and len(data) != length:
                         raise WarcError(f"payload length of {head.get('warc-record-id')}")
                     found = (_number(head.get("warc-page-id")), head.get("warc-target-uri"), length, head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], _number(head.get("warc-refers-to-page-id")), data)
-                    rows.append(dict(zip(fields.names, found)))
+                    rows.append(found)
                     size += length
                     if len(rows) == 4096 or payloads and size > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, fields)
+                        yield _batch(rows, fields)
                         rows, size = [], 0
-                yield pa.RecordBatch.from_pylist(rows, fields)
+                yield _batch(rows, fields)
 
     schema = ", ".join(f"{x} {'long' if x in ('page_id', 'payload_bytes', 'refers_to') else 'binary' if x == 'payload' else 'string'}" for x in fields.names)
     # An archive a row, bounded in size: dealt over as many tasks as there are archives, a number that isn't coalesced.
     return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read, schema)
 
 
+def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+
+
 def _number(text: str | None) -> int | None:
     return int(text) if text else None
 
