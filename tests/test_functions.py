@@ -146,6 +146,9 @@ def test_sources_round_trip(spark, tmp_path):
     T.write_topic(rows, str(tmp_path / "topic"), F.lit("security-events"))
     assert T.read_topic(spark, str(tmp_path / "topic"), ["security-events"]).count() == 1
     assert T.read_topic(spark, str(tmp_path / "topic"), ["raw-logs"]).count() == 0
+    T.write_topic(rows, str(tmp_path / "topic"), F.lit("security-events"))
+    both = T.read_topic(spark, str(tmp_path / "topic"), ["security-events"])
+    assert both.count() == both.select("topic", "partition", "offset").distinct().count() == 2
 
 
 def test_envelope(spark):

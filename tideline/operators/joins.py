@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import overlapping, within
+from .ranges import latest_before, overlapping, within
 from .reports import latest_by
 
 #: Rows up to which a reference table is broadcast; a larger one is joined by shuffle.
@@ -88,10 +88,11 @@ def prior_verdicts(cases: DataFrame, verdicts: DataFrame, days: float = 7, cap:
 
 
 def entity_feedback(cases: DataFrame, feedback: DataFrame, days: float = 30, cap: int = 20) -> DataFrame:
-    """Per case the latest labels of the same host or the same address: two equi-joins and a distinct, instead of an OR."""
+    """Per case the latest labels of the same host or the same address: the last of either, then the last of both."""
     f = feedback.select("feedback_id", F.col("hostname").alias("f_host"), F.col("source_ip").alias("f_ip"), F.col("timestamp").alias("f_at"), "label")
     c = cases.select("investigation_id", "hostname", "source_ip", "started_at")
-    both = within(c, f, [("hostname", "f_host")], "started_at", "f_at", days * 86_400).unionByName(within(c, f, [("source_ip", "f_ip")], "started_at", "f_at", days * 86_400))
+    of = lambda a, b: latest_before(c, f, (a, b), "started_at", "f_at", "feedback_id", cap, days * 86_400)
+    both = of("hostname", "f_host").unionByName(of("source_ip", "f_ip"))
     return capped(both.dropDuplicates(["investigation_id", "feedback_id"]), ["investigation_id"], cap, F.desc("f_at"), F.desc("feedback_id"))
 
 
@@ -103,13 +104,22 @@ def correlated_events(alerts: DataFrame, events: DataFrame, minutes: float = 30,
 
 
 def nearest_score(cases: DataFrame, scores: DataFrame, most: float = 0.01) -> DataFrame:
-    """The score row of a case's host nearest to its trigger score, by less than `most`; joined on buckets of that width."""
+    """The score row of a case's host nearest to its trigger score, by less than `most`, ties to the least id.
+
+    In buckets of that width, a case in its own and both next to it, scores and cases stand in order; a case looks at the last score
+    before it and the first after it. Nothing is paired.
+    """
     bucket = lambda c: F.floor(c / most)
-    c = cases.select("investigation_id", "hostname", "trigger_score").withColumn("__b", F.explode(F.array(*[bucket(F.col("trigger_score")) + d for d in (-1, 0, 1)])))
-    s = scores.select(F.col("hostname").alias("s_host"), "score_id", "adjusted_score", bucket(F.col("adjusted_score")).alias("__sb"))
-    gap = F.abs(F.col("adjusted_score") - F.col("trigger_score"))
-    pairs = c.join(s, (F.col("hostname") == F.col("s_host")) & (F.col("__b") == F.col("__sb")) & (gap < most))
-    return pairs.groupBy("investigation_id").agg(F.min(F.struct(gap.alias("gap"), "score_id")).alias("x")).select("investigation_id", "x.score_id", F.col("x.gap").alias("gap"))
+    own = F.explode(F.array(*[bucket(F.col("trigger_score")) + d for d in (-1, 0, 1)]))
+    c = cases.select(F.col("hostname").alias("k"), own.alias("b"), F.col("trigger_score").alias("x"), "investigation_id", F.lit(None).cast("string").alias("score_id"))
+    s = scores.groupBy(F.col("hostname").alias("k"), bucket(F.col("adjusted_score")).alias("b"), F.col("adjusted_score").alias("x")).agg(F.min("score_id").alias("score_id"))
+    both = c.unionByName(s.withColumn("investigation_id", F.lit(None).cast("string")))
+    there = F.when(F.col("score_id").isNotNull(), F.struct("x", "score_id"))
+    seen = lambda order: F.last(there, ignorenulls=True).over(Window.partitionBy("k", "b").orderBy(order, F.col("score_id").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sides = both.withColumns({"low": seen(F.col("x")), "high": seen(F.col("x").desc())}).filter("score_id IS NULL").select("investigation_id", "x", F.explode(F.array("low", "high")).alias("s"))
+    gap = F.abs(F.col("s.x") - F.col("x"))
+    met = sides.filter(gap < most).groupBy("investigation_id").agg(F.min(F.struct(gap.alias("gap"), F.col("s.score_id").alias("score_id"))).alias("m"))
+    return met.select("investigation_id", "m.score_id", F.col("m.gap").alias("gap"))
 
 
 def case_lineage(cases: DataFrame, verdicts: DataFrame, security: DataFrame, raw: DataFrame, scores: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,24 @@ def overlapping(points: DataFrame, spans: DataFrame, ts: str, begin: str, end: s
     t = seconds(F.col(ts))
     met = p.join(s, (F.col("__b") == F.col("__rb")) & (seconds(F.col(begin)) <= t + slack) & (seconds(F.col(end)) >= t - slack))
     return met.drop("__b", "__rb").distinct()
+
+
+def latest_before(left: DataFrame, right: DataFrame, key: tuple[str, str], left_ts: str, right_ts: str, tie: str, most: int, before: float) -> DataFrame:
+    """Pairs of each left row and the last `most` right rows, by time and tie, of its key in [left - before, left].
+
+    Right rows are numbered within their key, and a left row is told how many are not after it: both by windows over a key's day, whose
+    totals are then summed over the key's days. So a pair is an equi-join on key and number, `most` a left row, however many rows share a key.
+    """
+    day = lambda c: F.floor(seconds(F.col(c)) / 86_400)
+    l = left.filter(F.col(key[0]).isNotNull()).select(F.col(key[0]).alias("k"), day(left_ts).alias("day"), F.col(left_ts).alias("at"), F.lit(None).cast("string").alias("tie"), F.lit(1).alias("kind"), F.struct(*left.columns).alias("l"), F.lit(None).cast(right.schema).alias("r"))
+    r = right.filter(F.col(key[1]).isNotNull()).select(F.col(key[1]).alias("k"), day(right_ts).alias("day"), F.col(right_ts).alias("at"), F.col(tie).cast("string").alias("tie"), F.lit(0).alias("kind"), F.lit(None).cast(left.schema).alias("l"), F.struct(*right.columns).alias("r"))
+    both = l.unionByName(r)
+    of_right = (F.col("kind") == 0).cast("long")
+    in_day = Window.partitionBy("k", "day").orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    days = both.groupBy("k", "day").agg(F.sum(of_right).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("k").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(F.col("k").alias("d_k"), F.col("day").alias("d_day"), F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    numbered = both.withColumn("n", F.sum(of_right).over(in_day)).join(days, (F.col("k") == F.col("d_k")) & (F.col("day") == F.col("d_day"))).withColumn("n", F.col("n") + F.col("earlier"))
+    asked = numbered.filter("kind = 1 AND n > 0").select("l", F.col("k").alias("a_k"), F.explode(F.sequence(F.greatest(F.col("n") - most + 1, F.lit(1)), F.col("n"))).alias("a_n"))
+    met = asked.join(numbered.filter("kind = 0").select("k", "n", "r"), (F.col("a_k") == F.col("k")) & (F.col("a_n") == F.col("n"))).select("l.*", "r.*")
+    return met.filter(seconds(F.col(left_ts)) - seconds(F.col(right_ts)) <= before)

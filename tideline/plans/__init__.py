@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import field_queries, join_queries, report_queries, rollup_queries, score_queries
+from . import builtin_queries, field_queries, join_queries, report_queries, rollup_queries, score_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "field_queries", "join_queries", "report_queries", "rollup_queries", "score_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "builtin_queries", "field_queries", "join_queries", "report_queries", "rollup_queries", "score_queries"]

@@ -73,7 +73,11 @@ def _(t: Tables):
     return out.filter("n > 0")
 
 
-@query("b16_event_id")
+@query(
+    "b16_event_id",
+    f"""SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
+    FROM (SELECT event_id, sha1(unhex('{N.NAMESPACE.replace("-", "")}') || ('raw-logs:' || user_id || ':' || event_id)::BLOB) AS h FROM events) x""",
+)
 def _(t: Tables):
     return t.events.select("event_id", N.event_id(F.lit("raw-logs"), F.col("user_id"), F.col("event_id")).alias("id"))
 
@@ -152,7 +156,14 @@ def _(t: Tables):
     return found.select("conv_id", "turn", F.col("f_subject_length").alias("n"), F.round("f_body_length_log", 6).alias("len"), F.col("f_url_count").alias("urls"), F.col("f_has_urgency").alias("urgent"), F.col("f_has_financial").alias("financial"))
 
 
-@query("i07_cloud_features")
+_NAMES = "[" + ", ".join(f"'{n}'" for n in X.CLOUD_EVENTS) + "]"
+
+
+@query(
+    "i07_cloud_features",
+    f"""SELECT event_id, coalesce(list_position({_NAMES}, name) - 1, {len(X.CLOUD_EVENTS)})::DOUBLE AS f_event_name_encoded, 0.0::DOUBLE AS f_is_sensitive_service, coalesce(regexp_matches(name, '^(Describe|Get|List)'), false)::INT::DOUBLE AS f_is_read_only,
+        (event_type = 'error')::INT::DOUBLE AS f_has_error, 1.0::DOUBLE AS f_identity_type_encoded, 0.0::DOUBLE AS f_is_root FROM (SELECT *, ({_NAMES})[(event_id % 60 + 1)::INT] AS name FROM events) e""",
+)
 def _(t: Tables):
     names = F.array(*map(F.lit, X.CLOUD_EVENTS))
     df = t.events.select("event_id", F.col("ts").alias("timestamp"), F.lit("cloud").alias("log_type"), F.get(names, (F.col("event_id") % 60).cast("int")).alias("eventName"), F.when(F.col("event_type") == "error", "AccessDenied").alias("errorCode"), F.lit("IAMUser").alias("identity_type"))

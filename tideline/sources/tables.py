@@ -22,9 +22,13 @@ EVENT = T.StructType(
 
 def read_events(spark: SparkSession, path: str, stream: bool = False, schema: T.StructType = EVENT) -> DataFrame:
     """NDJSON, one event a line; a malformed line is kept whole in _corrupt."""
-    lines = (spark.readStream if stream else spark.read).text(path).filter(F.trim("value") != "")
+    return parse_events((spark.readStream if stream else spark.read).text(path), schema)
+
+
+def parse_events(lines: DataFrame, schema: T.StructType = EVENT) -> DataFrame:
+    """Events of lines(value); a malformed line is kept whole in _corrupt, an empty one is none."""
     kept = T.StructType([*schema.fields, T.StructField("_corrupt", _S)])
-    return lines.select(F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e")).select("e.*")
+    return lines.filter(F.trim("value") != "").select(F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e")).select("e.*")
 
 
 def read_syslog(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -49,7 +53,13 @@ def write_topic(df: DataFrame, where: str, topic: Column, kafka: bool = False) -
     if kafka:
         rows.write.format("kafka").option("kafka.bootstrap.servers", where).save()
     else:
-        rows.select("topic", F.spark_partition_id().alias("partition"), F.monotonically_increasing_id().alias("offset"), "value").write.mode("append").json(where)
+        # Offsets go on from the greatest that is stored, so that coordinates never repeat.
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(where)
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        last = spark.read.schema(TOPIC).json(where).agg(F.max("offset")).first()[0] if there else None
+        offset = F.monotonically_increasing_id() + (0 if last is None else last + 1)
+        rows.select("topic", F.spark_partition_id().alias("partition"), offset.alias("offset"), "value").write.mode("append").json(where)
 
 
 def unwrap_envelope(df: DataFrame, default_topic: str = "raw-logs") -> DataFrame:
