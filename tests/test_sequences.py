@@ -56,6 +56,23 @@ def test_suppression_restarts_from_the_row_that_passed(spark):
     assert [r.seq for r in S.suppress_repeats(df, ["k"], 60).orderBy("seq").collect()] == [0, 3, 5]
 
 
+def test_scan_keeps_state_across_batches_and_null_entities(spark):
+    """Histories longer than a batch; null and repeated keys; the chain and the suppression by plain loops."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = [(i * 25, [None, "a", "b"][i % 3 % 2 + (i % 5 == 0)], i % 12, (i % 10) / 10) for i in range(300)]
+        df = frame(spark, rows, "host string, action_type int, adjusted_score double")
+        kept, last = [], {}
+        for i, (t, h, *_) in enumerate(rows):
+            if h not in last or t - last[h] >= 200:
+                last[h] = t
+                kept.append(i)
+        assert [r.seq for r in S.suppress_repeats(df, ["host"], 200).orderBy("seq").collect()] == kept
+        assert S.kill_chain(df, "host").count() == 300 and S.kill_chain(df.limit(0), "host").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_condensed_timeline(spark):
     df = spark.createDataFrame([("c", "raw", T0, i, "t") for i in range(12)], "case_id string, stage string, timestamp timestamp, seq long, text string")
     assert [r.text for r in S.condense_timeline(df).orderBy("seq").collect()] == ["t", "t", "t", "... and 9 more"]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .ranges import seconds
 
@@ -53,10 +57,32 @@ def cross_host(df: DataFrame, least: float = 0.5, window_s: float = 900, grain_s
     return df.join(counts, "seq", "left").withColumn("correlated_hosts", F.coalesce("hosts", F.lit(0).cast("long"))).drop("hosts")
 
 
-def _fold(df: DataFrame, key: str, fields: list[str], ts: str) -> DataFrame:
-    """One row an entity: its events in order. An entity is one array; split very long histories by day, or stream them."""
-    event = F.struct(seconds(F.col(ts)).alias("t"), "seq", *fields)
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(event)).alias("events"))
+Step = Callable[..., tuple]
+
+
+def scanned(df: DataFrame, keys: list[str], fields: list[Column], makes: str, start: Callable[[], Step], ts: str) -> DataFrame:
+    """keys, seq and the columns that a step makes of each row, entity by entity in order of time and seq.
+
+    start() gives an entity's step, which holds its state and takes the row's seconds and fields. Rows are sorted by Spark, on disk where need
+    be, and a task holds one batch and one state, however long an entity's history is.
+    """
+    order = [*keys, "__t", "seq"]
+    rows = df.select(*keys, seconds(F.col(ts)).alias("__t"), "seq", *[c.alias(f"__{i}") for i, c in enumerate(fields)]).repartition(*keys).sortWithinPartitions(*order)
+    made = _parse_datatype_string(makes)
+    schema = StructType([*(StructField(k, df.schema[k].dataType) for k in keys), StructField("seq", df.schema["seq"].dataType), *made.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entity, step, n = None, None, len(keys)
+        for batch in batches:
+            columns, out = [c.to_pylist() for c in batch.columns], []
+            for i, row in enumerate(zip(*columns[:n])):
+                if step is None or row != entity:
+                    entity, step = row, start()
+                out.append(step(columns[n][i], *(c[i] for c in columns[n + 2 :])))
+            new = [pa.array(c, {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for c, f in zip(zip(*out), made.fields)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], batch.column(n + 1), *new], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 HALF_LIVES = (2.0, 60.0, 600.0)
@@ -67,19 +93,24 @@ def ewma(df: DataFrame, key: str, error: str, action: str, restart_s: float = 30
 
     A gap is 1 ms at least. rate' = rate * 2^(-gap / half-life) + 1; the action window restarts after so many seconds.
     """
-    rows = _fold(df, key, [F.col(error).cast("double").alias("e"), F.col(action).alias("a")], ts)
-    fast, mid, slow = HALF_LIVES
-    init = F.expr("named_struct('t', CAST(NULL AS DOUBLE), 'r0', 0D, 'r1', 0D, 'r2', 0D, 'err', 0D, 'began', CAST(NULL AS DOUBLE), 'acts', CAST(array() AS ARRAY<STRING>), 'out', CAST(array() AS ARRAY<STRUCT<seq: BIGINT, r0: DOUBLE, r1: DOUBLE, r2: DOUBLE, err: DOUBLE, acts: INT>>))")
-    decay = lambda h: f"CASE WHEN s.t IS NULL THEN 0D ELSE pow(0.5D, greatest(x.t - s.t, 0.001D) / {h}D) END"
-    r = {f"r{i}": f"(s.r{i} * {decay(h)} + 1D)" for i, h in enumerate((fast, mid, slow))}
-    err = f"(s.err * {decay(mid)} + x.e)"
-    fresh = f"(s.began IS NULL OR x.t - s.began > {restart_s}D)"
-    acts = f"(CASE WHEN {fresh} THEN array(x.a) ELSE array_union(s.acts, array(x.a)) END)"
-    out = f"concat(s.out, array(named_struct('seq', x.seq, 'r0', {r['r0']}, 'r1', {r['r1']}, 'r2', {r['r2']}, 'err', {err}, 'acts', size({acts}))))"
-    state = f"named_struct('t', x.t, 'r0', {r['r0']}, 'r1', {r['r1']}, 'r2', {r['r2']}, 'err', {err}, 'began', CASE WHEN {fresh} THEN x.t ELSE s.began END, 'acts', {acts}, 'out', {out})"
-    folded = rows.withColumn("init", init).select(key, F.expr(f"aggregate(events, init, (s, x) -> {state}).out").alias("o"))
-    x = folded.select(key, F.explode("o").alias("x")).select(key, "x.*")
-    return x.select(key, "seq", F.col("r0").alias("rate_fast"), F.col("r1").alias("rate_mid"), F.col("r2").alias("rate_slow"), F.col("err").alias("error_rate"), F.col("acts").alias("distinct_actions"), (F.col("r0") / F.greatest("r2", F.lit(0.01))).alias("acceleration"))
+
+    def start() -> Step:
+        last, began, rates, errors, seen = None, None, [0.0] * len(HALF_LIVES), 0.0, set()
+
+        def step(t: float, failed: float | None, done: str | None) -> tuple:
+            nonlocal last, began, rates, errors, seen
+            gap = None if last is None else max(t - last, 0.001)
+            fade = [0.0 if gap is None else 0.5 ** (gap / h) for h in HALF_LIVES]
+            rates, errors, last = [r * f + 1 for r, f in zip(rates, fade)], errors * fade[1] + (failed or 0.0), t
+            if began is None or t - began > restart_s:
+                began, seen = t, set()
+            seen.add(done)
+            return (*rates, errors, len(seen), rates[0] / max(rates[2], 0.01))
+
+        return step
+
+    makes = "rate_fast double, rate_mid double, rate_slow double, error_rate double, distinct_actions int, acceleration double"
+    return scanned(df, [key], [F.col(error).cast("double"), F.col(action)], makes, start, ts)
 
 
 # Kill-chain stage of each action type (0 info, 1 auth attempt, ... 11 config change).
@@ -93,16 +124,24 @@ def kill_chain(df: DataFrame, key: str, gate: float = 0.5, idle_s: float = 3600,
     advances' gaps in seconds, 1), once there are two.
     """
     stage = F.coalesce(F.create_map(*[F.lit(v) for kv in STAGES.items() for v in kv])[F.col("action_type")], F.lit(0))
-    rows = _fold(df, key, [F.col("adjusted_score").alias("p"), stage.alias("g")], ts)
-    last, none = "coalesce(s.t, x.t)", "CAST(array() AS ARRAY<DOUBLE>)"
-    idle = f"(x.t - {last} > {idle_s}D)"
-    now, gaps = f"(CASE WHEN {idle} THEN 0 ELSE s.stage END)", f"(CASE WHEN {idle} THEN {none} ELSE s.gaps END)"
-    up = f"(x.p > {gate}D AND x.g > {now})"
-    stage1, gaps1 = f"(CASE WHEN {up} THEN x.g ELSE {now} END)", f"(CASE WHEN {up} THEN slice(concat({gaps}, array(x.t - {last})), -least(5, size({gaps}) + 1), 5) ELSE {gaps} END)"
-    velocity = f"(CASE WHEN size({gaps1}) >= 2 THEN 1D / greatest(aggregate({gaps1}, 0D, (a, v) -> a + v) / size({gaps1}), 1D) ELSE 0D END)"
-    state = f"named_struct('t', CASE WHEN x.p > {gate}D THEN x.t ELSE {last} END, 'stage', {stage1}, 'gaps', {gaps1}, 'out', concat(s.out, array(named_struct('seq', x.seq, 'stage', {stage1}, 'velocity', {velocity}))))"
-    init = f"named_struct('t', CAST(NULL AS DOUBLE), 'stage', 0, 'gaps', {none}, 'out', CAST(array() AS ARRAY<STRUCT<seq: BIGINT, stage: INT, velocity: DOUBLE>>))"
-    return rows.select(key, F.explode(F.expr(f"aggregate(events, {init}, (s, x) -> {state}).out")).alias("x")).select(key, "x.*")
+
+    def start() -> Step:
+        last, stage_now, gaps = None, 0, []
+
+        def step(t: float, score: float | None, to: int) -> tuple:
+            nonlocal last, stage_now, gaps
+            before = t if last is None else last
+            if t - before > idle_s:
+                stage_now, gaps = 0, []
+            over = score is not None and score > gate
+            if over and to > stage_now:
+                stage_now, gaps = to, [*gaps, t - before][-5:]
+            last = t if over else before
+            return stage_now, 1 / max(sum(gaps) / len(gaps), 1.0) if len(gaps) >= 2 else 0.0
+
+        return step
+
+    return scanned(df, [key], [F.col("adjusted_score").cast("double"), stage], "stage int, velocity double", start, ts)
 
 
 def stage_distribution(chain: DataFrame, key: str) -> DataFrame:
@@ -112,11 +151,21 @@ def stage_distribution(chain: DataFrame, key: str) -> DataFrame:
 
 def suppress_repeats(df: DataFrame, keys: list[str], window_s: float, ts: str = "timestamp") -> DataFrame:
     """The first row of a key passes; later ones within the window of the last that passed don't."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(seconds(F.col(ts)).alias("t"), "seq"))).alias("events"))
-    pass_ = f"(s.t IS NULL OR x.t - s.t >= {window_s}D)"
-    state = f"named_struct('t', CASE WHEN {pass_} THEN x.t ELSE s.t END, 'out', CASE WHEN {pass_} THEN concat(s.out, array(x.seq)) ELSE s.out END)"
-    kept = rows.select(F.explode(F.expr(f"aggregate(events, named_struct('t', CAST(NULL AS DOUBLE), 'out', CAST(array() AS ARRAY<BIGINT>)), (s, x) -> {state}).out")).alias("seq"))
-    return df.join(kept, "seq", "left_semi")
+
+    def start() -> Step:
+        passed = None
+
+        def step(t: float) -> tuple:
+            nonlocal passed
+            if passed is not None and t - passed < window_s:
+                return (False,)
+            passed = t
+            return (True,)
+
+        return step
+
+    kept = scanned(df, keys, [], "passes boolean", start, ts).filter("passes")
+    return df.join(kept.select("seq"), "seq", "left_semi")
 
 
 def sequence_coherent(df: DataFrame, key: str, arrival: str, ts: str = "timestamp") -> DataFrame:

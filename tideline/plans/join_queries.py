@@ -216,10 +216,19 @@ def _(t: Tables):
     return S.cross_host(t.triage_scores).select("event_id", "correlated_hosts")
 
 
-@query("f07_ewma")
+@query(
+    "f07_ewma",
+    """WITH RECURSIVE e AS (SELECT ip_address, seq, epoch_us(timestamp) / 1e6 AS t, (category = 'error')::INT::DOUBLE AS x, category AS a, row_number() OVER (PARTITION BY ip_address ORDER BY timestamp, seq) AS n FROM {security_events}),
+    r AS (SELECT ip_address, n, seq, t, 1.0::DOUBLE AS r0, 1.0::DOUBLE AS r1, 1.0::DOUBLE AS r2, x AS err, t AS began, [a] AS acts FROM e WHERE n = 1
+        UNION ALL SELECT e.ip_address, e.n, e.seq, e.t, r0 * pow(0.5, greatest(e.t - r.t, 0.001) / 2) + 1, r1 * pow(0.5, greatest(e.t - r.t, 0.001) / 60) + 1, r2 * pow(0.5, greatest(e.t - r.t, 0.001) / 600) + 1,
+            err * pow(0.5, greatest(e.t - r.t, 0.001) / 60) + x, CASE WHEN e.t - began > 300 THEN e.t ELSE began END, CASE WHEN e.t - began > 300 THEN [a] ELSE list_distinct(list_append(acts, a)) END
+        FROM r JOIN e ON e.ip_address = r.ip_address AND e.n = r.n + 1)
+    SELECT ip_address, seq, round(r0, 6) AS rate_fast, round(r1, 6) AS rate_mid, round(r2, 6) AS rate_slow, round(err, 6) AS error_rate, len(acts)::INT AS distinct_actions, round(r0 / greatest(r2, 0.01), 6) AS acceleration FROM r""",
+)
 def _(t: Tables):
     rows = t.security_events.withColumn("is_error", F.col("category") == "error")
-    return S.ewma(rows, "ip_address", "is_error", "category")
+    found = S.ewma(rows, "ip_address", "is_error", "category")
+    return found.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in found.dtypes])
 
 
 @query(
@@ -232,25 +241,43 @@ def _(t: Tables):
     return S.sequence_coherent(rows, "hostname", "received_at")
 
 
-@query("f09_condensed_timeline")
+@query(
+    "f09_condensed_timeline",
+    """WITH x AS (SELECT hostname AS case_id, 'raw' AS stage, date_trunc('day', timestamp) AS timestamp, seq, description AS text FROM {security_events}),
+    y AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS total, row_number() OVER (PARTITION BY case_id, timestamp ORDER BY seq) AS k, count(*) OVER (PARTITION BY case_id, timestamp) AS m FROM x),
+    z AS (SELECT case_id, stage, timestamp, seq, CASE WHEN total <= 10 OR k <= 3 THEN text ELSE '... and ' || (m - 3) || ' more' END AS text FROM y WHERE total <= 10 OR k <= 4)
+    SELECT case_id, stage, timestamp, seq, text FROM z QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY timestamp, seq) <= 15""",
+)
 def _(t: Tables):
     s = t.security_events.withColumn("timestamp", F.date_trunc("day", "timestamp"))
     return S.condense_timeline(s.select(F.col("hostname").alias("case_id"), F.lit("raw").alias("stage"), "timestamp", "seq", F.col("description").alias("text")))
 
 
-@query("f11_kill_chain")
+_CHAIN = """WITH RECURSIVE e AS (SELECT hostname, seq, epoch_us(timestamp) / 1e6 AS t, adjusted_score AS p, ([0, 1, 2, 1, 3, 0, 0, 1, 4, 3, 5, 4])[(seq % 12 + 1)::INT] AS g, row_number() OVER (PARTITION BY hostname ORDER BY timestamp, seq) AS n FROM {triage_scores}),
+    r AS (SELECT hostname, n, seq, t AS last, (CASE WHEN p > 0.5 THEN g ELSE 0 END)::INT AS stage, CASE WHEN p > 0.5 AND g > 0 THEN [0.0::DOUBLE] ELSE []::DOUBLE[] END AS gaps FROM e WHERE n = 1
+        UNION ALL SELECT hostname, n, seq, CASE WHEN p > 0.5 THEN t ELSE last END, (CASE WHEN p > 0.5 AND g > now THEN g ELSE now END)::INT, CASE WHEN p > 0.5 AND g > now THEN list_append(kept, t - last)[-5:] ELSE kept END
+        FROM (SELECT e.hostname, e.n, e.seq, e.t, p, g, last, CASE WHEN e.t - last > 3600 THEN 0 ELSE stage END AS now, CASE WHEN e.t - last > 3600 THEN []::DOUBLE[] ELSE gaps END AS kept FROM r JOIN e ON e.hostname = r.hostname AND e.n = r.n + 1) x)"""
+
+
+@query("f11_kill_chain", f"{_CHAIN} SELECT hostname, seq, stage, round(CASE WHEN len(gaps) >= 2 THEN 1 / greatest(list_avg(gaps), 1) ELSE 0 END, 6)::DOUBLE AS velocity FROM r")
 def _(t: Tables):
     rows = t.triage_scores.withColumn("action_type", (F.col("seq") % 12).cast("int"))
-    return S.kill_chain(rows, "hostname")
+    return S.kill_chain(rows, "hostname").withColumn("velocity", F.round("velocity", 6))
 
 
-@query("e35_stage_distribution")
+@query("e35_stage_distribution", f"{_CHAIN} SELECT stage, count(*) AS hosts FROM (SELECT hostname, arg_max(stage, seq) AS stage FROM r GROUP BY 1) x GROUP BY 1")
 def _(t: Tables):
     rows = t.triage_scores.withColumn("action_type", (F.col("seq") % 12).cast("int"))
     return S.stage_distribution(S.kill_chain(rows, "hostname"), "hostname")
 
 
-@query("l03_suppress_repeats")
+@query(
+    "l03_suppress_repeats",
+    """WITH RECURSIVE e AS (SELECT event_id, hostname, category, timestamp, epoch_us(timestamp) / 1e6 AS t, row_number() OVER (PARTITION BY hostname, category ORDER BY timestamp, seq) AS n FROM {security_events}),
+    r AS (SELECT hostname, category, n, event_id, timestamp, t AS passed, true AS passes FROM e WHERE n = 1
+        UNION ALL SELECT e.hostname, e.category, e.n, e.event_id, e.timestamp, CASE WHEN e.t - passed >= 3600 THEN e.t ELSE passed END, e.t - passed >= 3600 FROM r JOIN e ON e.hostname = r.hostname AND e.category = r.category AND e.n = r.n + 1)
+    SELECT event_id, hostname, category, timestamp FROM r WHERE passes""",
+)
 def _(t: Tables):
     return S.suppress_repeats(t.security_events, ["hostname", "category"], 3600).select("event_id", "hostname", "category", "timestamp")
 

@@ -132,4 +132,6 @@ def cte(sql: str) -> str:
     body = plain(sql).strip()
     if not head:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     return f"WITH {head},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head}\n{body}"
