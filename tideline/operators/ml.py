@@ -106,12 +106,22 @@ def evaluate(df: DataFrame, score: str, label: str, by: str | None = None, thres
     return _measures(rows.groupBy(g).agg(*_rates(F.col("s") >= threshold, F.col("y")))).join(auc, g)
 
 
+#: Ranges of scores that best_f1_threshold sums by.
+RANGES = 4096
+
+
 def best_f1_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
     """The score at which F1 is best (the greatest of equals), by running sums over distinct scores."""
     per = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = df.agg(F.count_if(F.col(label) == 1).alias("all_p"))
-    run = per.withColumns({"tp": F.sum("p").over(w), "k": F.sum("n").over(w)}).crossJoin(total)
+    # Sums of ranges of scores, of which there are RANGES, run first; then those within each range.
+    ends = per.agg(F.min("threshold").alias("low"), F.max("threshold").alias("high"), F.sum("p").alias("all_p"))
+    part = F.floor((F.col("threshold") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * RANGES)
+    ranged = per.crossJoin(F.broadcast(ends)).withColumn("part", part)  # one row
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("part").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    over = sums.select("part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"over_{c}") for c in ("p", "n")])
+    w = Window.partitionBy("part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.join(over, "part").withColumns({"tp": F.sum("p").over(w) + F.col("over_p"), "k": F.sum("n").over(w) + F.col("over_n")})
     f1 = F.try_divide(2 * F.col("tp"), F.col("k") + F.col("all_p"))
     return run.withColumn("f1", f1).agg(F.max(F.struct("f1", "threshold")).alias("b")).select("b.threshold", "b.f1")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .evidence import evidence_integrity
 from .investigate import lookup
-from .joins import capped
+from .joins import capped, entity_feedback, ioc_destinations, ioc_direct, prior_verdicts
 from .ranges import within
+from .sequence import sequence_coherent
 
 # The finding types of each kind.
 DEFINITE = ["CONFIRMED_ATTACK", "ACTIVE_CAMPAIGN"]
@@ -23,13 +27,37 @@ def fp_score(feedback: DataFrame, prior: DataFrame, similar: DataFrame, key: str
     of = lambda c, v: F.count_if(F.col(c) == v)
     a = feedback.groupBy(key).agg(of("label", "false_positive").alias("f1"), of("label", "true_positive").alias("t1"))
     b = prior.groupBy(key).agg(of("verdict", "false_positive").alias("f2"), of("verdict", "true_positive").alias("t2"))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
     both = similar.join(a, key, "left").join(b, key, "left")
-    counts = both.select(key, (z("f1") + F.floor(z("f2") / 2)).alias("fp"), (z("t1") + F.floor(z("t2") / 2)).alias("tp"), z("similar_count").alias("similar"))
+    return with_fp(both, "f1", "t1", "f2", "t2", "similar_count").select(key, "fp", "tp", "similar", "fp_confidence", "has_fp_history")
+
+
+def with_fp(df: DataFrame, labels_fp: str, labels_tp: str, prior_fp: str, prior_tp: str, similar: str) -> DataFrame:
+    """df with fp, tp, similar, fp_confidence and has_fp_history from its counts; a null count is 0."""
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    counts = df.withColumns({"fp": z(labels_fp) + F.floor(z(prior_fp) / 2), "tp": z(labels_tp) + F.floor(z(prior_tp) / 2), "similar": z(similar)})
     conf = F.when(F.col("fp") + F.col("tp") > 0, F.col("fp") / (F.col("fp") + F.col("tp") + 1)).otherwise(0.0) * (1 - F.col("similar") / (F.col("similar") + 1))
     return counts.withColumn("fp_confidence", conf).withColumn("has_fp_history", F.col("fp_confidence") > 0.6)
 
 
+def verification_inputs(cases: DataFrame, anchors: DataFrame, network: DataFrame, ioc: DataFrame, arrivals: DataFrame, feedback: DataFrame, verdicts: DataFrame, as_of: datetime) -> DataFrame:
+    """cases, a row each, with all evidence checks: anchors and chain, flows to indicators and the address itself, order of the host's events
+    (arrivals(hostname, timestamp, received_at, seq)), verdicts on earlier cases of the host, and labels of host or address.
+
+    similar_count is the number of those earlier cases that were confirmed.
+    """
+    of = lambda c, v: F.count_if(F.col(c) == v)
+    integrity = evidence_integrity(cases.select(F.col("investigation_id").alias("case_id"), F.col("started_at").alias("at")), anchors).withColumnRenamed("case_id", "investigation_id")
+    flows = ioc_destinations(cases.select("alert_id", F.col("hostname").alias("host"), F.col("started_at").alias("at")), network, ioc, as_of).groupBy("alert_id").agg(F.count("*").alias("ioc_flows"))
+    direct = ioc_direct(cases.select("investigation_id", "source_ip"), ioc, as_of).groupBy("investigation_id").agg(F.max("ioc_confidence").alias("ioc_confidence"))
+    order = sequence_coherent(arrivals, "hostname", "received_at").select("hostname", "out_of_order", "coherent")
+    prior = prior_verdicts(cases, verdicts).groupBy("investigation_id").agg(of("verdict", "false_positive").alias("prior_fp"), of("verdict", "true_positive").alias("prior_tp"))
+    labels = entity_feedback(cases, feedback).groupBy("investigation_id").agg(of("label", "false_positive").alias("label_fp"), of("label", "true_positive").alias("label_tp"))
+    out = cases.join(integrity, "investigation_id").join(flows, "alert_id", "left").join(direct, "investigation_id", "left").join(order, "hostname", "left").join(prior, "investigation_id", "left").join(labels, "investigation_id", "left")
+    zero = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("ioc_flows", "out_of_order", "prior_fp", "prior_tp", "label_fp", "label_tp")}
+    out = out.withColumns({**zero, "coherent": F.coalesce("coherent", F.lit(True))})
+    return out.withColumns({"ioc_corroborated": (F.col("ioc_flows") > 0) | F.col("ioc_confidence").isNotNull(), "similar_count": F.col("prior_tp")})
+
+
 def evidence_boost() -> Column:
     intact = F.col("chain_intact")
     return F.when(F.col("evidence_verified") & intact, 1.0).when(F.col("coverage_gap") & intact, 0.5).otherwise(0.0)

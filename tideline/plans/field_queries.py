@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import features as X
 from ..functions import normalize as N
-from ..operators import joins as J
 from ..operators import ml as M
 from ..operators import rules as R
 from ..operators import sequence as S
 from ..operators import similarity as K
 from .registry import Tables, query
-from .score_queries import investigated, verified
+from .score_queries import investigated
 
 
 @query("b01_timestamps", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE date_trunc('second', ts) END AS t FROM events")
@@ -207,12 +206,6 @@ def _(t: Tables):
     return evidence_graph(investigated(t))[2]
 
 
-@query("j29_calibration", "SELECT count(*) AS n FROM {investigations}")
-def _(t: Tables):
-    """Calibrated confidences stay within 0..1 and never exceed the finding's own, so that all rows count."""
-    return verified(t).filter("verdict_confidence BETWEEN 0 AND 1").agg(F.count("*").alias("n"))
-
-
 @query("d19_trailing_hosts", "SELECT a.seq, count(DISTINCT b.hostname) AS hosts FROM {triage_scores} a JOIN {triage_scores} b ON a.adjusted_score >= 0.85 AND b.adjusted_score >= 0.85 AND b.timestamp BETWEEN a.timestamp - INTERVAL 1800 SECOND AND a.timestamp GROUP BY 1")
 def _(t: Tables):
     found = S.cross_host(t.triage_scores.filter("adjusted_score >= 0.85"), 0.85, 1800)
@@ -246,10 +239,3 @@ def _(t: Tables):
 def _(t: Tables):
     e = t.embeddings
     return K.approximate_knn(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b")), 10, 1.6)
-
-
-@query("j26_verification_inputs", "SELECT investigation_id, ioc_confidence FROM {investigations} JOIN (SELECT ioc_value, max(confidence) AS ioc_confidence FROM {ioc} GROUP BY 1) x ON source_ip = ioc_value")
-def _(t: Tables):
-    from .report_queries import as_of
-
-    return J.ioc_direct(t.investigations, t.ioc, as_of(t)).select("investigation_id", "ioc_confidence")

@@ -373,14 +373,13 @@ def _(t: Tables):
     return M.training_rows(investigated(t).withColumn("score", F.col("adjusted_score"))).select("alert_id", "label", "label_source")
 
 
+def verification_inputs(t: Tables):
+    arrivals = t.security_events.select("hostname", "timestamp", "seq", F.expr("timestamp + make_dt_interval(0, 0, 20 * CAST(seq % 7 AS INT), 0)").alias("received_at"))
+    return Y.verification_inputs(t.investigations, t.anchors, t.network_events, t.ioc, arrivals, t.feedback_labels, t.verdicts, as_of(t))
+
+
 def verified(t: Tables):
-    cases = t.investigations
-    feedback = J.entity_feedback(cases, t.feedback_labels).select("investigation_id", "label")
-    prior = J.prior_verdicts(cases, t.verdicts).select("investigation_id", "verdict")
-    fp = Y.fp_score(feedback, prior, cases.select("investigation_id", (F.col("seq") % 3).alias("similar_count")))
-    integrity = V.evidence_integrity(cases.select(F.col("investigation_id").alias("case_id"), F.col("started_at").alias("at")), t.anchors)
-    joined = cases.join(fp, "investigation_id").join(integrity, F.col("investigation_id") == F.col("case_id"))
-    return Y.with_verdict(joined.withColumns({"ioc_corroborated": F.col("source_ip").like("%.7"), "coherent": F.col("seq") % 2 == 0}))
+    return Y.with_verdict(Y.with_fp(verification_inputs(t), "label_fp", "label_tp", "prior_fp", "prior_tp", "similar_count"))
 
 
 _FP = """fb AS (SELECT investigation_id, label FROM {investigations} c JOIN {feedback_labels} f ON (f.hostname = c.hostname OR f.source_ip = c.source_ip) AND f.timestamp BETWEEN c.started_at - INTERVAL 30 DAY AND c.started_at
@@ -388,7 +387,8 @@ _FP = """fb AS (SELECT investigation_id, label FROM {investigations} c JOIN {fee
     pv AS (SELECT c.investigation_id, v.verdict FROM {investigations} c JOIN {investigations} o ON o.hostname = c.hostname AND o.alert_id <> c.alert_id AND o.started_at BETWEEN c.started_at - INTERVAL 7 DAY AND c.started_at
         JOIN {verdicts} v ON v.alert_id = o.alert_id QUALIFY row_number() OVER (PARTITION BY c.investigation_id ORDER BY o.started_at DESC, v.verification_id DESC) <= 10),
     n AS (SELECT i.*, (SELECT count(*) FROM fb WHERE fb.investigation_id = i.investigation_id AND label = 'false_positive') + (SELECT count(*) FROM pv WHERE pv.investigation_id = i.investigation_id AND verdict = 'false_positive') // 2 AS fp,
-        (SELECT count(*) FROM fb WHERE fb.investigation_id = i.investigation_id AND label = 'true_positive') + (SELECT count(*) FROM pv WHERE pv.investigation_id = i.investigation_id AND verdict = 'true_positive') // 2 AS tp, seq % 3 AS sim FROM {investigations} i),
+        (SELECT count(*) FROM fb WHERE fb.investigation_id = i.investigation_id AND label = 'true_positive') + (SELECT count(*) FROM pv WHERE pv.investigation_id = i.investigation_id AND verdict = 'true_positive') // 2 AS tp,
+        (SELECT count(*) FROM pv WHERE pv.investigation_id = i.investigation_id AND verdict = 'true_positive') AS sim FROM {investigations} i),
     s AS (SELECT *, (CASE WHEN fp + tp > 0 THEN fp / (fp + tp + 1) ELSE 0 END) * (1 - sim / (sim + 1)) AS fpc FROM n)"""
 
 
@@ -397,12 +397,40 @@ def _(t: Tables):
     return verified(t).select("investigation_id", "fp", "tp", F.round("fp_confidence", 6).alias("fp_confidence"), "has_fp_history")
 
 
+_CHECKS = """fl AS (SELECT alert_id, least(count(*), 50) AS flows FROM {investigations} c JOIN {network_events} n ON n.hostname = c.hostname AND n.timestamp BETWEEN c.started_at - INTERVAL 72 HOUR AND c.started_at
+        JOIN (SELECT DISTINCT ioc_value FROM {ioc}) b ON dst_ip = ioc_value GROUP BY 1),
+    di AS (SELECT ioc_value, max(confidence) AS conf FROM {ioc} GROUP BY 1),
+    co AS (SELECT hostname, sum(coalesce(late, 0)) AS late, sum(coalesce(late, 0)) <= greatest(1, count(*) // 20) AS coherent FROM
+        (SELECT hostname, (timestamp < lag(timestamp) OVER (PARTITION BY hostname ORDER BY timestamp + (seq % 7) * INTERVAL 20 MINUTE, seq))::INT AS late FROM {security_events}) x GROUP BY 1),
+    lk AS (SELECT *, lag(merkle_root) OVER (PARTITION BY table_name ORDER BY time_from) AS before, row_number() OVER (PARTITION BY table_name ORDER BY time_from DESC) AS k FROM {anchors}),
+    ci AS (SELECT bool_and(k = 5 OR before IS NULL OR prev_merkle_root = '' OR prev_merkle_root = before) AS chain FROM lk WHERE k <= 5),
+    e AS (SELECT s.*, chain OR v = 0 AS chain_ok, v > 0 AS ver, coalesce(flows, 0) AS flows, conf, late, coalesce(flows, 0) > 0 OR conf IS NOT NULL AS ioc, coalesce(coherent, true) AS coh
+        FROM (SELECT s.*, (SELECT count(*) FROM {anchors} a WHERE a.time_from <= started_at + INTERVAL 2 HOUR AND a.time_to >= started_at - INTERVAL 2 HOUR) AS v FROM s) s CROSS JOIN ci
+        LEFT JOIN fl USING (alert_id) LEFT JOIN di ON source_ip = ioc_value LEFT JOIN co USING (hostname)),
+    c AS (SELECT *, greatest(0, least(1, confidence * (0.4 + 0.2 * (CASE WHEN ver AND chain_ok THEN 1 WHEN NOT ver AND chain_ok THEN 0.5 ELSE 0 END) + 0.2 * ioc::INT + 0.1 * (1 - fpc) + 0.1 * coh::INT))) AS cal, finding_type IN ('CONFIRMED_ATTACK', 'ACTIVE_CAMPAIGN') AS def FROM e)"""
+
+
+@query(
+    "j26_verification_inputs",
+    f"""WITH {_FP}, {_CHECKS}, of AS (SELECT investigation_id, count(*) FILTER (label = 'false_positive') AS lf, count(*) FILTER (label = 'true_positive') AS lt FROM fb GROUP BY 1),
+    op AS (SELECT investigation_id, count(*) FILTER (verdict = 'false_positive') AS pf, count(*) FILTER (verdict = 'true_positive') AS pt FROM pv GROUP BY 1)
+    SELECT investigation_id, ver AS evidence_verified, NOT ver AS coverage_gap, chain_ok AS chain_intact, flows::BIGINT AS ioc_flows, conf::BIGINT AS ioc_confidence, coalesce(late, 0)::BIGINT AS out_of_order, coh AS coherent,
+        coalesce(pf, 0) AS prior_fp, coalesce(pt, 0) AS prior_tp, coalesce(lf, 0) AS label_fp, coalesce(lt, 0) AS label_tp FROM e LEFT JOIN of USING (investigation_id) LEFT JOIN op USING (investigation_id)""",
+)
+def _(t: Tables):
+    """A row a case with all six checks."""
+    names = ["evidence_verified", "coverage_gap", "chain_intact", "ioc_flows", F.col("ioc_confidence").cast("long").alias("ioc_confidence"), "out_of_order", "coherent", "prior_fp", "prior_tp", "label_fp", "label_tp"]
+    return verification_inputs(t).select("investigation_id", *names)
+
+
+@query("j29_calibration", f"WITH {_FP}, {_CHECKS} SELECT investigation_id, round(cal, 5)::DOUBLE AS calibrated FROM c")
+def _(t: Tables):
+    return verified(t).select("investigation_id", F.round(Y.calibrated(F.col("confidence")), 5).alias("calibrated"))
+
+
 @query(
     "j28_verdicts",
-    f"""WITH {_FP}, lk AS (SELECT *, lag(merkle_root) OVER (PARTITION BY table_name ORDER BY time_from) AS before, row_number() OVER (PARTITION BY table_name ORDER BY time_from DESC) AS k FROM {{anchors}}),
-    ci AS (SELECT bool_and(k = 5 OR before IS NULL OR prev_merkle_root = '' OR prev_merkle_root = before) AS chain FROM lk WHERE k <= 5),
-    e AS (SELECT s.*, chain OR v = 0 AS chain_ok, v > 0 AS ver, source_ip LIKE '%.7' AS ioc, seq % 2 = 0 AS coh FROM (SELECT s.*, (SELECT count(*) FROM {{anchors}} a WHERE a.time_from <= started_at + INTERVAL 2 HOUR AND a.time_to >= started_at - INTERVAL 2 HOUR) AS v FROM s) s, ci),
-    c AS (SELECT *, greatest(0, least(1, confidence * (0.4 + 0.2 * (CASE WHEN ver AND chain_ok THEN 1 WHEN NOT ver AND chain_ok THEN 0.5 ELSE 0 END) + 0.2 * ioc::INT + 0.1 * (1 - fpc) + 0.1 * coh::INT))) AS cal, finding_type IN ('CONFIRMED_ATTACK', 'ACTIVE_CAMPAIGN') AS def FROM e)
+    f"""WITH {_FP}, {_CHECKS}
     SELECT investigation_id, CASE WHEN finding_type = 'NORMAL_BEHAVIOUR' THEN 'false_positive' WHEN fpc > 0.6 AND NOT def THEN 'false_positive' WHEN ver AND NOT chain_ok THEN 'inconclusive' WHEN def THEN 'true_positive' WHEN ioc THEN 'true_positive' ELSE 'inconclusive' END AS verdict,
         CASE WHEN finding_type = 'NORMAL_BEHAVIOUR' THEN 'P4' WHEN fpc > 0.6 AND NOT def THEN 'P4' WHEN ver AND NOT chain_ok THEN 'P2' WHEN def THEN CASE WHEN ioc OR finding_type = 'ACTIVE_CAMPAIGN' THEN 'P1' ELSE 'P2' END WHEN ioc THEN 'P2' ELSE 'P3' END AS priority,
         round(CASE WHEN finding_type = 'NORMAL_BEHAVIOUR' THEN greatest(0.7, 1 - confidence) WHEN fpc > 0.6 AND NOT def THEN fpc WHEN ver AND NOT chain_ok THEN 0.5 ELSE cal END, 5)::DOUBLE AS verdict_confidence FROM c""",
@@ -424,11 +452,14 @@ def _(t: Tables):
     return Y.create_cases(ids, s, t.triage_scores, near).select("event_id", "hostname", "confidence", "tactic")
 
 
-@query("f10_timeline", f"SELECT c.alert_id AS case_id, 'triage' AS stage, s.seq FROM {{investigations}} c JOIN {{triage_scores}} s ON s.hostname = c.hostname AND s.timestamp BETWEEN c.started_at - INTERVAL 3 HOUR AND c.started_at + INTERVAL 3 HOUR QUALIFY row_number() OVER (PARTITION BY c.alert_id ORDER BY s.timestamp DESC, s.seq DESC) <= 100")
+_NEAR = "c.alert_id AS case_id, '{stage}' AS stage, s.seq FROM {{investigations}} c JOIN {{{table}}} s ON s.hostname = c.hostname AND s.{at} BETWEEN c.started_at - INTERVAL 3 HOUR AND c.started_at + INTERVAL 3 HOUR QUALIFY row_number() OVER (PARTITION BY c.alert_id ORDER BY s.{at} DESC, s.seq DESC) <= {cap}"
+
+
+@query("f10_timeline", " UNION ALL ".join(f"(SELECT {_NEAR.format(stage=a, table=b, at=c, cap=n)})" for a, b, c, n in (("raw", "raw_logs", "timestamp", 200), ("triage", "triage_scores", "timestamp", 100), ("hunter", "investigations", "started_at", 50))))
 def _(t: Tables):
     cases = t.investigations.select(F.col("alert_id").alias("case_id"), F.col("hostname").alias("host"), F.col("started_at").alias("at"))
     entries = Y.timeline(cases, t.raw_logs, t.triage_scores, t.investigations, 3 * 3600)
-    return Y.timeline_labels(entries).filter("stage = 'triage'").select("case_id", "stage", "seq")
+    return Y.timeline_labels(entries).select("case_id", "stage", "seq")
 
 
 @query("n01_leaf_hashes", "SELECT event_id, upper(sha256(event_id || severity || category || source || description)) AS leaf FROM {security_events}")
