@@ -423,9 +423,9 @@ def _(t: Tables):
     return verification_inputs(t).select("investigation_id", *names)
 
 
-@query("j29_calibration", f"WITH {_FP}, {_CHECKS} SELECT investigation_id, round(cal, 5)::DOUBLE AS calibrated FROM c")
+@query("j29_calibration", f"WITH {_FP}, {_CHECKS} SELECT investigation_id, round(cal, 8)::DOUBLE AS calibrated FROM c")
 def _(t: Tables):
-    return verified(t).select("investigation_id", F.round(Y.calibrated(F.col("confidence")), 5).alias("calibrated"))
+    return verified(t).select("investigation_id", F.round(Y.calibrated(F.col("confidence")), 8).alias("calibrated"))
 
 
 @query(
@@ -433,10 +433,10 @@ def _(t: Tables):
     f"""WITH {_FP}, {_CHECKS}
     SELECT investigation_id, CASE WHEN finding_type = 'NORMAL_BEHAVIOUR' THEN 'false_positive' WHEN fpc > 0.6 AND NOT def THEN 'false_positive' WHEN ver AND NOT chain_ok THEN 'inconclusive' WHEN def THEN 'true_positive' WHEN ioc THEN 'true_positive' ELSE 'inconclusive' END AS verdict,
         CASE WHEN finding_type = 'NORMAL_BEHAVIOUR' THEN 'P4' WHEN fpc > 0.6 AND NOT def THEN 'P4' WHEN ver AND NOT chain_ok THEN 'P2' WHEN def THEN CASE WHEN ioc OR finding_type = 'ACTIVE_CAMPAIGN' THEN 'P1' ELSE 'P2' END WHEN ioc THEN 'P2' ELSE 'P3' END AS priority,
-        round(CASE WHEN finding_type = 'NORMAL_BEHAVIOUR' THEN greatest(0.7, 1 - confidence) WHEN fpc > 0.6 AND NOT def THEN fpc WHEN ver AND NOT chain_ok THEN 0.5 ELSE cal END, 5)::DOUBLE AS verdict_confidence FROM c""",
+        round(CASE WHEN finding_type = 'NORMAL_BEHAVIOUR' THEN greatest(0.7, 1 - confidence) WHEN fpc > 0.6 AND NOT def THEN fpc WHEN ver AND NOT chain_ok THEN 0.5 ELSE cal END, 8)::DOUBLE AS verdict_confidence FROM c""",
 )
 def _(t: Tables):
-    return verified(t).select("investigation_id", "verdict", "priority", F.round("verdict_confidence", 5).alias("verdict_confidence"))
+    return verified(t).select("investigation_id", "verdict", "priority", F.round("verdict_confidence", 8).alias("verdict_confidence"))
 
 
 @query("j31_summaries")
