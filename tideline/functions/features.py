@@ -31,11 +31,14 @@ SECURITY_COMPONENTS = ["sshd", "sudo", "su", "pam", "login", "systemd-logind"]
 HIGH_RISK_IDS, MEDIUM_RISK_IDS = [4625, 4697, 4720, 4728, 4732, 1102, 7045], [4624, 4672, 4688, 4768, 4769]
 ADMIN_IDS = [4672, 4720, 4728, 4732, 4756, 7045, 1102]
 SENSITIVE_SERVICES = ["iam.amazonaws.com", "sts.amazonaws.com", "kms.amazonaws.com", "secretsmanager.amazonaws.com", "organizations.amazonaws.com", "cloudtrail.amazonaws.com"]
-CLOUD_EVENTS = """RunInstances DescribeSnapshots AssumeRole DescribeInstances GetBucketAcl ListBuckets GetObject PutObject CreateUser AttachUserPolicy DeleteUser
-CreateAccessKey GetCallerIdentity ListUsers ListRoles CreateRole PutRolePolicy DeleteAccessKey StopInstances TerminateInstances DescribeSecurityGroups
-AuthorizeSecurityGroupIngress CreateSecurityGroup DescribeSubnets DescribeVpcs CreateVpc DeleteVpc CreateTrail StopLogging DeleteTrail PutBucketPolicy GetBucketPolicy
-ListAccessKeys GetUserPolicy CreateLoginProfile UpdateLoginProfile DeleteLoginProfile ConsoleLogin DescribeRegions DescribeAvailabilityZones ModifyInstanceAttribute
-CreateKeyPair DescribeKeyPairs ImportKeyPair GetSecretValue CreateSecret DescribeDBInstances CreateDBInstance ModifyDBInstance DeleteDBInstance""".split()
+CLOUD_EVENTS = [
+    "RunInstances", "DescribeSnapshots", "AssumeRole", "DescribeInstances", "GetBucketAcl", "ListBuckets", "GetObject", "PutObject", "CreateUser", "AttachUserPolicy", "DeleteUser",
+    "CreateAccessKey", "GetCallerIdentity", "ListUsers", "ListRoles", "CreateRole", "PutRolePolicy", "DeleteAccessKey", "StopInstances", "TerminateInstances", "DescribeSecurityGroups",
+    "AuthorizeSecurityGroupIngress", "CreateSecurityGroup", "DescribeSubnets", "DescribeVpcs", "CreateVpc", "DeleteVpc", "CreateTrail", "StopLogging", "DeleteTrail", "PutBucketPolicy",
+    "GetBucketPolicy", "ListAccessKeys", "GetUserPolicy", "CreateLoginProfile", "UpdateLoginProfile", "DeleteLoginProfile", "ConsoleLogin", "DescribeRegions", "DescribeAvailabilityZones",
+    "ModifyInstanceAttribute", "CreateKeyPair", "DescribeKeyPairs", "ImportKeyPair", "GetSecretValue", "CreateSecret", "DescribeDBInstances", "CreateDBInstance", "ModifyDBInstance",
+    "DeleteDBInstance",
+]
 BIGRAMS = {
     "th": 3.56, "he": 3.07, "in": 2.43, "er": 2.05, "an": 1.99, "re": 1.85, "on": 1.76, "at": 1.49, "en": 1.45, "nd": 1.35,
     "ti": 1.34, "es": 1.34, "or": 1.28, "te": 1.27, "of": 1.17, "ed": 1.17, "is": 1.13, "it": 1.12, "al": 1.09, "ar": 1.07,

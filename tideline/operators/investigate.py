@@ -40,7 +40,8 @@ class Rule:
 
 
 _NET, _HOST = (("hostname", "hostname"), ("source_ip", "src_ip")), (("hostname", "hostname"),)
-_IDS = "'" + "','".join("exploits fuzzers dos reconnaissance generic shellcode worms backdoor analysis ddos bruteforce botnet infiltration".split()) + "'"
+_CATEGORIES = ["exploits", "fuzzers", "dos", "reconnaissance", "generic", "shellcode", "worms", "backdoor", "analysis", "ddos", "bruteforce", "botnet", "infiltration"]
+_IDS = "'" + "','".join(_CATEGORIES) + "'"
 # The twelve signatures.
 RULES = [
     Rule("brute_force_login", "high", "or", ("login failed", "authentication failure", "% login invalid"), False, "network", _NET, "detection_rule ILIKE '%login%fail%'", "count(*)", 5),

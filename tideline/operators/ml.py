@@ -140,6 +140,18 @@ def training_set(rows: DataFrame, least: int = 200, newest: int = 50_000, negati
     return recent if n >= least and neg >= negatives * n else None
 
 
+def retrain(rows: DataFrame, least: int = 200, rounds: int = 300, depth: int = 6, step: float = 0.05, seed: int = 42, **guards):
+    """Boosted trees over the vectors of training_set, positives weighted 3 to 1; None where its guards don't hold."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    chosen = training_set(rows, least, **guards)
+    if chosen is None:
+        return None
+    weighed = chosen.select(array_to_vector("vector").alias("features"), F.col("label").cast("double").alias("label"), F.when(F.col("label") == 1, 3.0).otherwise(1.0).alias("weight"))
+    return GBTClassifier(weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).fit(weighed)
+
+
 def scenario_metrics(df: DataFrame, expected: str, got: str, klass: str) -> DataFrame:
     """Passes per class, and overall precision, recall and F1 of true positives."""
     per = df.groupBy(klass).agg(F.count("*").alias("cases"), F.count_if(F.col(expected) == F.col(got)).alias("passed"))

@@ -86,7 +86,11 @@ def staleness(tables: dict[str, DataFrame], as_of, limit_s: int = 300, ts: str =
     return reduce(DataFrame.unionByName, newest).select("table_name", age.alias("stale_seconds"), (age > limit_s).alias("is_stale"))
 
 
-def recalculated_thresholds(scores: DataFrame, suspicious: float = 0.9, anomalous: float = 0.99, exact: bool = True) -> DataFrame:
-    """Thresholds per source type as quantiles of its scores."""
+def recalculated_thresholds(scores: DataFrame, suspicious: float = 0.9, anomalous: float = 0.99, exact: bool = True, days: int | None = None, as_of=None, ts: str = "timestamp") -> DataFrame:
+    """Thresholds per source type as quantiles of its scores, of all rows or of the last days before as_of (else before the newest row)."""
+    if days is not None:
+        end = scores.agg(F.max(ts).alias("__end")) if as_of is None else scores.sparkSession.range(1).select(F.lit(as_of).cast("timestamp").alias("__end"))
+        inside = (F.col(ts) > F.col("__end") - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col(ts) <= F.col("__end"))
+        scores = scores.join(F.broadcast(end), inside).drop("__end")  # one row
     q = (lambda p: F.expr(f"percentile(adjusted_score, {p})")) if exact else (lambda p: F.percentile_approx("adjusted_score", p))
     return scores.groupBy("source_type").agg(q(suspicious).alias("suspicious_threshold"), q(anomalous).alias("anomalous_threshold"))

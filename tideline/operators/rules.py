@@ -17,9 +17,11 @@ MEDIUM_PHRASES = ["anomalous login", "tls certificate mismatch", "geo=unexpected
 TIERS = [(0.92, CRITICAL_PHRASES), (0.88, HIGH_PHRASES), (0.55, MEDIUM_PHRASES)]
 # Windows content words.
 SHELLS = ["cmd.exe", "powershell", "powershell.exe"]
-EXECUTABLES = """powershell powershell.exe pwsh pwsh.exe cmd.exe certutil certutil.exe mshta mshta.exe regsvr32 regsvr32.exe rundll32 rundll32.exe wmic wmic.exe cscript cscript.exe
-wscript wscript.exe bitsadmin bitsadmin.exe msbuild msbuild.exe installutil installutil.exe reg.exe whoami whoami.exe net.exe net1.exe sc.exe schtasks schtasks.exe taskkill.exe
-nltest.exe ntdsutil.exe""".split()
+EXECUTABLES = [
+    "powershell", "powershell.exe", "pwsh", "pwsh.exe", "cmd.exe", "certutil", "certutil.exe", "mshta", "mshta.exe", "regsvr32", "regsvr32.exe", "rundll32", "rundll32.exe", "wmic",
+    "wmic.exe", "cscript", "cscript.exe", "wscript", "wscript.exe", "bitsadmin", "bitsadmin.exe", "msbuild", "msbuild.exe", "installutil", "installutil.exe", "reg.exe", "whoami",
+    "whoami.exe", "net.exe", "net1.exe", "sc.exe", "schtasks", "schtasks.exe", "taskkill.exe", "nltest.exe", "ntdsutil.exe",
+]
 COMMANDS = [
     "-enc ", "-encodedcommand", "-nop ", "-noprofile", "-windowstyle hidden", "-ep bypass", "-executionpolicy bypass", "invoke-expression", "invoke-command", "iex(", "downloadstring", "downloadfile",
     "net user ", "net group ", "net localgroup ", "mimikatz", "sekurlsa", "lsadump", "procdump", "comsvcs.dll", "minidump", "whoami", "systeminfo", "ipconfig /all", "tasklist /v", "schtasks /create",

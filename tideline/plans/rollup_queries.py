@@ -108,3 +108,13 @@ def _(t: Tables):
 def _(t: Tables):
     found = R.recalculated_thresholds(t.triage_scores)
     return found.select("source_type", *[F.round(c, 6).alias(c) for c in found.columns[1:]])
+
+
+@query(
+    "e38_windowed_thresholds",
+    """SELECT source_type, round(quantile_cont(adjusted_score, 0.9), 6) AS suspicious_threshold, round(quantile_cont(adjusted_score, 0.99), 6) AS anomalous_threshold
+    FROM {triage_scores} WHERE timestamp > (SELECT max(timestamp) FROM {triage_scores}) - INTERVAL 7 DAY GROUP BY 1""",
+)
+def _(t: Tables):
+    found = R.recalculated_thresholds(t.triage_scores, days=7)
+    return found.select("source_type", *[F.round(c, 6).alias(c) for c in found.columns[1:]])

@@ -39,8 +39,14 @@ def read_syslog(spark: SparkSession, path: str, stream: bool = False) -> DataFra
 TOPIC = "topic string, partition int, offset long, value string"
 
 
-def read_topic(spark: SparkSession, where: str, topics: list[str], stream: bool = False, kafka: bool = False, **options: str) -> DataFrame:
-    """topic, partition, offset, value: from a broker, or from a folder of JSON lines with the same four columns."""
+def read_topic(spark: SparkSession, where: str, topics: list[str], stream: bool = False, kafka: bool = False, rows_a_batch: int | None = None, **options: str) -> DataFrame:
+    """topic, partition, offset, value: from a broker, or from a folder of JSON lines with the same four columns.
+
+    rows_a_batch bounds a stream's micro-batch: of a broker by offsets, of a folder by reading one file at a time, which
+    holds if write_topic was given the same rows_a_file.
+    """
+    if stream and rows_a_batch:
+        options = {"maxOffsetsPerTrigger": str(rows_a_batch)} | options if kafka else {"maxFilesPerTrigger": "1"} | options
     reader = spark.readStream if stream else spark.read
     if kafka:
         found = reader.format("kafka").option("kafka.bootstrap.servers", where).option("subscribe", ",".join(topics)).options(**options).load()
@@ -48,7 +54,7 @@ def read_topic(spark: SparkSession, where: str, topics: list[str], stream: bool
     return reader.schema(TOPIC).options(**options).json(where).filter(F.col("topic").isin(topics))
 
 
-def write_topic(df: DataFrame, where: str, topic: Column, kafka: bool = False) -> None:
+def write_topic(df: DataFrame, where: str, topic: Column, kafka: bool = False, rows_a_file: int | None = None) -> None:
     rows = df.select(topic.alias("topic"), F.to_json(F.struct("*")).alias("value"))
     if kafka:
         rows.write.format("kafka").option("kafka.bootstrap.servers", where).save()
@@ -59,7 +65,7 @@ def write_topic(df: DataFrame, where: str, topic: Column, kafka: bool = False) -
         there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
         last = spark.read.schema(TOPIC).json(where).agg(F.max("offset")).first()[0] if there else None
         offset = F.monotonically_increasing_id() + (0 if last is None else last + 1)
-        rows.select("topic", F.spark_partition_id().alias("partition"), offset.alias("offset"), "value").write.mode("append").json(where)
+        rows.select("topic", F.spark_partition_id().alias("partition"), offset.alias("offset"), "value").write.mode("append").option("maxRecordsPerFile", rows_a_file or 0).json(where)
 
 
 def unwrap_envelope(df: DataFrame, default_topic: str = "raw-logs") -> DataFrame:

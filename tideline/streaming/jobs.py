@@ -1,7 +1,7 @@
 """Structured Streaming jobs: bounded micro-batches, deduplication, rollups, keyed state, fan-out, chained stages.
 
-State is keyed by entity, so a shuffle by the entity precedes it; time comes from the event, late rows beyond the watermark are dropped by
-the engine's rules. Sinks are idempotent by batch id, so that a restart from a checkpoint repeats no effect.
+State is keyed by entity, so a shuffle by the entity precedes it; time comes from the event. Rows later than the watermark are dropped by the
+engine's rules; a split_late stage before it keeps them in a table of their own. Sinks are idempotent by batch id, so that a restart from a checkpoint repeats no effect.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.normalize import event_id
 from ..operators import joins as J
 from ..operators.drift import psi_fixed
-from ..operators.sequence import HALF_LIVES, STAGES
+from ..operators.sequence import HALF_LIVES, STAGES, cross_host
 
 WATERMARK = "10 minutes"
 
@@ -193,25 +193,99 @@ def triage_sink(path: str, failed: Column | None = None) -> Callable[[DataFrame,
     return write
 
 
+def split_late(path: str, ts: str = "timestamp", delay_s: int = 600) -> Callable[[DataFrame, int], None]:
+    """Rows in time to on_time, rows older than the greatest earlier batches' time less the delay to late; rows without a time are in time.
+
+    The greatest time up to a batch is a table of one row, of which the next batch reads the last. Stateful jobs with the same
+    watermark read on_time in the order of batches and drop none of it.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        newest = spark.read.parquet(f"{path}/newest/batch={batch - 1}").first()[0] if batch else None
+        rows = df.persist()
+        try:
+            limit = None if newest is None else F.timestamp_micros(F.lit(newest - delay_s * 1_000_000))
+            late = F.lit(False) if limit is None else F.coalesce(F.col(ts) < limit, F.lit(False))
+            once(path, "on_time")(rows.filter(~late), batch)
+            once(path, "late")(rows.filter(late), batch)
+            once(path, "newest")(rows.agg(F.greatest(F.unix_micros(F.max(ts)), F.lit(newest).cast("long")).alias("newest")), batch)
+        finally:
+            rows.unpersist()
+
+    return write
+
+
+def cross_host_sink(path: str, least: float = 0.5, window_s: int = 900, ts: str = "timestamp") -> Callable[[DataFrame, int], None]:
+    """Each batch's rows with the exact number of hosts of sequence.cross_host, over stored anomalous rows within the window before it.
+
+    Exact for rows whose batches come in order of time. seq names a row. Stored rows lie by hour, so that a batch reads few of them.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark, rows = df.sparkSession, df.persist()
+        try:
+            begin = rows.agg(F.min(ts)).first()[0]
+            hour = F.date_format(F.date_trunc("hour", F.col(ts)), "yyyy-MM-dd-HH")
+            hot = rows.filter(F.col("adjusted_score") >= least).select("seq", "hostname", "adjusted_score", ts)
+            hot.withColumns({"batch": F.lit(batch), "hour": hour}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(f"{path}/hot")
+            both = hot
+            if begin is not None and batch:
+                since = F.lit(begin) - F.expr(f"INTERVAL {int(window_s)} SECONDS")
+                schema = f"seq long, hostname string, adjusted_score double, {ts} timestamp, hour string, batch long"
+                held = spark.read.schema(schema).parquet(f"{path}/hot").filter((F.col("hour") >= F.date_format(F.date_trunc("hour", since), "yyyy-MM-dd-HH")) & (F.col("batch") < batch) & (F.col(ts) >= since))
+                both = held.select(*hot.columns).unionByName(hot)
+            counts = cross_host(both, least, window_s, ts=ts).select("seq", "correlated_hosts")
+            joined = rows.join(counts, "seq", "left").withColumn("correlated_hosts", F.coalesce("correlated_hosts", F.lit(0).cast("long")))
+            once(path, "cross_host")(joined, batch)
+        finally:
+            rows.unpersist()
+
+    return write
+
+
 def drift_sink(path: str, reference: DataFrame, score: str, every: int = 500, newest: int = 5000) -> Callable[[DataFrame, int], None]:
-    """Appends scores, and every so many batches compares the newest with a reference."""
+    """Keeps the newest scores as a table of that many rows, and every so many batches compares them with a reference."""
 
     def write(df: DataFrame, batch: int) -> None:
-        once(path, "drift_scores")(df.select("timestamp", score), batch)
+        rows = df.select("timestamp", score)
+        if batch:
+            rows = rows.unionByName(df.sparkSession.read.parquet(f"{path}/newest_scores/batch={batch - 1}"))
+        once(path, "newest_scores")(rows.orderBy(F.desc("timestamp"), score).limit(newest), batch)
         if batch % every == 0:
-            recent = df.sparkSession.read.parquet(f"{path}/drift_scores").orderBy(F.desc("timestamp")).limit(newest)
+            recent = df.sparkSession.read.parquet(f"{path}/newest_scores/batch={batch}")
             once(path, "drift")(psi_fixed(reference, recent, score).withColumn("batch_id", F.lit(batch)), batch)
 
     return write
 
 
-def chained(scored: DataFrame, investigate: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], path: str) -> StreamingQuery:
-    """Score -> investigate -> verify as one stream's batches; each stage's rows are a table of its own."""
+def _whole(path: str, name: str) -> Callable[[DataFrame, int], None]:
+    """once, but a batch that is there whole stays as it is, so that its files keep their names for the stream that reads them."""
 
     def write(df: DataFrame, batch: int) -> None:
-        once(path, "scored")(df, batch)
         spark = df.sparkSession
-        once(path, "investigated")(investigate(spark.read.parquet(f"{path}/scored/batch={batch}")), batch)
-        once(path, "verified")(verify(spark.read.parquet(f"{path}/investigated/batch={batch}")), batch)
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/batch={batch}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            once(path, name)(df, batch)
+
+    return write
 
-    return start(scored, write, f"{path}/checkpoint")
+
+def chained(scored: DataFrame, investigate: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], path: str, seconds: float | None = None) -> list[StreamingQuery]:
+    """Score -> investigate -> verify as three streams, each with its own checkpoint, that share the tables between them.
+
+    Without an interval each stream reads what its predecessor has written, and ends; otherwise all three go on side by side.
+    """
+    spark, queries, rows = scored.sparkSession, [], scored
+    for name, before, stage in (("scored", None, None), ("investigated", "scored", investigate), ("verified", "investigated", verify)):
+        if before:
+            schema = rows.schema
+            rows = stage(spark.createDataFrame([], schema))
+            source = spark.readStream.schema(schema).parquet(f"{path}/{before}/batch=*")
+            sink = lambda df, batch, write=_whole(path, name), stage=stage: write(stage(df), batch)
+        else:
+            source, sink = scored, _whole(path, name)
+        queries.append(start(source, sink, f"{path}/checkpoints/{name}", seconds))
+        if not seconds:
+            queries[-1].awaitTermination()
+    return queries
