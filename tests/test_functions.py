@@ -155,3 +155,26 @@ def test_envelope(spark):
     df = spark.createDataFrame([("e", "2024", {"name": "n", "kind": "k"}, {"topic": "bad", "message": "m"})], "event_id string, observed_at string, source struct<name:string,kind:string>, event struct<topic:string,message:string>")
     r = T.unwrap_envelope(df).first()
     assert (r.topic, r.integration, r.message) == ("raw-logs", "n", "m")
+
+
+def test_rules_are_loaded_and_malformed_ones_skipped(spark, tmp_path, caplog):
+    import json
+
+    from tideline.operators import investigate as I
+
+    good = {"rule_id": "r1", "title": "t", "severity": "High", "condition": "or", "keywords": ["k"], "keys": [["hostname", "hostname"]], "table": "network", "extra": 1}
+    bad = [{k: v for k, v in good.items() if k != drop} for drop in ("rule_id", "title", "severity", "condition")] + [good | {"severity": "odd"}, good | {"condition": "xor"}, good | {"keywords": None, "table": ""}]
+    (tmp_path / "rules.json").write_text("\n".join(map(json.dumps, [good, *bad])))
+    rules = I.load_rules(spark, str(tmp_path / "rules.json"))
+    assert rules == [I.Rule("r1", "high", "or", ("k",), table="network", keys=(("hostname", "hostname"),), title="t")]
+    assert len(caplog.records) == len(bad)
+
+
+def test_retraining_needs_rows_and_negatives(spark):
+    from tideline.operators import ml as M
+
+    made = spark.range(300).select(F.col("id").cast("string").alias("alert_id"), F.col("id").alias("created_at"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    rows = made.withColumn("vector", F.array(F.col("label") * 1.0, F.col("created_at") % 7 * 1.0))
+    assert M.retrain(rows, least=301) is None and M.retrain(rows.filter("label = 1"), least=50) is None
+    model = M.retrain(rows, least=200, rounds=3, depth=2)
+    assert model.getWeightCol() == "weight" and model.featureImportances.toArray()[0] == pytest.approx(1.0)

@@ -5,6 +5,7 @@ Alerts have alert_id, at, hostname, source_ip, user_id, score and the columns an
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -16,6 +17,8 @@ from ..functions.normalize import uuid5
 from .joins import live_indicators, match_tactics, small
 from .ranges import within
 
+log = logging.getLogger(__name__)
+
 SEVERITY = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 
 
@@ -33,6 +36,7 @@ class Rule:
     predicate: str = "true"
     measure: str = "count(*)"
     over: int = 0
+    title: str = ""
 
     def __post_init__(self) -> None:
         if not self.rule_id or self.severity not in SEVERITY or self.condition not in ("and", "or") or not (self.keywords or self.table):
@@ -60,11 +64,21 @@ RULES = [
 
 
 def load_rules(spark, path: str) -> list[Rule]:
-    """Rules from JSON lines (fields of Rule); a malformed one is an error. Rules are configuration, few and small."""
-    rows = spark.read.json(path).collect()
-    known = Rule.__dataclass_fields__
-    make = lambda v: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v
-    return [Rule(**{k: make(v) for k, v in r.asDict(recursive=True).items() if k in known and v is not None}) for r in rows]
+    """Rules from JSON lines (fields of Rule; id, title, severity and condition are needed). A malformed rule is skipped with a warning, the others stay.
+
+    Rules are configuration, few and small.
+    """
+    known, needed, rules = Rule.__dataclass_fields__, ("rule_id", "title", "severity", "condition"), []
+    plain = lambda v: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v
+    for row in spark.read.json(path).collect():
+        fields = {k: plain(v) for k, v in row.asDict(recursive=True).items() if k in known and v is not None}
+        try:
+            if missing := [n for n in needed if n not in fields]:
+                raise ValueError(f"rule {fields.get('rule_id')!r}: {', '.join(missing)} missing")
+            rules.append(Rule(**fields | {"severity": fields["severity"].lower()}))
+        except ValueError as e:
+            log.warning("skipped: %s", e)
+    return rules
 
 
 def signature_hits(alerts: DataFrame, tables: dict[str, DataFrame], text: Column, rules: list[Rule] = RULES, window_s: float = 900) -> DataFrame:

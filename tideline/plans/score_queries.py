@@ -92,45 +92,89 @@ def _(t: Tables):
     return t.security_events.groupBy(N.template_id(F.col("description")).alias("template_id")).agg(F.count("*").alias("events"))
 
 
+def _entropy(text: str) -> str:
+    return f"round((SELECT -sum(p * log2(p)) FROM (SELECT count(*) / length({text}) AS p FROM (SELECT unnest(string_split({text}, '')) AS ch) GROUP BY ch)), 6)"
+
+
+def _case(of: str, values: dict, default: float) -> str:
+    return f"CASE {of} {' '.join(f'WHEN {k!r} THEN {float(v)}' for k, v in values.items())} ELSE {float(default)} END::DOUBLE"
+
+
+def _shown(names: dict[str, str]) -> list:
+    """The features named, rounded, under short names."""
+    return [F.round(f"f_{feature}", 6).alias(name) for feature, name in names.items()]
+
+
 @query(
     "i01_core_features",
-    """SELECT event_id, round(sin(2 * pi() * extract(hour FROM timestamp) / 24), 6) AS hour_sin, round(cos(2 * pi() * (extract(isodow FROM timestamp) - 1) / 7), 6) AS dow_cos,
-        (extract(hour FROM timestamp) < 6 OR extract(hour FROM timestamp) >= 22 OR extract(isodow FROM timestamp) >= 6)::INT::DOUBLE AS off, round(log10(1.0 + length(description)), 6) AS len,
-        round((SELECT -sum(p * log2(p)) FROM (SELECT count(*) / length(description) AS p FROM (SELECT unnest(string_split(description, '')) AS ch) GROUP BY ch)), 6) AS entropy FROM {security_events}""",
+    f"""SELECT event_id, round(sin(2 * pi() * extract(hour FROM timestamp) / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * extract(hour FROM timestamp) / 24), 6) + 0.0 AS hour_cos,
+        round(sin(2 * pi() * (extract(isodow FROM timestamp) - 1) / 7), 6) AS dow_sin, round(cos(2 * pi() * (extract(isodow FROM timestamp) - 1) / 7), 6) AS dow_cos,
+        (extract(hour FROM timestamp) < 6 OR extract(hour FROM timestamp) >= 22 OR extract(isodow FROM timestamp) >= 6)::INT::DOUBLE AS off,
+        {_case("CASE seq % 3 WHEN 0 THEN 'syslog' WHEN 1 THEN 'windows' ELSE 'ad' END", {t: i for i, t in enumerate(N.LOG_TYPES)}, 0)} AS kind,
+        (CASE seq % 3 WHEN 0 THEN (seq % 4 = 0)::INT WHEN 1 THEN CASE seq % 7 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END ELSE (seq % 5 = 0)::INT END)::DOUBLE AS severity,
+        round(log10(1.0 + length(description)), 6) AS len, {_entropy("description")} AS entropy FROM {{security_events}}""",
 )
 def _(t: Tables):
-    found = X.features(t.security_events.withColumn("log_type", F.lit("syslog")))
-    r = lambda c, n: F.round(f"f_{c}", 6).alias(n)
-    return found.select("event_id", r("hour_sin", "hour_sin"), r("dow_cos", "dow_cos"), r("is_off_hours", "off"), r("message_length_log", "len"), r("message_entropy", "entropy"))
+    df = t.security_events.drop("severity").withColumns({
+        "log_type": F.expr("CASE seq % 3 WHEN 0 THEN 'syslog' WHEN 1 THEN 'windows' ELSE 'ad' END"), "user": F.expr("CASE seq % 4 WHEN 0 THEN 'Root' ELSE user_id END"),
+        "windows_event_id": F.expr("CASE seq % 7 WHEN 0 THEN '4625' WHEN 1 THEN '4624' ELSE '9999' END"), "component": F.expr("CASE seq % 5 WHEN 0 THEN ' sshd' ELSE 'kernel' END"),
+    })
+    names = {"hour_sin": "hour_sin", "hour_cos": "hour_cos", "dow_sin": "dow_sin", "dow_cos": "dow_cos", "is_off_hours": "off", "log_type": "kind", "severity_numeric": "severity", "message_length_log": "len", "message_entropy": "entropy"}
+    found = X.features(df)
+    return found.select("event_id", *_shown(names))
 
 
 @query(
     "i02_network_features",
     """SELECT event_id, (CASE WHEN dst_port <= 1023 THEN 0 WHEN dst_port <= 49151 THEN 1 ELSE 2 END)::DOUBLE AS port_bin, (CASE protocol WHEN 'UDP' THEN 17 ELSE 6 END)::DOUBLE AS protocol, round(log10(1 + bytes_sent + bytes_received), 6) AS total,
-        round(bytes_sent / (bytes_sent + bytes_received + 1e-10), 6) AS ratio, (bytes_sent + bytes_received)::DOUBLE AS size FROM {network_events}""",
+        round(bytes_sent / (bytes_sent + bytes_received + 1e-10), 6) AS ratio, round(log10(1 + seq % 7 + seq % 5), 6) AS packets, round((seq % 7) / (seq % 7 + seq % 5 + 1e-10), 6) AS packet_ratio, round(log10(1 + seq % 100), 6) AS lasted,
+        round((bytes_sent + bytes_received) / (seq % 7 + seq % 5 + 1), 6) AS size, (seq % 11)::DOUBLE AS size_variance, (seq % 13)::DOUBLE AS iat_mean, (seq % 17)::DOUBLE AS iat_stddev, (seq % 4 = 0)::INT::DOUBLE AS syn,
+        (seq % 3 = 0)::INT::DOUBLE AS rst, (seq % 5 = 0)::INT::DOUBLE AS fin, (seq % 8) / 8.0::DOUBLE AS resent FROM {network_events}""",
 )
 def _(t: Tables):
-    found = X.features(t.network_events.withColumn("log_type", F.lit("netflow")))
-    return found.select("event_id", F.col("f_dst_port_bin").alias("port_bin"), F.col("f_protocol_numeric").alias("protocol"), F.round("f_total_bytes_log", 6).alias("total"), F.round("f_byte_ratio", 6).alias("ratio"), F.col("f_avg_pkt_size").alias("size"))
+    made = {
+        "src_packets": "seq % 7", "dpkts": "seq % 5", "dur": "seq % 100", "pkt_size_variance": "seq % 11", "sintpkt": "seq % 13", "iat_stddev": "seq % 17", "syn_flag": "CAST(seq % 4 = 0 AS INT)",
+        "tcp_rst_flag": "CAST(seq % 3 = 0 AS INT)", "fin_flag": "CAST(seq % 5 = 0 AS INT)", "retransmit_ratio": "seq % 8 / 8.0D", "log_type": "'netflow'",
+    }
+    names = {
+        "dst_port_bin": "port_bin", "protocol_numeric": "protocol", "total_bytes_log": "total", "byte_ratio": "ratio", "total_packets_log": "packets", "packet_ratio": "packet_ratio", "flow_duration_log": "lasted", "avg_pkt_size": "size",
+        "pkt_size_variance": "size_variance", "iat_mean": "iat_mean", "iat_stddev": "iat_stddev", "tcp_syn_flag": "syn", "tcp_rst_flag": "rst", "tcp_fin_flag": "fin", "retransmit_ratio": "resent",
+    }
+    found = X.features(t.network_events.withColumns({n: F.expr(x) for n, x in made.items()}))
+    return found.select("event_id", *_shown(names))
 
 
-@query("i03_auth_features", "SELECT event_id, (lower(description) LIKE '%failed password%' OR description LIKE '%failed login%')::INT::DOUBLE AS fail, 1.0::DOUBLE AS remote, 0.0::DOUBLE AS same FROM {security_events}")
+@query(
+    "i03_auth_features",
+    """SELECT event_id, (CASE seq % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 4 END)::DOUBLE AS auth_type,
+        (CASE seq % 8 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE (lower(description) LIKE '%failed password%' OR lower(description) LIKE '%failed login%')::INT END)::DOUBLE AS fail,
+        (seq % 9 = 0 OR seq % 7 = 0)::INT::DOUBLE AS admin, (seq % 6 = 0)::INT::DOUBLE AS same, (CASE seq % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE (seq % 6 <> 0)::INT END)::DOUBLE AS remote,
+        (seq % 10)::DOUBLE AS fail_rate, (seq % 20)::DOUBLE AS targets, (seq % 30)::DOUBLE AS frequency FROM {security_events}""",
+)
 def _(t: Tables):
-    df = t.security_events.withColumn("log_type", F.lit("syslog"))
-    found = X.features(df)
-    return found.select("event_id", F.col("f_status_is_fail").alias("fail"), F.col("f_is_remote").alias("remote"), F.col("f_src_dst_match").alias("same"))
+    made = {
+        "log_type": "'syslog'", "auth_type": "CASE seq % 4 WHEN 0 THEN 'Kerberos' WHEN 1 THEN 'NTLM' WHEN 2 THEN 'other' END", "status": "CASE seq % 8 WHEN 0 THEN 'Failure' WHEN 1 THEN 'ok' END",
+        "user": "CASE seq % 9 WHEN 0 THEN 'SysAdmin1' ELSE 'u' END", "windows_event_id": "CASE seq % 7 WHEN 0 THEN 4672 ELSE 1 END", "dst_ip": "CASE seq % 6 WHEN 0 THEN ip_address ELSE '172.16.0.1' END",
+        "windows_logon_type": "CASE seq % 5 WHEN 0 THEN '3' WHEN 1 THEN '10' WHEN 2 THEN '2' END", "fail_rate": "CAST(seq % 10 AS DOUBLE)", "unique_targets": "CAST(seq % 20 AS DOUBLE)", "event_frequency": "CAST(seq % 30 AS DOUBLE)",
+    }
+    names = {"auth_type_encoded": "auth_type", "status_is_fail": "fail", "is_admin": "admin", "src_dst_match": "same", "is_remote": "remote", "fail_rate": "fail_rate", "unique_targets": "targets", "event_frequency": "frequency"}
+    found = X.features(t.security_events.withColumns({n: F.expr(x) for n, x in made.items()}))
+    return found.select("event_id", *_shown(names))
 
 
 @query(
     "i04_dns_features",
-    """WITH d AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS h FROM pages)
-    SELECT page_id, length(h)::DOUBLE AS n, (length(h) - length(replace(h, '.', '')))::DOUBLE AS depth, round(length(regexp_replace(h, '[^0-9]', '', 'g')) / length(h), 6) AS digits,
-        list_max([length(x) FOR x IN regexp_split_to_array(lower(h), '[^bcdfghjklmnpqrstvwxyz]+')])::DOUBLE AS run, regexp_matches(h, '(?i)[0-9a-f]{8,}')::INT::DOUBLE AS hex FROM d""",
+    f"""WITH d AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS h, lower(split_part(regexp_extract(url, '//([^/]+)', 1), '.', 1)) AS first FROM pages)
+    SELECT page_id, length(h)::DOUBLE AS n, {_entropy("h")} AS entropy, (length(h) - length(replace(h, '.', '')))::DOUBLE AS depth, round(length(regexp_replace(h, '[^0-9]', '', 'g')) / length(h), 6) AS digits,
+        list_max([length(x) FOR x IN regexp_split_to_array(lower(h), '[^bcdfghjklmnpqrstvwxyz]+')])::DOUBLE AS run,
+        CASE WHEN length(first) < 2 THEN 0 ELSE round(list_sum([{_case("substr(first, i, 2)", X.BIGRAMS, 0)} FOR i IN range(1, length(first))]) / (length(first) - 1) / {max(X.BIGRAMS.values())}, 6) END AS bigrams,
+        regexp_matches(h, '(?i)[0-9a-f]{{8,}}')::INT::DOUBLE AS hex, {_case("lower(list_extract(string_split(h, '.'), -1))", X.TLD_RISK, 0.3)} AS tld FROM d""",
 )
 def _(t: Tables):
     df = t.pages.select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("domain"), F.lit("dns").alias("log_type"), F.lit(None).cast("timestamp").alias("timestamp"))
+    names = {"domain_length": "n", "domain_entropy": "entropy", "subdomain_depth": "depth", "digit_ratio": "digits", "max_consonant_run": "run", "bigram_frequency": "bigrams", "has_hex_pattern": "hex", "tld_risk": "tld"}
     found = X.features(df)
-    return found.select("page_id", F.col("f_domain_length").alias("n"), F.col("f_subdomain_depth").alias("depth"), F.round("f_digit_ratio", 6).alias("digits"), F.col("f_max_consonant_run").alias("run"), F.col("f_has_hex_pattern").alias("hex"))
+    return found.select("page_id", *_shown(names))
 
 
 _SQL = X.SQL.replace("'", "''")
