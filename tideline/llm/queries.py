@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .divergence import ORACLE as DIVERGENCE_SQL
+from .divergence import op11_divergence
 from .licenses import op3_licenses
 from .licenses import oracle as licenses_sql
 from .mixing import op2_mixing
@@ -17,5 +19,6 @@ from .warc import ORACLE as WARC_SQL
 from .warc import op6_warc
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_licenses": op3_licenses, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_simhash": op10_simhash}
+QUERIES |= {"op11_divergence": op11_divergence}
 
-ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses_sql(), "op6_warc": WARC_SQL, "op9_topk": TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses_sql(), "op6_warc": WARC_SQL, "op9_topk": TOPK_SQL, "op11_divergence": DIVERGENCE_SQL}
