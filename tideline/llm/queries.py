@@ -7,6 +7,8 @@ from .divergence import ORACLE as DIVERGENCE_SQL
 from .divergence import op11_divergence
 from .licenses import op3_licenses
 from .licenses import oracle as licenses_sql
+from .merkle import ORACLE as MERKLE_SQL
+from .merkle import op12_merkle
 from .mixing import op2_mixing
 from .pii import op5_pii
 from .quality import op7_quality
@@ -19,6 +21,6 @@ from .warc import ORACLE as WARC_SQL
 from .warc import op6_warc
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_licenses": op3_licenses, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_simhash": op10_simhash}
-QUERIES |= {"op11_divergence": op11_divergence}
+QUERIES |= {"op11_divergence": op11_divergence, "op12_merkle": op12_merkle}
 
-ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses_sql(), "op6_warc": WARC_SQL, "op9_topk": TOPK_SQL, "op11_divergence": DIVERGENCE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses_sql(), "op6_warc": WARC_SQL, "op9_topk": TOPK_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_merkle": MERKLE_SQL}
