@@ -196,7 +196,7 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     long; a text without terms leaves its group in place, and a language that keeps no term gives pairs of value 0. Ties go to the item that is
     less as UTF-8. No rows give no rows; other columns are not looked at.
     """
-    counts = written(prefix_counts(docs), "divergence-counts")
+    counts = written(prefix_counts(docs), "divergence-counts", "level", "complete")
     kept = kept_terms(counts, least)
     of_kept = counts.filter("complete").join(kept, ["lang", "key"]).select("lang", F.col("key").cast("string").alias("term"), F.explode("by_source").alias("s"))
     seen = written(of_kept.groupBy("lang", F.col("s.source").alias("source"), "term").agg(F.sum("s.n").alias("n")), "divergence-terms")
