@@ -36,8 +36,10 @@ from .common import table, written
 from .simhash import components
 
 SHARE, SHINGLE = 90, 3
-#: Counts of a folded set; counters of shingles (their logarithms, 4 MB, are what the tasks are sent) and their blocks.
-FOLDS, COUNTERS, BLOCKS = 128, 1 << 22, 64
+#: Counts of a folded set; counters of shingles (their logarithms, 16 MB, are what the tasks are sent) and their blocks; marks of sets.
+FOLDS, COUNTERS, BLOCKS, MARKS = 128, 1 << 24, 256, 1 << 22
+#: Rows of a batch taken together, and neighbours in size that a document of a first region is held against.
+ROWS, NEIGHBOURS = 256, 12
 #: Homes that a leaf holds, pivots of a large region, rounds of these.
 LEAF, PIVOTS, ROUNDS = 64, 8, 4
 #: Rows of a first region up to which it is told apart by its members, and the counter's logarithm from which a shingle's region is dealt out.
@@ -121,40 +123,28 @@ def measured(docs: DataFrame) -> DataFrame:
     schema = StructType([*fields, *(StructField(c, BinaryType()) for c in ("x", "folds", "set")), StructField("block", IntegerType()), StructField("counts", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, ids = np.zeros(COUNTERS, np.uint32), set(), None
-        for b in batches:
-            ids = b.column("doc_id")
-            sizes, names, folds, sets, fresh, at, held = [], [], [], [], [], 0, 0
-
-            def out() -> pa.RecordBatch:
-                columns = [ids.slice(at, len(sizes)), pa.array(sizes, pa.int64()), *(pa.array(v, pa.binary()) for v in (names, folds, sets))]
-                return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=schema.names)
-
+        counts, seen, kind = np.zeros(COUNTERS, np.uint8), set(), None
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
+            kind, sizes, names, folds, sets, fresh = b.schema.field("doc_id").type, [], [], [], [], []
             for one in shingle_sets(b.column("text").cast(pa.binary()).to_pylist()):
-                raw = one.tobytes()
-                name = xxhash.xxh3_128_digest(raw)
+                name = xxhash.xxh3_128_digest(one)
                 again = name in seen or not len(one)
                 sizes.append(len(one))
                 names.append(name)
                 folds.append(np.bincount((one >> np.uint64(40)).astype(np.int64) & (FOLDS - 1), minlength=FOLDS).astype(np.uint32).tobytes())
-                sets.append(None if again else raw)
+                sets.append(None if again else one.tobytes())
                 if not again:
                     seen.add(name)
-                    fresh.append(one)
-                    held += len(raw)
-                if held > 4 * SLICE_BYTES:
-                    counts += np.bincount(np.concatenate(fresh) & np.uint64(COUNTERS - 1), minlength=COUNTERS).astype(np.uint32)
-                    yield out()
-                    at += len(sizes)
-                    sizes, names, folds, sets, fresh, held = [], [], [], [], [], 0
-                    seen = seen if len(seen) < 500_000 else set()
-            if fresh:
-                counts += np.bincount(np.concatenate(fresh) & np.uint64(COUNTERS - 1), minlength=COUNTERS).astype(np.uint32)
-            if sizes:
-                yield out()
-        if ids is not None:
-            data = pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(counts, BLOCKS)], pa.binary())
-            none = [pa.nulls(BLOCKS, t) for t in (ids.type, pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+                    fresh.append((one & np.uint64(COUNTERS - 1)).astype(np.uint32))
+            if fresh:  # a task's counts stop at 255
+                at, n = np.unique(np.concatenate(fresh), return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, 255)
+            seen = seen if len(seen) < 500_000 else set()
+            columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(v, pa.binary()) for v in (names, folds, sets))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=schema.names)
+        if kind is not None:
+            data = pa.array([zlib.compress(x, 1) for x in np.split(counts, BLOCKS)], pa.binary())
+            none = [pa.nulls(BLOCKS, t) for t in (kind, pa.int64(), pa.binary(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(BLOCKS), pa.int32()), data], names=schema.names)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -163,20 +153,25 @@ def measured(docs: DataFrame) -> DataFrame:
 def _rarity(rows: DataFrame) -> np.ndarray:
     """The logarithm of each counter, summed over tasks: in streams by block and salt, then by block. COUNTERS bytes reach the driver, at any size."""
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, data in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
-                one = np.frombuffer(zlib.decompress(data), np.uint32)
+                one = np.frombuffer(zlib.decompress(data), kind).astype(np.uint32)
                 sums[block] = sums[block] + one if block in sums else one
-        yield pa.RecordBatch.from_pydict({"block": pa.array(sums.keys(), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(sums.keys(), pa.int32()), "counts": pa.array([zlib.compress(x, 1) for x in sums.values()], pa.binary())})
+
+    def logarithms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in total(batches, np.uint32):
+            logs = [np.log2(np.maximum(np.frombuffer(zlib.decompress(x), np.uint32), 1)).astype(np.uint8).tobytes() for x in b.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(logs, pa.binary())], ["block", "counts"])
 
     parts = rows.filter("block IS NOT NULL").select("block", "counts", F.pmod(F.monotonically_increasing_id(), F.lit(61)).alias("salt"))
-    parts = parts.repartition("block", "salt").select("block", "counts").mapInArrow(total, "block int, counts binary")
-    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint32)
-    for r in parts.repartition("block").mapInArrow(total, "block int, counts binary").collect():
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    return np.log2(np.maximum(out.reshape(-1), 1)).astype(np.uint8)
+    parts = parts.repartition("block", "salt").select("block", "counts").mapInArrow(lambda b: total(b, np.uint8), "block int, counts binary")
+    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint8)
+    for r in parts.repartition("block").mapInArrow(logarithms, "block int, counts binary").toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint8)
+    return out.reshape(-1)
 
 
 def _needs(n: np.ndarray, m: np.ndarray, share: int) -> np.ndarray:
@@ -191,8 +186,8 @@ def entered(rows: DataFrame, rarity: np.ndarray, share: int = SHARE) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = np.frombuffer(data, np.uint8)
         for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
+            for start in range(0, b.num_rows, ROWS):
+                part = b.slice(start, ROWS)
                 found = []
                 for raw in part.column("set").to_pylist():
                     one = np.frombuffer(raw, np.uint64)
@@ -223,13 +218,15 @@ def first_regions(entries: DataFrame, share: int = SHARE) -> DataFrame:
         near = (s[1:] == s[:-1]) & (salt[1:] == salt[:-1]) & ((share * n[1:] <= 100 * n[:-1]) | (salt[1:] > 0) | loose)
         run = np.concatenate(([0], np.cumsum(~near)))
         length = np.bincount(run)
-        # Two alone: they can have enough in common only from here on.
-        two = np.flatnonzero(length == 2)
-        head = (np.cumsum(length) - length)[two]
-        left = np.minimum(n[head] - at[head], n[head + 1] - at[head + 1])
-        length[two[(left < _needs(n[head], n[head + 1], share)) & (salt[head] == 0) & (not loose)]] = 0
+        # In a region of few, a document needs another with which it can have enough in common from their places on.
+        met = (length > NEIGHBOURS)[run]
+        rest = n - at
+        for step in range(1, min(NEIGHBOURS, len(n))):
+            can = (run[step:] == run[:-step]) & (np.minimum(rest[step:], rest[:-step]) >= _needs(n[step:], n[:-step], share))
+            met[step:] |= can
+            met[:-step] |= can
         lone = (salt > 0) | loose  # others of the shingle are elsewhere
-        live = (length[run] > 1) | lone
+        live = met | lone
         run, s, x, lone = run[live], s[live], x[live], lone[live] | (length[run[live]] > MEMBERS)
         _, run = np.unique(run, return_inverse=True)
         size = np.bincount(run)
@@ -240,7 +237,7 @@ def first_regions(entries: DataFrame, share: int = SHARE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, open_key = None, None
-        for b in batches:
+        for b in (x for x in batches if x.num_rows):
             x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.int64).reshape(-1, 2)
             now = (*(b.column(c).to_numpy() for c in ("s", "salt", "n")), x, b.column("at").to_numpy())
             now = now if held is None else tuple(np.concatenate(p) for p in zip(held, now))
@@ -295,9 +292,9 @@ def distances(pairs: DataFrame, known: DataFrame, share: int) -> DataFrame:
 
 def linked(pairs: DataFrame, rows: DataFrame, share: int) -> DataFrame:
     """The pairs(x, p) whose sets are within the radius. Only sets that a table of fixed size marks are shuffled to them."""
-    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(COUNTERS)).cast("int")
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)).cast("int")
     marked = pairs.select(F.explode(F.array("x", "p")).alias("x")).select(mark("x").alias("k")).distinct().toArrow().column("k").to_numpy()
-    table_ = np.zeros(COUNTERS, bool)
+    table_ = np.zeros(MARKS, bool)
     table_[marked] = True
     data = np.packbits(table_).tobytes()
 
@@ -307,7 +304,7 @@ def linked(pairs: DataFrame, rows: DataFrame, share: int) -> DataFrame:
             yield b.select(["x", "set"]).filter(pa.array(bits[b.column("k").to_numpy()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
             keep = []
             for left, right in zip(b.column("set").to_pylist(), b.column("set_p").to_pylist()):
                 a, c = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
