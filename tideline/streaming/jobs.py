@@ -18,8 +18,9 @@ from ..functions.normalize import event_id
 from ..operators import joins as J
 from ..operators.drift import psi_fixed
 from ..operators.sequence import HALF_LIVES, STAGES, cross_host
+from .bounded import BUCKETS, WATERMARK, bounded, bounded_auth
+from .bounded import seconds_of as _t
 
-WATERMARK = "10 minutes"
 
 
 def start(df: DataFrame, to: Callable[[DataFrame, int], None], checkpoint: str, seconds: float | None = None, mode: str = "append") -> StreamingQuery:
@@ -34,11 +35,13 @@ def dedup_events(df: DataFrame, topic: str = "topic", partition: str = "partitio
     return named.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["event_id"]) if df.isStreaming else named.dropDuplicates(["event_id"])
 
 
-def _stateful(df: DataFrame, keys: list[str], columns: list[str], update: Callable, output: str, state: str, idle_s: int, ts: str = "timestamp", watermark: str = WATERMARK) -> DataFrame:
+def _stateful(df: DataFrame, keys: list[str], columns: list[str], update: Callable, output: str, state: str, idle_s: int, ts: str = "timestamp", watermark: str = WATERMARK, most: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Per key, rows in order of time and seq through update(state or None, rows) -> (rows out, state); state goes after idle time.
 
-    update works on one key's rows of one micro-batch.
+    update works on one key's rows of one micro-batch. With `most` no more keys than that are held, and the idlest give way (bounded.py).
     """
+    if most is not None:
+        return bounded(df, keys, columns, update, output, state, idle_s, most, buckets, ts, watermark)
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     names = [x.split()[0] for x in output.split(", ")]
@@ -57,10 +60,6 @@ def _stateful(df: DataFrame, keys: list[str], columns: list[str], update: Callab
     return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _t(rows: pd.DataFrame, ts: str = "timestamp") -> list[float]:
-    return (rows[ts].astype("int64") / {"ns": 1e9, "us": 1e6, "ms": 1e3}[getattr(rows[ts].dtype, "unit", "ns")]).tolist()
-
-
 def suppress_stream(df: DataFrame, keys: list[str], window_s: float, **how) -> DataFrame:
     """The first row of a key passes; later ones within the window of the last that passed don't. Returns the keys and seq."""
 
@@ -119,8 +118,14 @@ def kill_chain_stream(df: DataFrame, key: str, gate: float = 0.5, idle_s: float
     return _stateful(df, [key], ["action_type", "adjusted_score"], update, f"{key} string, seq long, stage int, velocity double", "last double, stage int, gaps array<double>", int(2 * idle_s), **how)
 
 
-def auth_stream(df: DataFrame, key: str, fail: str, target: str, idle_s: int = 86_400, **how) -> DataFrame:
-    """Authentication counters of an entity; all of its targets are kept until it is idle."""
+def auth_stream(df: DataFrame, key: str, fail: str, target: str, idle_s: int = 86_400, most: int | None = None, **how) -> DataFrame:
+    """Authentication counters of an entity; all of its targets are kept until it is idle.
+
+    With `most`, entities are bounded in number, and each target is an entry of map state of its own, so that a batch costs what it brings and
+    not what an entity has gathered. Without, an entity's targets are one list, written anew each batch.
+    """
+    if most is not None:
+        return bounded_auth(df, key, fail, target, idle_s, most, **how)
 
     def update(held, rows, key):
         fails, n, targets = held if held else (0, 0, [])
@@ -158,6 +163,26 @@ def cross_host_stream(df: DataFrame, least: float = 0.5, window: str = "900 seco
     return hot.groupBy(F.window("timestamp", window, slide)).agg(F.approx_count_distinct("hostname").alias("hosts")).select(F.col("window.end").alias("until"), "hosts")
 
 
+def cross_host_joined(df: DataFrame, least: float = 0.5, window_s: int = 900, ts: str = "timestamp", watermark: str = WATERMARK, salts: int = 4) -> DataFrame:
+    """seq, timestamp and correlated_hosts of anomalous rows, exact in whatever order batches bring rows within the watermark.
+
+    A join of the stream with itself: both sides are state in buckets of the window's width, a row waits for the hosts of the window before it
+    and is counted once the watermark has passed it. Hosts are dealt over salts, so that a bucket is more than one task; a salt's set of a row
+    is of that salt's hosts alone, and their sizes add up.
+    """
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    width = int(window_s * 1_000_000)
+    hot = df.filter(F.col("adjusted_score") >= least).withColumn("__t", t)
+    salt = F.pmod(F.xxhash64("hostname"), F.lit(salts)).cast("int")
+    right = hot.select(F.col("hostname").alias("r_host"), F.col("__t").alias("r_t"), F.col(ts).alias("r_at"), F.floor(F.col("__t") / width).alias("r_bucket"), salt.alias("r_salt")).withWatermark("r_at", watermark)
+    spread = hot.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("__t") - width) / width), F.floor(F.col("__t") / width))))
+    left = spread.select("seq", F.col(ts).alias("timestamp"), "__t", "bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).withWatermark("timestamp", watermark)
+    in_time = F.col("r_at").between(F.col("timestamp") - F.expr(f"INTERVAL {int(window_s)} SECONDS"), F.col("timestamp"))
+    met = left.join(right, (F.col("bucket") == F.col("r_bucket")) & (F.col("salt") == F.col("r_salt")) & in_time)
+    sets = met.groupBy("seq", "timestamp", "salt").agg(F.array_size(F.collect_set("r_host")).alias("hosts"))
+    return sets.groupBy("seq", "timestamp").agg(F.sum("hosts").alias("correlated_hosts"))
+
+
 def enrich_stream(df: DataFrame, ioc: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Rows with has_ioc: whether their source address is an indicator that was live at their time."""
     live = ioc.filter("ioc_type = 'ip'").groupBy("ioc_value").agg(F.max("expires_at").alias("__until"))
