@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from .fixed import fixed, numbered
 from .ranges import overlapping
 
 #: The columns whose texts make a leaf, per table.
@@ -24,33 +30,68 @@ def leaf_hash(*columns: str) -> Column:
     return F.upper(F.sha2(F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256))
 
 
-def merkle_roots(leaves: DataFrame, batch: str, order: str, rounds: int | None = None) -> DataFrame:
+#: Levels of a tree that a task folds at once: blocks of 1,024 nodes.
+LEVELS = 10
+
+# One level of a block: neighbours joined, an odd one with the padding, which is what the last leaf repeated gives at this level. A path
+# takes the sibling of its node i.
+_PAIRED = "transform(sequence(0, (size(s.a) + 1) div 2 - 1), j -> sha2(concat(s.a[2 * j], coalesce(get(s.a, 2 * j + 1), s.p)), 256))"
+_FOLD = f"aggregate(sequence(1, levels), named_struct('a', hs, 'p', pad), (s, l) -> named_struct('a', {_PAIRED}, 'p', sha2(concat(s.p, s.p), 256)))"
+_PATH = (
+    f"aggregate(sequence(1, levels), named_struct('a', hs, 'p', pad, 'i', at, 'path', CAST(array() AS ARRAY<STRING>)), "
+    f"(s, l) -> named_struct('a', {_PAIRED}, 'p', sha2(concat(s.p, s.p), 256), 'i', s.i div 2, 'path', concat(s.path, array(coalesce(get(s.a, CAST(s.i ^ 1 AS INT)), s.p))))).path"
+)
+
+
+def _blocks(leaves: DataFrame, batch: str, order: str, levels: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """The numbered leaves, the blocks of each round and the roots."""
+    rows = numbered(leaves.select(batch, order, F.col("leaf").alias("h")), batch, order, "h")
+    depth = F.greatest(F.lit(1), F.ceil(F.log2(F.col("n").cast("double")) - 1e-9)).cast("int")
+    rows = fixed(rows.withColumn("depth", depth))
+    nodes, rounds, roots = rows.select(batch, "i", "h", F.col("h").alias("pad"), "n", "depth", F.col("depth").alias("left")), [], None
+    deepest = rows.agg(F.max("depth")).first()[0] or 1
+    for _ in range(-(-deepest // levels)):
+        block = F.shiftright("i", levels).alias("block")
+        of_block = F.array_sort(F.collect_list(F.struct("i", "h")))["h"].alias("hs")
+        blocks = nodes.groupBy(batch, block, "n", "depth", "left").agg(of_block, F.max_by("pad", "i").alias("pad")).withColumn("levels", F.least(F.col("left"), F.lit(levels)))
+        rounds.append(fixed(blocks))
+        folded = rounds[-1].withColumn("f", F.expr(_FOLD)).select(batch, F.col("block").alias("i"), F.col("f.a")[0].alias("h"), F.col("f.p").alias("pad"), "n", "depth", (F.col("left") - F.col("levels")).alias("left"))
+        done = folded.filter("left = 0").select(batch, F.col("h").alias("merkle_root"), F.col("depth").alias("merkle_depth"), F.col("n").alias("event_count"))
+        roots = done if roots is None else roots.unionByName(done)
+        nodes = folded.filter("left > 0")
+    return rows, rounds, roots
+
+
+def merkle_roots(leaves: DataFrame, batch: str, order: str, levels: int = LEVELS) -> DataFrame:
     """batch, merkle_root, merkle_depth, event_count from leaves(batch, order, leaf).
 
     Leaves are padded with the last one to a power of two (a single leaf is paired with itself); an inner node is the lower-case SHA-256 of its
-    children's texts. Levels are reduced by grouping, so that no batch is held by one task beyond its numbering.
+    children's texts. Leaves are numbered in ranges and folded in subtrees, `levels` levels a round, so no batch is in one task; padding is
+    one digest a level and is never written out.
     """
-    at = F.row_number().over(Window.partitionBy(batch).orderBy(order)) - 1
-    numbered = leaves.select(batch, at.alias("i"), F.col("leaf").alias("h"))
-    sizes = numbered.groupBy(batch).agg(F.count("*").alias("n"), F.max_by("h", "i").alias("last"))
-    depth = F.greatest(F.lit(1), F.ceil(F.log2(F.col("n").cast("double")) - 1e-9)).cast("int")
-    sizes = sizes.withColumn("depth", depth)
-    pad = sizes.select(batch, F.explode(F.expr("filter(sequence(n, CAST(pow(2, depth) AS BIGINT)), x -> x < CAST(pow(2, depth) AS BIGINT))")).alias("i"), F.col("last").alias("h"))
-    level = numbered.select(batch, F.col("i").cast("long").alias("i"), "h").unionByName(pad)
-    deepest = rounds if rounds is not None else (sizes.agg(F.max("depth")).first()[0] or 1)
-    level = level.join(sizes.select(batch, "depth"), batch)
-    for r in range(deepest):
-        # A batch that is done keeps its root; others halve.
-        done = F.col("depth") <= r
-        up = level.groupBy(batch, "depth", F.floor(F.col("i") / 2).alias("j")).agg(F.min_by("h", "i").alias("__l"), F.max_by("h", "i").alias("__r"))
-        level = up.select(batch, "depth", F.col("j").alias("i"), F.when(done, F.col("__l")).otherwise(F.sha2(F.concat("__l", "__r"), 256)).alias("h"))
-    return level.join(sizes.select(batch, "n"), batch).select(batch, F.col("h").alias("merkle_root"), F.col("depth").alias("merkle_depth"), F.col("n").alias("event_count"))
+    return _blocks(leaves, batch, order, levels)[2]
+
+
+def inclusion_proofs(leaves: DataFrame, wanted: DataFrame, batch: str, order: str, levels: int = LEVELS) -> DataFrame:
+    """batch, order, i (from 0), leaf, path and merkle_root of the leaves that wanted(batch, order) names: the siblings from the leaf up."""
+    rows, rounds, roots = _blocks(leaves, batch, order, levels)
+    found = rows.join(wanted.select(batch, order).distinct(), [batch, order], "left_semi").select(batch, order, "i", F.col("h").alias("leaf"), F.col("i").alias("__i"), F.array().cast("array<string>").alias("path"))
+    for blocks in rounds:
+        mine = blocks.select(F.col(batch).alias("__b"), "block", "hs", "pad", "levels")
+        met = found.join(mine, (F.col(batch) == F.col("__b")) & (F.shiftright("__i", levels) == F.col("block")), "left").withColumn("at", F.col("__i").bitwiseAND(F.lit((1 << levels) - 1)))
+        further = F.coalesce(F.expr(_PATH), F.array().cast("array<string>"))
+        found = met.select(batch, order, "i", "leaf", F.shiftright("__i", levels).alias("__i"), F.concat("path", further).alias("path"))
+    return found.drop("__i").join(roots.select(batch, "merkle_root"), batch)
+
+
+def proven(leaf: str = "leaf", i: str = "i", path: str = "path") -> Column:
+    """The root that a leaf gives with the siblings of its path."""
+    step = "named_struct('h', CASE WHEN s.i % 2 = 0 THEN sha2(concat(s.h, x), 256) ELSE sha2(concat(x, s.h), 256) END, 'i', s.i div 2)"
+    return F.expr(f"aggregate({path}, named_struct('h', {leaf}, 'i', {i}), (s, x) -> {step}).h")
 
 
 def merkle_root_of(leaves: list[str]) -> str:
     """The root of a few leaves."""
-    import hashlib
-
     if not leaves:
         return hashlib.sha256(EMPTY.encode()).hexdigest()
     size = max(2, 1 << math.ceil(math.log2(len(leaves))))
@@ -60,12 +101,29 @@ def merkle_root_of(leaves: list[str]) -> str:
     return level[0]
 
 
-def chain_roots(roots: DataFrame, table: str = "table_name", order: str = "time_from", root: str = "merkle_root") -> DataFrame:
-    """Chains a table's batch roots in time: the root sealed is SHA-256 of the previous sealed root and the own one."""
-    ordered = roots.groupBy(table).agg(F.array_sort(F.collect_list(F.struct(order, "batch_id", root))).alias("xs"))
-    state = f"struct(CASE WHEN s.prev = '' THEN x.{root} ELSE sha2(concat(s.prev, x.{root}), 256) END AS prev, concat(s.out, array(struct(x.batch_id AS batch_id, s.prev AS prev_merkle_root, CASE WHEN s.prev = '' THEN x.{root} ELSE sha2(concat(s.prev, x.{root}), 256) END AS chained_root))) AS out)"
-    init = "struct('' AS prev, CAST(array() AS ARRAY<STRUCT<batch_id: STRING, prev_merkle_root: STRING, chained_root: STRING>>) AS out)"
-    return ordered.select(table, F.explode(F.expr(f"aggregate(xs, {init}, (s, x) -> {state}).out")).alias("c")).select(table, "c.*")
+def chain_roots(roots: DataFrame, table: str = "table_name", order: str = "time_from", root: str = "merkle_root", after: DataFrame | None = None) -> DataFrame:
+    """Chains a table's batch roots in time: the root sealed is SHA-256 of the previous sealed root and the own one.
+
+    A scan in order that holds one root, however many batches a table has. after(table, root) gives the last sealed root of tables that go on.
+    """
+    rows = roots.select(table, F.lit(1).alias("kind"), F.col(order).cast("timestamp").alias("at"), "batch_id", F.col(root).alias("own"))
+    if after is not None:
+        rows = rows.unionByName(after.select(table, F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("batch_id"), F.col(root).alias("own")))
+    schema = StructType([roots.schema[table], roots.schema["batch_id"], StructField("prev_merkle_root", StringType()), StructField("chained_root", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, ""
+        for b in batches:
+            out = [[], []]
+            for name, kind, own in zip(*(b.column(c).to_pylist() for c in (table, "kind", "own"))):
+                before, now = (last if name == now else ""), name
+                last = hashlib.sha256((before + own).encode()).hexdigest() if before and kind else own
+                out[0].append(before)
+                out[1].append(last)
+            made = pa.RecordBatch.from_arrays([b.column(table), b.column("batch_id"), *(pa.array(v, pa.string()) for v in out)], names=schema.names)
+            yield made.filter(pc.equal(b.column("kind"), 1))
+
+    return rows.repartition(table).sortWithinPartitions(table, "kind", "at", "batch_id").mapInArrow(run, schema)
 
 
 def build_anchors(df: DataFrame, table: str, slice_: str = "1 hour", ts: str = "timestamp", chained: bool = True) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .ranges import latest_before, overlapping, within
 from .reports import latest_by
@@ -154,11 +159,60 @@ def with_asset_weight(scores: DataFrame, assets: DataFrame) -> DataFrame:
     return joined.withColumn("weighted_score", F.least(F.lit(1.0), F.col("adjusted_score") * F.col("multiplier")))
 
 
-def match_tactics(rows: DataFrame, rules: DataFrame, cap: int = 25, cap_plain: int = 5) -> DataFrame:
-    """Rules whose threshold the score reaches and whose features the row's overlap, by priority; a row without features takes the threshold alone."""
+#: Rules that a row without features takes.
+FIRST_RULES = 5
+
+
+def first_rules(rules: DataFrame, n: int = FIRST_RULES) -> DataFrame:
+    """threshold and tops: at each step of thresholds the first n rules, by priority and id, of those that a score from there on reaches.
+
+    A rule counts only if fewer than n before it have a threshold as low; in order of priority that takes the n lowest thresholds so far. Each
+    partition drops the others of its own, then one task those of what is left, which is some n times the logarithm of the rules.
+    """
+
+    def low(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lowest: list[float] = []  # of the thresholds so far, negated
+        for rows in parts:
+            keep = []
+            for x in rows["trigger_threshold"]:
+                keep.append(len(lowest) < n or x < -lowest[0])
+                if keep[-1]:
+                    (heapq.heappush if len(lowest) < n else heapq.heapreplace)(lowest, -x)
+            yield rows[keep]
+
+    def steps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[tuple] = []  # (priority, rule_id, rule)
+        for rows in parts:
+            out = []
+            for r in rows.itertuples(index=False, name=None):
+                bisect.insort(best, (r[priority], r[rule_id], r), key=lambda x: x[:2])
+                del best[n:]
+                out += [(r[threshold], place, *x) for place, (_, _, x) in enumerate(best)]
+            yield pd.DataFrame(out, columns=["step", "place", *rows.columns])
+
+    rows = rules.filter("trigger_threshold IS NOT NULL")
+    priority, rule_id, threshold = map(rows.columns.index, ("priority", "rule_id", "trigger_threshold"))
+    rows = rows.sortWithinPartitions("priority", "rule_id").mapInPandas(low, rows.schema)
+    rows = rows.repartition(1).sortWithinPartitions("priority", "rule_id").mapInPandas(low, rows.schema)
+    listed = rows.sortWithinPartitions("trigger_threshold", F.desc("priority"), F.desc("rule_id")).mapInPandas(steps, StructType([StructField("step", rows.schema["trigger_threshold"].dataType), StructField("place", IntegerType()), *rows.schema.fields]))
+    # Of rules with one threshold the last counts, which has seen them all: it gives most places, so the latest of a place is its best.
+    best = listed.groupBy("step", "place").agg(F.min(F.struct("priority", "rule_id", F.struct(*[c for c in rows.columns]).alias("rule"))).alias("b"))
+    return best.groupBy(F.col("step").alias("threshold")).agg(F.array_sort(F.collect_list(F.struct("place", F.col("b.rule").alias("rule"))))["rule"].alias("tops"))
+
+
+def match_tactics(rows: DataFrame, rules: DataFrame, cap: int = 25, cap_plain: int = FIRST_RULES) -> DataFrame:
+    """Rules whose threshold the score reaches and whose features the row's overlap, by priority; a row without features takes the threshold alone.
+
+    A row without features looks its score's step up in the index of first_rules; rows meet no rule that isn't theirs.
+    """
     plain, reached = F.size("active_features") == 0, F.col("trigger_threshold") <= F.col("score")
-    known = small(rules)
-    alone = rows.filter(plain).crossJoin(known).filter(reached)
+    steps = first_rules(rules, cap_plain)
+    if steps.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} steps of thresholds; merge rules that differ in threshold only")
+    index = steps.agg(F.array_sort(F.collect_list(F.struct("threshold", "tops"))).alias("__steps"))
+    # One row, of a checked size. The step is the last whose threshold is reached.
+    met = rows.filter(plain).crossJoin(F.broadcast(index)).withColumn("__k", F.expr("aggregate(__steps, 0, (s, x) -> s + CAST(x.threshold <= score AS INT))")).filter(F.col("__k") > 0)
+    alone = met.withColumn("__r", F.explode(F.expr("__steps[__k - 1].tops"))).select(*rows.columns, "__r.*")
     # Rows with features meet the rules on each feature; a pair counts on the first that they share.
     by_feature = small(rules.withColumn("__f", F.explode(F.array_distinct("trigger_features"))))
     shared = F.array_compact(F.array_intersect("active_features", "trigger_features"))[0]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .fixed import fixed
+
 
 def checked(df: DataFrame, features: list[str]) -> DataFrame:
     """df, if it has all features and none is null."""
@@ -50,21 +52,35 @@ def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 42) -> DataFr
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.col(label), F.lit(seed)), F.lit(k)).cast("int"))
 
 
-def cross_validate(df: DataFrame, features: list[str], key: str, label: str = "label", k: int = 3, **how) -> DataFrame:
-    """F1 and AUC of each fold, scored by a model of the others."""
+def cross_validate(df: DataFrame, features: list[str], key: str, label: str = "label", k: int = 3, by: str | None = None, threshold: float = 0.5, **how) -> DataFrame:
+    """Confusion, F1 and AUC of each fold, scored by a model of the others; with `by` a row a fold and group, besides that of the fold (group null)."""
     rows = folds(df, key, label, k)
-    parts = []
+    scored = []
     for i in range(k):
         model = train_classifier(rows.filter(F.col("fold") != i), features, label, **how)
-        scored = score(rows.filter(F.col("fold") == i), model)
-        parts.append(evaluate(scored, "score", label).withColumn("fold", F.lit(i)))
-    return reduce(DataFrame.unionByName, parts)
+        scored.append(score(rows.filter(F.col("fold") == i), model))
+    every = fixed(reduce(DataFrame.unionByName, scored).select("fold", *([by] if by else []), label, "score"))
+    overall = evaluate(every, "score", label, "fold", threshold)
+    if by is None:
+        return overall
+    name = F.struct("fold", F.col(by).alias("group")).alias("g")
+    of = evaluate(every.select(name, label, "score").withColumn("g", F.to_json("g")), "score", label, "g", threshold).withColumn("g", F.from_json("g", f"fold int, group {dict(df.dtypes)[by]}"))
+    return overall.withColumn("group", F.lit(None).cast(df.schema[by].dataType)).unionByName(of.select("g.fold", "g.group", *[c for c in overall.columns if c != "fold"]))
+
+
+def fold_summary(folds: DataFrame) -> DataFrame:
+    """Mean and population standard deviation of F1 and AUC over folds, per group where there are groups."""
+    g = [F.col("group")] if "group" in folds.columns else []
+    stats = [f(c).alias(f"{c}_{n}") for c in ("f1", "auc") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return folds.groupBy(*g).agg(F.count("*").alias("folds"), *stats)
 
 
-def importances(model, features: list[str]) -> list[tuple[str, float]]:
+def importances(spark: SparkSession, model, features: list[str]) -> DataFrame:
+    """rank, feature, importance (of a sum of 1) and unused (no gain at all), a row a feature of the model."""
     values = model.stages[-1].featureImportances.toArray()
-    total = values.sum() or 1.0
-    return sorted(((f, float(v / total)) for f, v in zip(features, values)), key=lambda x: (-x[1], x[0]))
+    total = float(values.sum()) or 1.0
+    rows = spark.createDataFrame([(f, float(v) / total, bool(v == 0)) for f, v in zip(features, values)], "feature string, importance double, unused boolean")
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))  # a row a feature
 
 
 def occlusion(df: DataFrame, model, features: list[str], key: str, top: int = 5) -> DataFrame:
@@ -95,34 +111,45 @@ def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: tuple[flo
     return _measures(each.groupBy("threshold").agg(*_rates(F.col("s") >= F.col("threshold"), F.col("y"))))
 
 
+#: Ranges of scores of a group that running sums are cut into.
+RANGES = 4096
+
+
+def _run_over(per: DataFrame, by: list[str], x: str, sums: list[str], down: bool = False) -> DataFrame:
+    """per with over_<c> for each c of sums: the sum of c over the group's rows before, by x (from the greatest with down).
+
+    Sums of RANGES ranges of x between a group's least and greatest run first, then those within each range, so that no task has a group.
+    """
+    of = lambda *more: Window.partitionBy(*by, *more)
+    ends = per.groupBy(*by).agg(F.min(x).alias("__low"), F.max(x).alias("__high"))
+    part = F.floor((F.col(x) - F.col("__low")) / F.greatest(F.col("__high") - F.col("__low"), F.lit(1e-300)) * RANGES)
+    ranged = per.join(ends, by).withColumn("__part", F.when(F.isnan(part), F.lit(0)).otherwise(part)).drop("__low", "__high")
+    order = lambda c: F.desc(c) if down else F.asc(c)
+    before = of().orderBy(order("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*by, "__part").agg(*[F.sum(c).alias(c) for c in sums])
+    parts = parts.select(*by, "__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    within = of("__part").orderBy(order(x)).rowsBetween(Window.unboundedPreceding, -1)
+    run = ranged.join(parts, [*by, "__part"]).withColumns({f"over_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"__{c}") for c in sums})
+    return run.drop("__part", *[f"__{c}" for c in sums])
+
+
 def evaluate(df: DataFrame, score: str, label: str, by: str | None = None, threshold: float = 0.5) -> DataFrame:
     """Confusion, precision, recall, F1 and AUC (by rank sums over distinct scores), overall or per group; groups of one class are flagged."""
     rows = df.select(*([F.col(by)] if by else [F.lit("all").alias("all")]), F.col(score).alias("s"), (F.col(label) == 1).alias("y"))
     g = by or "all"
-    # Rows of a score are one row each here, so that the window's input is the distinct scores.
+    # Rows of a score are one row each here, so what is summed in order is the distinct scores.
     per = rows.groupBy(g, "s").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(g).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    auc = per.withColumn("w", F.col("p") * (below + F.col("n") / 2)).groupBy(g).agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("n")).alias("auc"), ((F.sum("p") == 0) | (F.sum("n") == 0)).alias("one_class"))
+    below = _run_over(per.filter("s IS NOT NULL"), [g], "s", ["n"])
+    auc = below.withColumn("w", F.col("p") * (F.col("over_n") + F.col("n") / 2)).groupBy(g).agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("n")).alias("auc"), ((F.sum("p") == 0) | (F.sum("n") == 0)).alias("one_class"))
     return _measures(rows.groupBy(g).agg(*_rates(F.col("s") >= threshold, F.col("y")))).join(auc, g)
 
 
-#: Ranges of scores that best_f1_threshold sums by.
-RANGES = 4096
-
-
 def best_f1_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
     """The score at which F1 is best (the greatest of equals), by running sums over distinct scores."""
-    per = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count("*").alias("n"))
-    # Sums of ranges of scores, of which there are RANGES, run first; then those within each range.
-    ends = per.agg(F.min("threshold").alias("low"), F.max("threshold").alias("high"), F.sum("p").alias("all_p"))
-    part = F.floor((F.col("threshold") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * RANGES)
-    ranged = per.crossJoin(F.broadcast(ends)).withColumn("part", part)  # one row
-    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("part").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    over = sums.select("part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"over_{c}") for c in ("p", "n")])
-    w = Window.partitionBy("part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    run = ranged.join(over, "part").withColumns({"tp": F.sum("p").over(w) + F.col("over_p"), "k": F.sum("n").over(w) + F.col("over_n")})
-    f1 = F.try_divide(2 * F.col("tp"), F.col("k") + F.col("all_p"))
+    per = df.groupBy(F.lit(0).alias("all"), F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count("*").alias("n")).filter("threshold IS NOT NULL")
+    total = per.agg(F.sum("p").alias("all_p"))
+    run = _run_over(per, ["all"], "threshold", ["p", "n"], down=True).crossJoin(F.broadcast(total))  # one row
+    f1 = F.try_divide(2 * (F.col("over_p") + F.col("p")), F.col("over_n") + F.col("n") + F.col("all_p"))
     return run.withColumn("f1", f1).agg(F.max(F.struct("f1", "threshold")).alias("b")).select("b.threshold", "b.f1")
 
 

@@ -32,14 +32,52 @@ def within(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_
     return inner.unionByName(missing, allowMissingColumns=True)
 
 
-def overlapping(points: DataFrame, spans: DataFrame, ts: str, begin: str, end: str, slack: float, width: float = 86_400.0) -> DataFrame:
-    """Pairs of a point and a span that meets point -+ slack, by buckets of a width near the spans' lengths."""
-    b = lambda c: F.floor(c / width)
-    p = points.withColumn("__b", F.explode(F.sequence(b(seconds(F.col(ts)) - slack), b(seconds(F.col(ts)) + slack))))
-    s = spans.withColumn("__rb", F.explode(F.sequence(b(seconds(F.col(begin))), b(seconds(F.col(end))))))
-    t = seconds(F.col(ts))
-    met = p.join(s, (F.col("__b") == F.col("__rb")) & (seconds(F.col(begin)) <= t + slack) & (seconds(F.col(end)) >= t - slack))
-    return met.drop("__b", "__rb").distinct()
+#: Seconds of the smallest node of time, and doublings up to the largest (68 hours; longer spans take several of these).
+TICK, DOUBLINGS = 60, 12
+
+
+def covering_nodes(first: Column, last: Column) -> Column:
+    """The aligned nodes (level, node) that together are the ticks first..last, each in one of them: two a level at most, below the largest."""
+
+    def ends(k: int) -> tuple[Column, Column]:
+        return F.shiftright(first + ((1 << k) - 1), k), F.shiftright(last + 1, k)
+
+    node = lambda k, i: F.struct(F.lit(k).alias("level"), i.cast("long").alias("node"))
+    found = []
+    for k in range(DOUBLINGS):
+        a, b = ends(k)
+        found += [F.when((a < b) & (a.bitwiseAND(F.lit(1)) == 1), node(k, a)), F.when((a < b) & (b.bitwiseAND(F.lit(1)) == 1), node(k, b - 1))]
+    a, b = ends(DOUBLINGS)
+    largest = F.when(a < b, F.transform(F.sequence(a, b - 1), lambda i: node(DOUBLINGS, i))).otherwise(F.array().cast("array<struct<level: int, node: bigint>>"))
+    return F.concat(F.array_compact(F.array(*found)), largest)
+
+
+def nodes_over(tick: Column) -> Column:
+    """A tick's nodes, one a level."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(tick, k).cast("long").alias("node")) for k in range(DOUBLINGS + 1)])
+
+
+def _stabbed(points: DataFrame, at: Column, spans: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Pairs of a point and a span whose ticks hold the point's: a span is filed under its covering nodes, a point asks at those over it."""
+    tick = lambda c: F.floor(c / TICK).cast("long")
+    p = points.withColumn("__p", F.explode(nodes_over(tick(at))))
+    s = spans.withColumn("__s", F.explode(covering_nodes(tick(first), tick(last))))
+    return p.join(s, F.col("__p") == F.col("__s")).drop("__p", "__s")
+
+
+def overlapping(points: DataFrame, spans: DataFrame, ts: str, begin: str, end: str, slack: float) -> DataFrame:
+    """Pairs of a point and a span that meets point -+ slack, each once.
+
+    Either the point's time less the slack lies in the span, or the span begins after it and up to the time plus the slack. Both are
+    points in spans, which meet at nodes of a dyadic tree over time: O(log) rows a span and a point whatever the spans' lengths, and a busy day
+    is as many join keys as it has nodes. Column names must differ.
+    """
+    t, b, e = (seconds(F.col(c)) for c in (ts, begin, end))
+    held = _stabbed(points, t - slack, spans, b, e).filter((b <= t - slack) & (e >= t - slack))
+    if not slack:
+        return held
+    begun = _stabbed(spans, b, points, t - slack, t + slack).filter((b > t - slack) & (b <= t + slack) & (e >= b))
+    return held.unionByName(begun.select(*held.columns))
 
 
 def latest_before(left: DataFrame, right: DataFrame, key: tuple[str, str], left_ts: str, right_ts: str, tie: str, most: int, before: float) -> DataFrame:

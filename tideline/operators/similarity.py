@@ -1,32 +1,83 @@
-"""Nearest neighbours of vectors: exact in blocks, or by random projections."""
+"""Nearest neighbours of vectors: exact by pivots, or by random projections."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fixed import fixed
+
 
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, blocks: int = 16, same: Column | None = None) -> DataFrame:
+#: Base rows that serve as pivots: their cells are join keys, and each query is compared with all of them.
+PIVOTS = 32
+
+
+def _cells(queries: DataFrame, base: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Queries with their distance to each cell's pivot and the cell's radius; base rows with the cell of their nearest pivot and the distance to it."""
+    of = lambda c: F.col(c).cast("array<double>")
+    chosen = base.filter("b IS NOT NULL").orderBy(F.xxhash64("b_id"), "b_id").limit(pivots).select(F.col("b_id").alias("__cell"), of("b").alias("__p"))
+    known = F.broadcast(chosen.agg(F.collect_list(F.struct("__cell", "__p")).alias("__all")))  # one row of a fixed number of vectors
+    nearest = F.array_min(F.transform("__all", lambda p: F.struct(l2(of("b"), p["__p"]).alias("far"), p["__cell"].alias("cell"))))
+    placed = fixed(base.crossJoin(known).withColumn("__n", nearest).drop("__all").select(*base.columns, F.col("__n.cell").alias("__cell"), F.col("__n.far").alias("__far")))
+    radius = placed.groupBy("__cell").agg(F.max("__far").alias("__radius"))
+    asked = queries.crossJoin(known).withColumn("__c", F.explode(F.transform("__all", lambda p: F.struct(p["__cell"].alias("cell"), l2(of("q"), p["__p"]).alias("far"))))).drop("__all")
+    asked = asked.select(*queries.columns, F.col("__c.cell").alias("__cell"), F.col("__c.far").alias("__to")).join(radius, "__cell")
+    return fixed(asked), placed
+
+
+def _met(asked: DataFrame, placed: DataFrame, blocks: int, same: Column | None, window: Column | None = None) -> DataFrame:
+    """Pairs of queries and base rows of the cells that they ask; a cell is dealt over blocks."""
+    q = asked.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    b = placed.withColumn("__block", F.pmod(F.xxhash64("b_id"), F.lit(blocks)).cast("int"))
+    pairs = q.join(b, ["__cell", "__block"]).filter(F.col("q_id") != F.col("b_id"))
+    for cond in (same, window):
+        pairs = pairs if cond is None else pairs.filter(cond)
+    return pairs
+
+
+def _candidates(queries: DataFrame, base: DataFrame, k: int, blocks: int, same: Column | None, pivots: int) -> DataFrame:
+    """The pairs that hold each query's k nearest: those of its nearest cells, then of others only what the triangle inequality leaves."""
+    asked, placed = _cells(queries, base, pivots)
+    far = l2(F.col("q").cast("array<double>"), F.col("b").cast("array<double>"))
+    # The nearest cells with k rows between them bound the k-th distance from above.
+    sizes = placed.groupBy("__cell").agg(F.count("*").alias("__size"))
+    order = Window.partitionBy("q_id").orderBy("__to", "__cell")
+    sized = asked.join(sizes, "__cell").withColumn("__before", F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = _met(sized.filter(F.col("__before") <= k), placed, blocks, same).withColumn("d", far)
+    rank = F.row_number().over(Window.partitionBy("q_id", "__block").orderBy("d", "b_id"))
+    best = first.withColumn("__r", rank).filter(F.col("__r") <= k)
+    kth = F.row_number().over(Window.partitionBy("q_id").orderBy("d", "b_id"))
+    bound = best.withColumn("__r", kth).filter(F.col("__r") == k).select("q_id", F.col("d").alias("__bound"))
+    left = asked.join(bound, "q_id", "left").withColumn("__bound", F.coalesce("__bound", F.lit(float("inf"))) + 1e-9)
+    left = left.filter(F.col("__to") - F.col("__radius") <= F.col("__bound"))
+    return _met(left, placed, blocks, same, F.abs(F.col("__to") - F.col("__far")) <= F.col("__bound"))
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int, blocks: int = 4, same: Column | None = None, pivots: int = PIVOTS) -> DataFrame:
     """q_id, b_id, distance, rank of each query's k nearest rows of base (exact).
 
-    queries(q_id, q), base(b_id, b, ...). Queries are a stated set; each meets the base in blocks, and a block sends k rows a query at
-    most, so that no task holds all distances of a query.
+    queries(q_id, q), base(b_id, b, ...). Queries are a stated set. A metric index: base rows lie in the cells of pivots. The k-th distance in
+    a query's nearest cells bounds its true one, and a cell, and within it a row, is passed over where its distances to the pivot prove that
+    it is further. A block of a cell sends k rows a query at most, so no task holds all distances of a query.
     """
-    q = queries.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = base.withColumn("__block", F.pmod(F.xxhash64("b_id"), F.lit(blocks)).cast("int"))
-    pairs = q.join(b, "__block").filter(F.col("q_id") != F.col("b_id"))
-    if same is not None:
-        pairs = pairs.filter(same)
+    pairs = _candidates(queries, base, k, blocks, same, pivots)
     rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "b_id"))
-    near = pairs.withColumn("distance", l2(F.col("q").cast("array<double>"), F.col("b").cast("array<double>"))).withColumn("r", rank("q_id", "__block")).filter(F.col("r") <= k)
-    return near.withColumn("rank", rank("q_id")).filter(F.col("rank") <= k).drop("r", "__block", "q", "b")
+    near = pairs.withColumn("distance", l2(F.col("q").cast("array<double>"), F.col("b").cast("array<double>"))).withColumn("r", rank("q_id", "__cell", "__block")).filter(F.col("r") <= k)
+    return near.withColumn("rank", rank("q_id")).filter(F.col("rank") <= k).drop("r", "__cell", "__block", "__to", "__radius", "__bound", "__far", "q", "b")
+
+
+def examined(queries: DataFrame, base: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+    """pairs, of, share: the pairs whose distance knn takes at the last, of all."""
+    n = queries.agg(F.count("*").alias("a")).crossJoin(F.broadcast(base.agg(F.count("*").alias("b"))))  # one row each
+    met = _candidates(queries, base, k, 1, None, pivots).agg(F.count("*").alias("pairs"))
+    return met.crossJoin(F.broadcast(n)).select("pairs", (F.col("a") * F.col("b")).alias("of"), F.try_divide(F.col("pairs"), F.col("a") * F.col("b")).alias("share"))
 
 
-def similarity_features(queries: DataFrame, confirmed: DataFrame, history: DataFrame, logs: DataFrame, blocks: int = 16) -> DataFrame:
+def similarity_features(queries: DataFrame, confirmed: DataFrame, history: DataFrame, logs: DataFrame, blocks: int = 4) -> DataFrame:
     """Measures from the 10 nearest confirmed attacks, 10 nearest past cases (with is_fp) and 20 nearest logs; safe values if there are none."""
     a = knn(queries, confirmed, 10, blocks).groupBy("q_id").agg(F.min("distance").alias("d"), F.count_if(F.col("distance") < 0.3).alias("n"), F.min(F.when(F.col("distance") < 0.3, F.col("distance"))).alias("least"), F.try_divide(F.count_if(F.col("distance") < 0.3), F.count_if(F.col("distance") < 0.5)).alias("share"))
     h = knn(queries, history, 10, blocks).groupBy("q_id").agg(F.min("distance").alias("h"), F.count_if(F.col("is_fp")).alias("fp"))

@@ -149,3 +149,56 @@ def create_cases(ids: DataFrame, security: DataFrame, scores: DataFrame, correla
     tactic = F.coalesce(F.nullif("mitre_tactic", F.lit("")), lookup(CATEGORY_TACTIC, F.col("category"), "unknown"))
     related = F.coalesce("correlated_events", F.array().cast("array<string>"))
     return out.select("event_id", "hostname", confidence.alias("confidence"), tactic.alias("tactic"), related.alias("correlated_events"), F.to_json(F.struct("category", "severity", F.size(related).alias("correlated"))).alias("evidence_json"))
+
+
+def verification_graph(cases: DataFrame, batches: DataFrame, indicators: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Nodes (alert_id, id, type, label, status) and edges (alert_id, src, dst, type) of the second stage.
+
+    cases are those of with_verdict, with tactics (an array, in order of the chain); batches(alert_id, batch_id) and indicators(alert_id, ioc_value)
+    are what the checks met, of which the last and the first `most` by name are drawn. Ids name what they stand for, so that a
+    host is the first stage's node of the same host (evidence_graph) and the two graphs unite by id.
+    """
+    of = lambda kind: F.concat(F.lit(f"{kind}:"), "alert_id")
+    host, ip = F.concat(F.lit("host:"), "hostname"), F.concat(F.lit("ip:"), F.coalesce("source_ip", F.lit("")))
+    listed = lambda df, column, order: capped(df.select("alert_id", column).distinct(), ["alert_id"], most, order).groupBy("alert_id").agg(F.array_sort(F.collect_list(column)).alias(f"__{column}"))
+    given = cases.join(listed(batches, "batch_id", F.desc("batch_id")), "alert_id", "left").join(listed(indicators, "ioc_value", F.asc("ioc_value")), "alert_id", "left")
+    for c in ("batch_id", "ioc_value"):
+        given = given.withColumn(f"__{c}", F.coalesce(f"__{c}", F.array().cast("array<string>")))
+    tactics = F.coalesce("tactics", F.array().cast("array<string>"))
+    node = lambda id_, kind, label, status=None: F.struct(id_.alias("id"), F.lit(kind).alias("type"), label.cast("string").alias("label"), (F.lit(None) if status is None else status).cast("string").alias("status"))
+    told = lambda head, cond, yes, no: F.concat(F.lit(f"{head}: "), F.when(cond, yes).otherwise(no))
+    ver, ioc, fine, history = F.col("evidence_verified"), F.col("ioc_corroborated"), F.col("coherent"), F.col("has_fp_history")
+    checks = {
+        "evidence": node(of("evidence"), "verification", told("Evidence", ver, "VERIFIED", "UNVERIFIED"), F.when(ver & F.col("chain_intact"), "pass").otherwise("fail")),
+        "ioc_check": node(of("ioc_check"), "verification", told("IOC", ioc, "CORROBORATED", "NO MATCH"), F.when(ioc, "pass").otherwise("neutral")),
+        "timeline": node(of("timeline"), "verification", told("Timeline", fine, "COHERENT", "OUT OF ORDER"), F.when(fine, "pass").otherwise("warn")),
+        "fp_check": node(of("fp_check"), "verification", told("FP Check", history, "FLAGGED", "CLEAN"), F.when(history, "fail").otherwise("pass")),
+    }
+    core = [
+        node(of("alert"), "alert", F.col("finding_type")), node(host, "host", F.col("hostname")), node(ip, "ip", F.col("source_ip")),
+        node(of("hunter"), "hunter_verdict", F.concat(F.lit("Hunter: "), "finding_type")), *checks.values(),
+        node(of("verdict"), "verdict", F.concat(F.lit("VERDICT: "), F.upper(F.replace("verdict", F.lit("_"), F.lit(" ")))), F.col("priority")),
+    ]
+    named = lambda kind, x: F.concat(F.lit(f"{kind}:"), "alert_id", F.lit(":"), x)
+    many = [F.transform("__batch_id", lambda x: node(named("merkle_batch", x), "merkle_batch", x)), F.transform("__ioc_value", lambda x: node(named("ioc", x), "ioc", x))]
+    places = F.transform(tactics, lambda x, i: node(named("tactic", i.cast("string")), "mitre_tactic", x))
+    nodes = given.select("alert_id", F.explode(F.concat(F.array(*core), *many, places)).alias("n")).select("alert_id", "n.*")
+
+    edge = lambda a, b, kind: F.struct(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"))
+    fixed_edges = [edge(of("alert"), host, "target"), edge(ip, host, "connection"), edge(of("alert"), of("hunter"), "investigation")]
+    fixed_edges += [edge(of("hunter"), of(c), "verify") for c in checks] + [edge(of(c), of("verdict"), "contributes") for c in checks]
+    met = [
+        F.transform("__batch_id", lambda x: edge(of("evidence"), named("merkle_batch", x), "merkle_chain")),
+        F.transform("__ioc_value", lambda x: edge(of("ioc_check"), named("ioc", x), "ioc_match")),
+    ]
+    chain = F.transform(tactics, lambda x, i: edge(F.when(i == 0, host).otherwise(named("tactic", (i - 1).cast("string"))), named("tactic", i.cast("string")), "kill_chain"))
+    edges = given.select("alert_id", F.explode(F.concat(F.array(*fixed_edges), *met, chain)).alias("e")).select("alert_id", "e.*")
+    return nodes, edges
+
+
+def united_graph(first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of both stages, each id and each edge once an alert; a node of both takes the later stage's label and status."""
+    nodes = first[0].select("alert_id", "id", "type", "label", F.lit(None).cast("string").alias("status"), F.lit(1).alias("stage")).unionByName(second[0].withColumn("stage", F.lit(2)))
+    best = nodes.groupBy("alert_id", "id").agg(F.max(F.struct("stage", "type", "label", "status")).alias("n"))
+    edges = first[1].select("alert_id", "src", "dst", "type").unionByName(second[1])
+    return best.select("alert_id", "id", "n.type", "n.label", "n.status"), edges.distinct()

@@ -218,7 +218,16 @@ def _labelled(t: Tables):
 
 @query("k03_cross_validation")
 def _(t: Tables):
-    return M.cross_validate(_labelled(t), ["adjusted_score", "eif_score", "hour"], "seq", k=2, rounds=2, depth=2)
+    rows = _labelled(t).join(t.triage_scores.select("seq", "source_type"), "seq")
+    return M.fold_summary(M.cross_validate(rows, ["adjusted_score", "eif_score", "hour"], "seq", k=2, by="source_type", rounds=2, depth=2))
+
+
+@query("k07_importances")
+def _(t: Tables):
+    """Gain of each feature of a model; one that says nothing is named as unused."""
+    features = ["adjusted_score", "eif_score", "hour", "constant"]
+    rows = _labelled(t).withColumn("constant", F.lit(1.0))
+    return M.importances(t.spark, M.train_classifier(rows, features, rounds=2, depth=2), features)
 
 
 @query("k08_occlusion")

@@ -392,7 +392,11 @@ def _(t: Tables):
 def investigated(t: Tables):
     a = alerts(t).withColumn("active_features", I.active_features(F.lit("login"), F.lit(False), F.col("at"), F.lit(0.0), F.lit(0.0)))
     hits = I.signature_summary(I.signature_hits(a, {"network": t.network_events.withColumn("dns_query", F.lit("")), "security": t.security_events}, F.concat_ws(" ", "hostname", "source_ip"), window_s=900))
-    parts = [hits, I.spc(a, t.network_events, t.triage_scores), I.graph_features(a, t.network_events, t.triage_scores, t.ioc, as_of(t)), I.temporal_features(a, t.triage_scores), I.tactic_features(a, tactic_rules(t.spark)), I.campaigns(a, t.triage_scores)]
+    e = t.embeddings.withColumn("id", F.col("vec_id").cast("string"))
+    asked = a.join(e, a.seq == e.vec_id).select("alert_id", F.col("id").alias("q_id"), F.col("embedding").alias("q"))
+    base = lambda where: e.filter(where).select(F.col("id").alias("b_id"), F.col("embedding").alias("b"), (F.col("vec_id") % 3 == 0).alias("is_fp"))
+    near = K.similarity_features(asked.select("q_id", "q"), base("label = 0"), base("label = 1"), base("label > 1")).join(asked.select("alert_id", "q_id"), "q_id").drop("q_id")
+    parts = [near, hits, I.spc(a, t.network_events, t.triage_scores), I.graph_features(a, t.network_events, t.triage_scores, t.ioc, as_of(t)), I.temporal_features(a, t.triage_scores), I.tactic_features(a, tactic_rules(t.spark)), I.campaigns(a, t.triage_scores)]
     scored = I.investigation_vector(a, *parts).withColumn("heuristic", I.heuristic_score())
     return I.finding_labels(scored.withColumn("finding_type", I.finding_type(F.col("heuristic"))))
 
@@ -483,6 +487,53 @@ def _(t: Tables):
     return verified(t).select("investigation_id", "verdict", "priority", F.round("verdict_confidence", 8).alias("verdict_confidence"))
 
 
+_STAGE2 = f"""{_FP}, {_CHECKS}, v AS (SELECT *, fpc > 0.6 AS hist, CASE WHEN finding_type = 'NORMAL_BEHAVIOUR' THEN 'FALSE POSITIVE' WHEN fpc > 0.6 AND NOT def THEN 'FALSE POSITIVE' WHEN ver AND NOT chain_ok THEN 'INCONCLUSIVE' WHEN def THEN 'TRUE POSITIVE' WHEN ioc THEN 'TRUE POSITIVE' ELSE 'INCONCLUSIVE' END AS vd,
+        CASE WHEN finding_type = 'NORMAL_BEHAVIOUR' THEN 'P4' WHEN fpc > 0.6 AND NOT def THEN 'P4' WHEN ver AND NOT chain_ok THEN 'P2' WHEN def THEN CASE WHEN ioc OR finding_type = 'ACTIVE_CAMPAIGN' THEN 'P1' ELSE 'P2' END WHEN ioc THEN 'P2' ELSE 'P3' END AS pr FROM c),
+    ba AS (SELECT alert_id, batch_id FROM (SELECT alert_id, batch_id, row_number() OVER (PARTITION BY alert_id ORDER BY time_from DESC, batch_id DESC) AS k FROM {{investigations}} i JOIN {{anchors}} a ON a.time_from <= started_at + INTERVAL 2 HOUR AND a.time_to >= started_at - INTERVAL 2 HOUR) WHERE k <= 10
+        QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY batch_id DESC) <= 5),
+    io AS (SELECT alert_id, dst_ip AS ioc_value FROM (SELECT DISTINCT alert_id, dst_ip FROM (SELECT c.alert_id, n.dst_ip FROM {{investigations}} c JOIN {{network_events}} n ON n.hostname = c.hostname AND n.timestamp BETWEEN c.started_at - INTERVAL 72 HOUR AND c.started_at JOIN (SELECT DISTINCT ioc_value FROM {{ioc}}) b ON n.dst_ip = ioc_value
+        QUALIFY row_number() OVER (PARTITION BY c.alert_id ORDER BY n.timestamp DESC, n.seq DESC) <= 50)) QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY dst_ip) <= 5)"""
+
+
+def stage2_graph(t: Tables):
+    cases = verified(t).withColumn("tactics", F.array_compact(F.array(F.nullif("mitre_tactic", F.lit("")))))
+    named = t.investigations.select("alert_id", F.col("alert_id").alias("event_id"), F.col("hostname").alias("host"), F.col("started_at").alias("at"))
+    batches = J.anchors_for_event(named, t.anchors).select("alert_id", "batch_id")
+    flows = J.ioc_destinations(named.select("alert_id", "host", "at"), t.network_events, t.ioc, as_of(t)).select("alert_id", F.col("dst_ip").alias("ioc_value"))
+    return Y.verification_graph(cases, batches, flows)
+
+
+@query(
+    "j25_verification_nodes",
+    f"""WITH {_STAGE2} SELECT alert_id, id, type, label, status FROM (
+        SELECT alert_id, unnest([struct_pack(id := 'alert:' || alert_id, type := 'alert', label := finding_type, status := NULL::VARCHAR), struct_pack(id := 'host:' || hostname, type := 'host', label := hostname, status := NULL), struct_pack(id := 'ip:' || source_ip, type := 'ip', label := source_ip, status := NULL),
+            struct_pack(id := 'hunter:' || alert_id, type := 'hunter_verdict', label := 'Hunter: ' || finding_type, status := NULL), struct_pack(id := 'evidence:' || alert_id, type := 'verification', label := CASE WHEN ver THEN 'Evidence: VERIFIED' ELSE 'Evidence: UNVERIFIED' END, status := CASE WHEN ver AND chain_ok THEN 'pass' ELSE 'fail' END),
+            struct_pack(id := 'ioc_check:' || alert_id, type := 'verification', label := CASE WHEN ioc THEN 'IOC: CORROBORATED' ELSE 'IOC: NO MATCH' END, status := CASE WHEN ioc THEN 'pass' ELSE 'neutral' END), struct_pack(id := 'timeline:' || alert_id, type := 'verification', label := CASE WHEN coh THEN 'Timeline: COHERENT' ELSE 'Timeline: OUT OF ORDER' END, status := CASE WHEN coh THEN 'pass' ELSE 'warn' END),
+            struct_pack(id := 'fp_check:' || alert_id, type := 'verification', label := CASE WHEN hist THEN 'FP Check: FLAGGED' ELSE 'FP Check: CLEAN' END, status := CASE WHEN hist THEN 'fail' ELSE 'pass' END), struct_pack(id := 'verdict:' || alert_id, type := 'verdict', label := 'VERDICT: ' || vd, status := pr)], max_depth := 2) FROM v
+        UNION ALL SELECT alert_id, 'merkle_batch:' || alert_id || ':' || batch_id, 'merkle_batch', batch_id, NULL FROM ba UNION ALL SELECT alert_id, 'ioc:' || alert_id || ':' || ioc_value, 'ioc', ioc_value, NULL FROM io
+        UNION ALL SELECT alert_id, 'tactic:' || alert_id || ':0', 'mitre_tactic', mitre_tactic, NULL FROM {{investigations}} WHERE mitre_tactic <> '') x""",
+)
+def _(t: Tables):
+    return stage2_graph(t)[0]
+
+
+@query(
+    "j25_verification_edges",
+    f"""WITH {_STAGE2}, k AS (SELECT unnest(['evidence', 'ioc_check', 'timeline', 'fp_check']) AS c)
+    SELECT alert_id, 'alert:' || alert_id AS src, 'host:' || hostname AS dst, 'target' AS type FROM {{investigations}} UNION ALL SELECT alert_id, 'ip:' || source_ip, 'host:' || hostname, 'connection' FROM {{investigations}}
+    UNION ALL SELECT alert_id, 'alert:' || alert_id, 'hunter:' || alert_id, 'investigation' FROM {{investigations}} UNION ALL SELECT alert_id, 'hunter:' || alert_id, c || ':' || alert_id, 'verify' FROM {{investigations}}, k
+    UNION ALL SELECT alert_id, c || ':' || alert_id, 'verdict:' || alert_id, 'contributes' FROM {{investigations}}, k UNION ALL SELECT alert_id, 'evidence:' || alert_id, 'merkle_batch:' || alert_id || ':' || batch_id, 'merkle_chain' FROM ba
+    UNION ALL SELECT alert_id, 'ioc_check:' || alert_id, 'ioc:' || alert_id || ':' || ioc_value, 'ioc_match' FROM io UNION ALL SELECT alert_id, 'host:' || hostname, 'tactic:' || alert_id || ':0', 'kill_chain' FROM {{investigations}} WHERE mitre_tactic <> ''""",
+)
+def _(t: Tables):
+    return stage2_graph(t)[1]
+
+
+@query("j25_united_nodes")
+def _(t: Tables):
+    return Y.united_graph(I.evidence_graph(investigated(t)), stage2_graph(t))[0]
+
+
 @query("j31_summaries")
 def _(t: Tables):
     return verified(t).select("investigation_id", Y.summary_text().alias("summary"), "explanation", "verdict_action")
@@ -511,18 +562,68 @@ def _(t: Tables):
     return t.security_events.select("event_id", V.leaf_hash("event_id", "severity", "category", "source", "description").alias("leaf"))
 
 
-@query("n02_merkle_roots")
+# Trees by rounds: leaves(batch, i, leaf), padded to a power of two with the last, then pairs.
+_TREE = """l AS (SELECT *, count(*) OVER (PARTITION BY batch) AS n, greatest(1, ceil(log2(count(*) OVER (PARTITION BY batch)) - 1e-9))::INT AS depth FROM leaves),
+    tree(level, batch, i, h, n, depth) AS (
+        SELECT 0, batch, i, leaf, n, depth FROM l UNION ALL SELECT 0, batch, unnest(range(n, (2 ** depth)::BIGINT)), leaf, n, depth FROM l WHERE i = n - 1
+    ), up(level, batch, i, h, n, depth) AS (
+        SELECT * FROM tree UNION ALL SELECT level + 1, batch, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value(n), any_value(depth) FROM up WHERE level < depth GROUP BY level, batch, i // 2
+    ), roots AS (SELECT batch, h AS root, depth, n FROM up WHERE level = depth)"""
+_HOST_LEAVES = "leaves AS (SELECT hostname AS batch, seq, row_number() OVER (PARTITION BY hostname ORDER BY seq) - 1 AS i, upper(sha256(event_id || severity || description)) AS leaf FROM {security_events})"
+
+
+def _host_leaves(t: Tables):
+    return t.security_events.select("hostname", "seq", V.leaf_hash("event_id", "severity", "description").alias("leaf"))
+
+
+@query("n02_merkle_roots", f"WITH RECURSIVE {_HOST_LEAVES}, {_TREE} SELECT batch AS hostname, root AS merkle_root, depth AS merkle_depth, n AS event_count FROM roots")
+def _(t: Tables):
+    return V.merkle_roots(_host_leaves(t), "hostname", "seq")
+
+
+@query(
+    "n02_inclusion_proofs",
+    f"""WITH RECURSIVE {_HOST_LEAVES}, {_TREE}, w AS (SELECT * FROM l WHERE seq % 7 = 0)
+    SELECT w.batch AS hostname, w.seq, w.i, string_agg(u.h, '' ORDER BY u.level) AS path, true AS holds FROM w JOIN up u ON u.batch = w.batch AND u.level < w.depth AND u.i = xor(w.i // (2 ** u.level)::BIGINT, 1) GROUP BY 1, 2, 3""",
+)
+def _(t: Tables):
+    """Proofs of every seventh event's place, each folded to the root."""
+    wanted = t.security_events.filter("seq % 7 = 0").select("hostname", "seq")
+    found = V.inclusion_proofs(_host_leaves(t), wanted, "hostname", "seq")
+    return found.select("hostname", "seq", "i", F.array_join("path", "").alias("path"), (V.proven() == F.col("merkle_root")).alias("holds"))
+
+
+_LEAF = "upper(sha256(event_id || timestamp::VARCHAR || {severity} || category || source || description))"
+_DAYS = "leaves AS (SELECT 'security_events:' || epoch(date_trunc('day', timestamp))::BIGINT AS batch, row_number() OVER (PARTITION BY date_trunc('day', timestamp) ORDER BY event_id) - 1 AS i, " + _LEAF + " AS leaf FROM {{security_events}})"
+_CHAIN = """o AS (SELECT *, row_number() OVER (ORDER BY string_split(batch, ':')[2]::BIGINT) AS k FROM roots),
+    chain(k, prev, sealed) AS (SELECT 1::BIGINT, '', (SELECT root FROM o WHERE k = 1) UNION ALL SELECT o.k, sealed, sha256(sealed || o.root) FROM chain JOIN o ON o.k = chain.k + 1)"""
+
+
+@query(
+    "n04_anchors",
+    f"WITH RECURSIVE {_DAYS.format(severity='severity')}, {_TREE}, {_CHAIN} SELECT batch AS batch_id, root AS merkle_root, depth AS merkle_depth, n AS event_count, prev AS prev_merkle_root, sealed AS chained_root FROM o JOIN chain USING (k)",
+)
 def _(t: Tables):
-    leaves = t.security_events.select("hostname", "seq", V.leaf_hash("event_id", "severity", "description").alias("leaf"))
-    return V.merkle_roots(leaves, "hostname", "seq")
+    return V.build_anchors(t.security_events, "security_events", "1 day").select("batch_id", "merkle_root", "merkle_depth", "event_count", "prev_merkle_root", "chained_root")
 
 
-@query("n04_anchors")
+@query(
+    "n03_resumed_chain",
+    f"""WITH RECURSIVE {_DAYS.format(severity='severity')}, {_TREE}, {_CHAIN} SELECT batch AS batch_id, prev AS prev_merkle_root, sealed AS chained_root FROM o JOIN chain USING (k) WHERE k > 3""",
+)
 def _(t: Tables):
-    return V.build_anchors(t.security_events, "security_events", "1 day")
+    """The chain after the third day, from that day's sealed root on."""
+    days = V.build_anchors(t.security_events, "security_events", "1 day")
+    third = days.orderBy("time_from").limit(3).agg(F.max_by("table_name", "time_from").alias("table_name"), F.max_by("chained_root", "time_from").alias("merkle_root"), F.max("time_from").alias("until"))
+    rest = days.crossJoin(F.broadcast(third.select("until"))).filter("time_from > until").drop("prev_merkle_root", "chained_root", "until")  # one row
+    return V.chain_roots(rest, after=third.drop("until")).select("batch_id", "prev_merkle_root", "chained_root")
 
 
-@query("n05_verified_anchors")
+@query(
+    "n05_verified_anchors",
+    f"""WITH RECURSIVE a AS (WITH RECURSIVE {_DAYS.format(severity='severity')}, {_TREE} SELECT * FROM roots), b AS (WITH RECURSIVE {_DAYS.format(severity="CASE WHEN seq = 5 THEN 9 ELSE severity END")}, {_TREE} SELECT * FROM roots)
+    SELECT batch AS batch_id, CASE WHEN a.n <> b.n THEN 'COUNT_CHANGED' WHEN a.root <> b.root THEN 'TAMPERED' ELSE 'PASS' END AS status FROM a JOIN b USING (batch)""",
+)
 def _(t: Tables):
     s = t.security_events
     anchors = V.build_anchors(s, "security_events", "1 day", chained=False)
