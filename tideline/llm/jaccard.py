@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import table, written
+from .common import arrow_batches, table, written
 from .simhash import components
 
 SHARE, SHINGLE = 90, 3
@@ -425,11 +425,12 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, **sizes: int) -> DataFr
     doc_id is passed over as a component's name, which is null only if all of its rows have none. No rows give no rows; other
     columns are not looked at.
     """
-    rows = written(measured(docs), "jaccard-rows")
-    has = rows.filter("n > 0")
-    known = written(has.groupBy("x").agg(F.any_value("n").alias("n"), F.any_value("folds").alias("folds"), F.min("doc_id").alias("first")), "jaccard-known")
-    regions = written(first_regions(entered(rows, _rarity(rows), share), share), "jaccard-first")
-    found = links(rows, known, regions, share, **sizes)
+    with arrow_batches(docs.sparkSession, 1000, 4):
+        rows = written(measured(docs), "jaccard-rows")
+        has = rows.filter("n > 0")
+        known = written(has.groupBy("x").agg(F.any_value("n").alias("n"), F.any_value("folds").alias("folds"), F.min("doc_id").alias("first")), "jaccard-known")
+        regions = written(first_regions(entered(rows, _rarity(rows), share), share), "jaccard-first")
+        found = links(rows, known, regions, share, **sizes)
     nodes = written(found.select(F.explode(F.array("x", "p")).alias("x")).distinct(), "jaccard-nodes").withColumn("id", F.monotonically_increasing_id())
     nodes = written(nodes, "jaccard-ids")
     edges = found.join(nodes.withColumnRenamed("id", "i"), "x").join(nodes.select(F.col("x").alias("p"), F.col("id").alias("j")), "p")
