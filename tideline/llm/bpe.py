@@ -13,7 +13,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
@@ -30,6 +30,8 @@ from .common import table
 QUERY_BYTES = 100_000
 CACHE_PIECES = 400_000
 LONG = 200
+#: Bytes from which a piece is contracted in arrays instead of rows, ids of a cache, pieces of a long text encoded together, ids decoded together.
+HUGE, CACHE_IDS, PIECES, DECODED = 1 << 18, 20_000_000, 50_000, 1 << 18
 #: Bytes of texts encoded together, and ids of a text that are decoded into one string.
 BATCH_BYTES = 2_000_000
 RUN = 1 << 16
@@ -99,6 +101,8 @@ class Codec:
         self._load("merges", {"pair": pa.array([x << 32 | y for x, y in zip(a, b)], pa.int64()), "c": pa.array(c, pa.int32()), "alone": pa.array([int(k in early) for k in c], pa.int32())})
         self._load("tokens", {"t": pa.array(ranks.values(), pa.int32()), "b": pa.array(ranks, pa.binary())})
         self.known = np.fromiter(ranks.values(), np.uint32, len(ranks))
+        order = np.argsort(pairs := np.array([x << 32 | y for x, y in zip(a, b)], np.int64))
+        self.pairs, self.news, self.alone = pairs[order], np.array(c, np.int32)[order], np.isin(np.array(c), np.array(list(early)))[order]
         self._forget()
 
     def __enter__(self) -> Codec:
@@ -128,6 +132,36 @@ class Codec:
         for part in self.db.sql(ENCODE_LONG if long else ENCODE).to_arrow_reader(100_000):
             yield part.column("w").to_numpy(), part.column("ids")
 
+    def contract(self, raw: bytes) -> np.ndarray:
+        """The ids of one piece of any length by the rounds of ENCODE_LONG, over arrays: 40 bytes a byte of the piece."""
+        t = self.base[np.frombuffer(raw, np.uint8)]
+        while len(t) > 1:
+            rank = np.full(len(t) - 1, np.iinfo(np.int32).max, np.int32)
+            alone = np.zeros(len(t) - 1, bool)
+            for at in range(0, len(rank), RUN):
+                keys = t[at : at + RUN + 1].astype(np.int64)
+                keys = keys[:-1] << 32 | keys[1:]
+                found = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+                there = self.pairs[found] == keys
+                rank[at : at + len(keys)][there] = self.news[found[there]]
+                alone[at : at + len(keys)][there] = self.alone[found[there]]
+            least = rank.min()
+            if least == np.iinfo(np.int32).max:
+                break
+            at = np.flatnonzero(rank == least)
+            if alone[at[0]]:
+                at = at[:1]
+            else:  # matches overlap only in runs of one token, where the 1st, 3rd, ... are taken
+                run = np.concatenate(([0], np.cumsum(np.diff(at) != 1)))
+                first = np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1))
+                at = at[(np.arange(len(at)) - first[run]) % 2 == 0]
+            t = t.copy()
+            t[at] = least
+            keep = np.ones(len(t), bool)
+            keep[at + 1] = False
+            t = t[keep]
+        return t.astype(np.uint32)
+
     def learn(self, pieces: set[str]) -> None:
         """Enters pieces into the cache."""
         batches, sizes = {False: [], True: []}, {False: 0, True: 0}
@@ -136,6 +170,12 @@ class Codec:
             if (k := self.ranks.get(raw)) is not None:
                 self.codes[x] = k
                 continue
+            if len(raw) > HUGE:
+                ids = self.contract(raw)
+                self.codes[x] = -1 - len(self.ends)
+                self.ids.frombytes(ids.tobytes())
+                self.ends.append(len(self.ids))
+                continue
             long = len(raw) > LONG
             if sizes[long] and sizes[long] + len(raw) > QUERY_BYTES:
                 self._enter(batches[long], long)
@@ -156,11 +196,19 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The unsigned 32-bit ids of each whole text; null is empty."""
-        cut = [self.pattern.findall(t or "") for t in texts]
+        return self._encode([self.pattern.findall(t or "") for t in texts])
+
+    def encode_long(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of one text, PIECES pieces at a time."""
+        pieces = (m.group() for m in self.pattern.finditer(text))
+        while block := list(islice(pieces, PIECES)):
+            yield self._encode([block])[0]
+
+    def _encode(self, cut: list[list[str]]) -> list[np.ndarray]:
         flat = list(chain.from_iterable(cut))
         distinct = set(flat)
         new = {x for x in distinct if x not in self.codes}
-        if len(self.codes) + len(new) > CACHE_PIECES:
+        if len(self.codes) + len(new) > CACHE_PIECES or len(self.ids) > CACHE_IDS:
             self._forget()
             new = distinct
         self.learn(new)
@@ -185,10 +233,14 @@ class Codec:
         ids = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
         if len(ids) and not np.isin(ids, self.known).all():
             raise ValueError("ids that aren't tokens")
-        places = np.arange(len(ids)) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes) if len(ids) else ids
-        self._load("given_ids", {"d": pa.array(np.repeat(np.arange(len(rows)), sizes), pa.int32()), "p": pa.array(places, pa.int64()), "t": pa.array(ids, pa.int32())})
-        for part in self.db.sql(DECODE).to_arrow_reader(1_000):
-            yield from zip(part.column("d").to_pylist(), pc.binary_join(part.column("pieces"), b"").to_pylist())
+        ends = np.cumsum(sizes, dtype=np.int64)
+        for at in range(0, len(ids), DECODED):
+            block = np.arange(at, min(at + DECODED, len(ids)))
+            row = np.searchsorted(ends, block, side="right")
+            places = block - (ends[row] - np.array(sizes, np.int64)[row])
+            self._load("given_ids", {"d": pa.array(row, pa.int32()), "p": pa.array(places, pa.int64()), "t": pa.array(ids[block], pa.int32())})
+            for part in self.db.sql(DECODE).to_arrow_reader(1_000):
+                yield from zip(part.column("d").to_pylist(), pc.binary_join(part.column("pieces"), b"").to_pylist())
 
 
 def codec(name: str = "byte_bpe_multi_50k.tiktoken", path: str | None = None, pattern: str | None = None) -> Codec:
@@ -210,7 +262,8 @@ def encoded(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", path: st
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of every row of docs(doc_id, text, ...).
 
     Whole texts are encoded, special tokens' strings as ordinary text. doc_id keeps its type and value, null too. Null and empty texts have
-    no ids; repeated rows repeat; no rows give no rows; other columns are not looked at. The vocabulary file is the installed package's on
+    no ids; repeated rows repeat; no rows give no rows; other columns are not looked at. Texts longer than batch_bytes are encoded and decoded in
+    blocks of pieces; pieces over HUGE bytes are contracted in arrays, by the same rounds. The vocabulary file is the installed package's on
     each executor.
     """
     fields = [StructField("doc_id", docs.schema["doc_id"].dataType), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
@@ -219,18 +272,27 @@ def encoded(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", path: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(name, path, pattern) as one:
             for part in (x for b in batches for x in slices(b, batch_bytes)):
-                rows = one.encode(part.column("text").to_pylist())
-                sums = [hashlib.sha256() for _ in rows]
-                for d, decoded in one.decode(rows):
-                    sums[d].update(decoded)
+                texts = part.column("text").to_pylist()
+                long = len(texts) == 1 and len(texts[0] or "") > batch_bytes // 4
+                rows, digests, sums, sizes = [], [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts], []
+                # A long text goes by blocks of its pieces, of which only the ids are kept, where asked for.
+                for found in ([x] for x in one.encode_long(texts[0])) if long else [one.encode(texts)]:
+                    for digest, x in zip(digests, found):
+                        digest.update(x.astype("<u4").tobytes())
+                    for d, decoded in one.decode(found):
+                        sums[d].update(decoded)
+                    sizes.append([len(x) for x in found])
+                    if ids:
+                        rows += found
+                n_tokens = [sum(s) for s in zip(*sizes)] or [0] * len(texts)
                 out = {
                     "doc_id": part.column("doc_id"),
-                    "n_tokens": pa.array([len(x) for x in rows], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows]),
+                    "n_tokens": pa.array(n_tokens, pa.int64()),
+                    "ids_sha256": pa.array([x.hexdigest() for x in digests]),
                     "decoded_sha256": pa.array([x.hexdigest() for x in sums]),
                 }
                 if ids:
-                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n_tokens]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint32), *rows]).astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -159,13 +159,31 @@ def matches(found: DataFrame, templates: list[tuple[str, str, str]], containment
     rows = found.select("doc_id", "hits_key", F.filter("hits", lambda x: x["word"].isin(vocabulary)).alias("hits")).filter(F.size("hits") >= min(least.values()))
     spans = F.explode(F.array(*[F.struct(F.lit(s).alias("span"), F.lit(n).alias("least")) for s, n in sorted(least.items())]))
     rows = rows.withColumn("s", spans).select("doc_id", "hits_key", "hits", "s.*").filter(F.size("hits") >= F.col("least"))
-    # A hit at place p lies in blocks p // span and the one before.
-    block = lambda x: F.floor(x["at"] / F.col("span"))
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.array(block(x), F.greatest(block(x) - 1, F.lit(0))))))
-    blocks = rows.select("*", F.explode(starts).alias("block"))
-    first = F.col("block") * F.col("span")
-    inside = F.filter("hits", lambda x: (x["at"] >= first) & (x["at"] < first + 2 * F.col("span")))
-    blocks = blocks.select("doc_id", "hits_key", "span", "least", first.alias("first"), inside.alias("hits"))
+    # A hit at place p lies in blocks p // span and the one before. Hits are in order, so a block's are a slice from the first with its number up
+    # to the first two numbers on: each hit is copied twice a span, however many a text has.
+    of = F.transform("hits", lambda x: F.floor(x["at"] / F.col("span")))
+
+    def marked(numbers: Column) -> Column:
+        """(number, from) where a number begins among the hits'."""
+        begins = lambda b, i: F.when((i == 0) | (b != F.get(numbers, i - 1)), F.struct(b.alias("b"), i.alias("i")))
+        return F.array_compact(F.transform(numbers, begins))
+
+    def cut(marks: Column) -> Column:
+        """(number, hits) of each block with any."""
+        start = lambda k: F.coalesce(F.get(marks, k)["i"], F.size("hits"))
+
+        def mine(m: Column, k: Column) -> Column:
+            part = lambda number, end: F.struct(number.alias("block"), F.slice(F.col("hits"), m["i"] + 1, end - m["i"]).alias("hits"))
+            here = part(m["b"], F.when(F.get(marks, k + 1)["b"] == m["b"] + 1, start(k + 2)).otherwise(start(k + 1)))
+            alone = (m["b"] > 0) & ((k == 0) | (F.get(marks, k - 1)["b"] != m["b"] - 1))
+            return F.array(here, F.when(alone, part(m["b"] - 1, start(k + 1))))
+
+        return F.array_compact(F.flatten(F.transform(marks, mine)))
+
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  computed once
+    rows = rows.withColumn("marks", bound(of, marked))
+    blocks = rows.select("doc_id", "hits_key", "span", "least", F.explode(bound(F.col("marks"), cut)).alias("b"))
+    blocks = blocks.select("doc_id", "hits_key", "span", "least", (F.col("b.block") * F.col("span")).alias("first"), F.col("b.hits").alias("hits"))
     ranks = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, docs_of.get(w, 0))])
     distinct = F.array_distinct(F.transform("hits", lambda x: x["word"]))
     ordered = F.transform(F.array_sort(F.transform(distinct, lambda w: F.struct(ranks[w].alias("d"), w.alias("w")))), lambda x: x["w"])
@@ -198,14 +216,16 @@ def licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None = Non
     templates = TEMPLATES if templates is None else templates
     vocabulary = sorted({w for p in PHRASES for w in p.split()}.union(*(template_words(t) for *_, t in templates)))
     found = written(hits(docs, vocabulary).withColumn("hits_key", F.xxhash64("n_words", "hits")), "license-hits")
-    pairs = [f"{a}>{b}" for a, b in shadows(templates, containment)]
+    pairs = shadows(templates, containment)
+    over, under = ([int(x) for x in sorted({p[i] for p in pairs})] for i in (0, 1))
     names = F.array(*[F.lit(label) for label, *_ in templates])
 
-    def shadowed(x: Column) -> Column:
-        over = lambda y: (y["at"] < x["at"] + x["span"]) & (x["at"] < y["at"] + y["span"]) & F.concat(y["id"].cast("string"), F.lit(">"), x["id"].cast("string")).isin(pairs)
-        return F.exists("found", over)
+    def unshadowed(found: Column) -> Column:
+        """found without the windows that a window of a template over theirs meets; of other templates' windows none is held against any."""
+        held = lambda above: F.filter(found, lambda x: ~x["id"].isin(under) | ~F.exists(above, lambda y: (y["at"] < x["at"] + x["span"]) & (x["at"] < y["at"] + y["span"]) & (y["id"] * MOST_TEMPLATES + x["id"]).isin([a * MOST_TEMPLATES + b for a, b in pairs])))
+        return F.element_at(F.transform(F.array(F.filter(found, lambda x: x["id"].isin(over))), held), 1)
 
-    kept = matches(found, templates, containment).withColumn("found", F.filter("found", lambda x: ~shadowed(x)) if pairs else F.col("found"))
+    kept = matches(found, templates, containment).withColumn("found", unshadowed(F.col("found")) if pairs else F.col("found"))
     labelled = kept.select(
         F.col("doc_id").alias("m_id"), F.col("hits_key").alias("m_key"), F.transform("found", lambda x: F.element_at(names, x["id"] + 1)).alias("method_labels"),
         F.array_max(F.transform("found", lambda x: x["share"])).alias("score"),

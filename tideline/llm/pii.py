@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Iterator
@@ -22,19 +23,27 @@ from pyspark.sql import functions as F
 
 from .common import fresh, table
 
-KEY = b"tideline-pseudonyms"  # a deployment passes its own
+KEY = b"tideline-pseudonyms"
+#: A deployment sets its own key here.
+KEY_CONF = "spark.tideline.pseudonyms.key"
 ROUNDS = 10
 #: Characters of a secret that are permuted as one number; longer values aren't cached either.
 LONG = 256
 
 MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?=[A-Za-z0-9])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,63}(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b(\s{0,3}[:=]\s{0,3})(\"[^\"\s]{8,}\"|'[^'\s]{8,}'|[A-Za-z0-9+/_=-]{16,})")
+#: Assigned secrets: within quotes anything up to the line's end; bare after = three characters or more; bare after : the same with a digit
+#: among them, or 16 or more, as prose follows colons.
+_NAMES, _VALUE = r"token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key", r"[A-Za-z0-9+/_=.!@#$%^&*~-]"
+SECRET = re.compile(rf"(?i)\b(?:{_NAMES})\b\s{{0,3}}(?:[:=]\s{{0,3}}(?P<quoted>\"[^\"\n]+\"|'[^'\n]+')|=\s{{0,3}}(?P<given>{_VALUE}{{3,}})|:\s{{0,3}}(?P<told>{_VALUE}{{16,}}|(?={_VALUE}*\d){_VALUE}{{3,}}))")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}|(?=::))(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}(?:::)?(?![\w:]|\.\d)")
+#: Where IP6 may be.
+GROUPS = re.compile(r"::|:[0-9A-Fa-f]{1,4}:")
 KINDS = {
     "date": r"\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}",
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
-    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "ssn": r"\d{3}(?P<s3>[ -])\d{2}(?P=s3)\d{4}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{5,9}",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
 _END = r"(?![\w]|[.-]\d)"
@@ -114,6 +123,17 @@ def _ip(text: str, key: bytes) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _ip6(text: str, key: bytes) -> str | None:
+    """An IPv6 address in any spelling, of two groups at least; one address has one pseudonym, spelled shortest."""
+    if len(re.findall("[0-9A-Fa-f]+", text)) < 2:
+        return None
+    try:
+        x = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return str(ipaddress.IPv6Address(permuted(int(x), 1 << 128, key, "ip6")))
+
+
 def _phone(text: str, key: bytes) -> str | None:
     digits = re.sub(r"\D", "", text)
     if not 8 <= len(digits) <= 15:
@@ -125,14 +145,15 @@ def _phone(text: str, key: bytes) -> str | None:
 
 
 def _ssn(text: str, key: bytes) -> str | None:
-    area, group, serial = map(int, text.split("-"))
+    sep = text[3]
+    area, group, serial = map(int, text.split(sep))
     if area in (0, 666) or area >= 900 or not group or not serial:
         return None
     place = area - 1 - (area > 666)
     x = permuted((place * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key, "ssn")
     x, serial = divmod(x, 9999)
     place, group = divmod(x, 99)
-    return f"{place + 1 + (place >= 665):03}-{group + 1:02}-{serial + 1:04}"
+    return f"{place + 1 + (place >= 665):03}{sep}{group + 1:02}{sep}{serial + 1:04}"
 
 
 def _mod97(text: str) -> int:
@@ -193,7 +214,7 @@ def _blocks(text: str, key: bytes, kind: str, lower: bool = False) -> str:
     return "".join(out)
 
 
-_HOW = {"card": _card, "ip": _ip, "phone": _phone, "ssn": _ssn, "iban": _iban, "date": _date}
+_HOW = {"card": _card, "ip": _ip, "ip6": _ip6, "phone": _phone, "ssn": _ssn, "iban": _iban, "date": _date}
 
 
 @lru_cache(maxsize=20_000)
@@ -233,7 +254,9 @@ def find(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         found += [(m.start(), m.end(), "mail", whole("mail", m[0])) for m in MAIL.finditer(text)]
     if ASSIGNED.search(text):
-        found += [(*m.span(2), "secret", whole("secret", m[2])) for m in SECRET.finditer(text)]
+        found += [(*m.span(m.lastgroup), "secret", whole("secret", m[m.lastgroup])) for m in SECRET.finditer(text)]
+    if GROUPS.search(text):
+        found += [(m.start(), m.end(), "ip6", new) for m in IP6.finditer(text) if (new := pseudonym("ip6", m[0], key))]
     if DIGIT.search(text):
         at = 0
         while m := NUMBER.search(text, at):
@@ -272,13 +295,17 @@ def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple
 SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, spans: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes | None = None, spans: str | None = None) -> DataFrame:
     """docs(text, ...) with personal data of every whole text replaced; spans names a column for the places, in code points.
 
+    The key is the argument's, else that of the session's KEY_CONF, else KEY, which is public: pseudonyms under it can be undone.
     Null texts stay null, empty ones empty; rows, repeated ones too, and all other columns stay as they are, but that one named as
     spans gives way to the places. No rows give no rows.
     """
 
+    given = docs.sparkSession.conf.get(KEY_CONF, None)
+    key = key or (given.encode() if given else KEY)
+
     @F.pandas_udf(f"text string, spans {SPANS}")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:

@@ -15,7 +15,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -37,6 +36,31 @@ REJECTED = 1e-6
 SPREADS = {"x_length": 0.25, "x_words": 0.5, "x_symbols": 0.05, "x_lines": 0.2, "x_repeats": 0.1, "x_alnum": 0.03}
 X = list(SPREADS)
 SALTS = 64
+#: Words of a text from which its windows are numbers rather than tuples.
+LONG_TEXT = 50_000
+
+
+def repeated_words(words: list[str]) -> int:
+    """Words in windows of WINDOW words that are found twice or more, the first included."""
+    if len(words) > LONG_TEXT:
+        # Windows by numbers, doubled word by word: some 100 bytes a word.
+        names: dict[str, int] = {}
+        one = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words))
+        now = one
+        for k in range(1, WINDOW):
+            _, now = np.unique(now[: len(words) - k] * len(names) + one[k:], return_inverse=True)
+        places = np.flatnonzero(np.bincount(now)[now] > 1)
+    else:
+        windows = list(zip(*(words[i:] for i in range(WINDOW))))
+        counts = Counter(windows)
+        if len(counts) == len(windows):
+            return 0
+        places = [i for i, w in enumerate(windows) if counts[w] > 1]
+    repeated, end = 0, 0
+    for i in places:
+        repeated += int(i) + WINDOW - max(int(i), end)
+        end = int(i) + WINDOW
+    return repeated
 
 
 def statistics(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -49,16 +73,7 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int, int]:
             if line in seen:
                 duplicates += 1
             seen.add(line)
-    repeated = 0
-    if len(words) > WINDOW:
-        windows = list(zip(*(words[i:] for i in range(WINDOW))))
-        counts = Counter(windows)
-        if len(counts) < len(windows):
-            end = 0
-            for i, w in enumerate(windows):
-                if counts[w] > 1:
-                    repeated += i + WINDOW - max(i, end)
-                    end = i + WINDOW
+    repeated = repeated_words(words) if len(words) > WINDOW else 0
     bare = "".join(words)
     return len(words), len(bare), len(SYMBOL.findall(text)), duplicates, repeated, len(bare) if bare.isalnum() else sum(map(str.isalnum, bare))
 
@@ -101,9 +116,20 @@ def _levels(rows: DataFrame) -> DataFrame:
 
 
 def chi_square(share: float, degrees: int = len(X)) -> float:
-    """The quantile of chi-square, by Wilson and Hilferty."""
-    v = 2 / (9 * degrees)
-    return degrees * (1 - v + NormalDist().inv_cdf(share) * math.sqrt(v)) ** 3
+    """The quantile of chi-square, for an even number of degrees: bisected in the tail's closed form."""
+
+    def beyond(x: float) -> float:
+        term, total = 1.0, 0.0
+        for k in range(degrees // 2):
+            term = term * x / 2 / k if k else 1.0
+            total += term
+        return math.exp(-x / 2) * total
+
+    low, high = 0.0, 2000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if beyond(mid) > 1 - share else (low, mid)
+    return low
 
 
 def _distance(est: Column) -> Column:
