@@ -9,8 +9,8 @@ leave is verified on the sets.
    counters of fixed size; any order is right. Neighbours in size bound a region (sizes within the radius differ by its factor).
    Regions that hold the same documents are one.
 2. In each region documents are pivots. A document goes to the Voronoi region of its nearest pivot, and as a visitor to each other
-   whose distance is within twice the radius of that; documents linked to one pivot form its ball and needn't meet each other, and
-   a ball's documents stay only where the window of the others' distances to the pivot, give or take the radius, holds them. Pivots
+   whose distance is within twice the radius of that; documents that links connect form a ball and needn't meet each other, and
+   those linked to a region's pivot stay only where the window of the others' distances to the pivot, give or take the radius, holds them. Pivots
    themselves have met all and leave.
 3. Regions are joined so recursively until at most `LEAF` homes are left, which a task holds while it reads the region's visitors; after
    `ROUNDS` rounds, in regions whose distances don't separate, homes are dealt over blocks of that size instead. No case is left out.
@@ -334,7 +334,7 @@ def divided(regions: DataFrame, known: DataFrame, rows: DataFrame, pivots: int,
         own = Window.partitionBy(*REGION, "x")
         each = each.withColumn("least", F.min(F.struct("far", "p")).over(own)).filter((F.col("p") == F.col("least.p")) | (F.col("far") - F.col("least.far") <= 2 * radius))
         each = each.withColumn("home", F.col("home") & (F.col("p") == F.col("least.p")))
-    each = each.withColumn("ball", F.when(F.col("linked"), F.col("p")).otherwise(F.col("ball")))
+    each = each.withColumn("ball", F.when(F.col("linked"), F.xxhash64("p")).otherwise(F.col("ball")))
     # The window: documents of the pivot's ball stay where others stand within the radius of their distance.
     at = [*REGION, "p"]
     span = each.filter(~F.col("linked")).groupBy(*at).agg(F.min("far").alias("low"), F.max("far").alias("high"))
@@ -346,8 +346,8 @@ def divided(regions: DataFrame, known: DataFrame, rows: DataFrame, pivots: int,
 
 def unsettled(regions: DataFrame) -> DataFrame:
     """The regions that have homes and in which not all are of one ball, with their number of homes."""
-    one = F.coalesce("ball", "x")
-    return regions.groupBy(*REGION).agg(F.count_if("home").alias("homes"), F.min(F.xxhash64(one)).alias("a"), F.max(F.xxhash64(one)).alias("b")).filter("homes > 0 AND a <> b").drop("a", "b")
+    one = F.coalesce("ball", F.xxhash64("x"))
+    return regions.groupBy(*REGION).agg(F.count_if("home").alias("homes"), F.min(one).alias("a"), F.max(one).alias("b")).filter("homes > 0 AND a <> b").drop("a", "b")
 
 
 def leaves(regions: DataFrame, known: DataFrame, share: int) -> DataFrame:
@@ -396,12 +396,26 @@ def dealt(regions: DataFrame, homes: DataFrame, leaf: int) -> DataFrame:
     return all_.select("r1", "r2", F.xxhash64("r3", "k").alias("r3"), "x", home.alias("home"), "ball")
 
 
+def connected(found: DataFrame) -> DataFrame:
+    """x, root: a number that the documents which links(x, p) connect share."""
+    nodes = written(found.select(F.explode(F.array("x", "p")).alias("x")).distinct(), "jaccard-nodes").withColumn("id", F.monotonically_increasing_id())
+    nodes = written(nodes, "jaccard-ids")
+    edges = found.join(nodes.withColumnRenamed("id", "i"), "x").join(nodes.select(F.col("x").alias("p"), F.col("id").alias("j")), "p")
+    roots = components(edges.select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")))
+    return written(nodes.join(roots, nodes.id == roots.node, "left").select("x", F.coalesce("root", "id").alias("root")), "jaccard-roots")
+
+
 def links(rows: DataFrame, known: DataFrame, regions: DataFrame, share: int = SHARE, leaf: int = LEAF, pivots: int = PIVOTS, rounds: int = ROUNDS) -> DataFrame:
     """x, p: links between distinct sets that connect the same sets as all pairs within the radius do."""
-    regions = regions.withColumns({"home": F.lit(True), "ball": F.lit(None).cast("binary")})
+    regions = regions.withColumns({"home": F.lit(True), "ball": F.lit(None).cast("long")})
     found, regions = divided(regions, known, rows, 1, share)
     small = None
     for k in range(rounds + 1):
+        if regions.isEmpty():
+            break
+        # Documents that links connect already are one ball wherever they are.
+        balls = connected(found).withColumnRenamed("root", "ball")
+        regions = written(regions.drop("ball").join(balls, "x", "left").select(*REGION, "x", "home", "ball"), "jaccard-balls")
         homes = unsettled(regions)
         fit = regions.join(homes.filter(F.col("homes") <= leaf), REGION, "left_semi")
         small = fit if small is None else small.unionByName(fit)
@@ -414,7 +428,8 @@ def links(rows: DataFrame, known: DataFrame, regions: DataFrame, share: int = SH
             break
         more, regions = divided(regions, known, rows, pivots, share)
         found = found.union(more)
-    return found.union(linked(written(leaves(small, known, share), "jaccard-pairs"), rows, share))
+    pairs = None if small is None else written(leaves(small, known, share), "jaccard-pairs")
+    return found if pairs is None or pairs.isEmpty() else found.union(linked(pairs, rows, share))
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE, **sizes: int) -> DataFrame:
@@ -431,11 +446,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, **sizes: int) -> DataFr
         known = written(has.groupBy("x").agg(F.any_value("n").alias("n"), F.any_value("folds").alias("folds"), F.min("doc_id").alias("first")), "jaccard-known")
         regions = written(first_regions(entered(rows, _rarity(rows), share), share), "jaccard-first")
         found = links(rows, known, regions, share, **sizes)
-    nodes = written(found.select(F.explode(F.array("x", "p")).alias("x")).distinct(), "jaccard-nodes").withColumn("id", F.monotonically_increasing_id())
-    nodes = written(nodes, "jaccard-ids")
-    edges = found.join(nodes.withColumnRenamed("id", "i"), "x").join(nodes.select(F.col("x").alias("p"), F.col("id").alias("j")), "p")
-    roots = components(edges.select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")))
-    named = nodes.join(roots, nodes.id == roots.node, "left").select("x", F.coalesce("root", "id").alias("root"))
+    named = connected(found)
     named = known.select("x", "first").join(named, "x", "left")
     least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
     names = named.join(least, "root", "left").select("x", F.coalesce("least", "first").alias("component_id"))
