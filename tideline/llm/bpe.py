@@ -31,7 +31,7 @@ QUERY_BYTES = 100_000
 CACHE_PIECES = 400_000
 LONG = 200
 #: Bytes from which a piece is contracted in arrays instead of rows, ids of a cache, pieces of a long text encoded together, ids decoded together.
-HUGE, CACHE_IDS, PIECES, DECODED = 1 << 18, 20_000_000, 50_000, 1 << 18
+HUGE, CACHE_IDS, PIECES, DECODED = 1 << 18, 20_000_000, 50_000, 1 << 20
 #: Bytes of texts encoded together, and ids of a text that are decoded into one string.
 BATCH_BYTES = 2_000_000
 RUN = 1 << 16
