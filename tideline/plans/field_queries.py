@@ -108,9 +108,17 @@ def _(t: Tables):
     return t.documents.select("doc_id", F.round(X.entropy(F.concat(F.regexp_replace("text", "[^ -~]", ""), F.lit("x"))), 5).alias("entropy"))
 
 
-@query("i09_bigram_score")
+_PAIRS = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in X.BIGRAMS.items()) + ") b(pair, share)"
+
+
+@query(
+    "i09_bigram_score",
+    f"""WITH d AS (SELECT row_number() OVER () AS k, page_id, lower(split_part(regexp_extract(url, '//([^/]+)', 1), '.', 1)) AS s FROM pages), p AS (SELECT k, s[i:i + 1] AS pair FROM (SELECT k, s, unnest(range(1, length(s))) AS i FROM d)),
+    m AS (SELECT k, sum(share) AS total FROM p JOIN {_PAIRS} USING (pair) GROUP BY k)
+    SELECT page_id, round(CASE WHEN length(s) < 2 THEN 0 ELSE coalesce(total, 0) / (length(s) - 1) / {max(X.BIGRAMS.values())} END, 6)::DOUBLE AS score FROM d LEFT JOIN m USING (k)""",
+)
 def _(t: Tables):
-    return t.pages.select("page_id", X.bigram_score(F.regexp_extract("url", "//([^/]+)", 1)).alias("score"))
+    return t.pages.select("page_id", F.round(X.bigram_score(F.regexp_extract("url", "//([^/]+)", 1)), 6).alias("score"))
 
 
 @query("i10_consonant_runs", "SELECT doc_id, list_max([length(x) FOR x IN regexp_split_to_array(lower(text), '[^bcdfghjklmnpqrstvwxyz]+')])::INT AS run FROM documents")
@@ -123,9 +131,9 @@ def _(t: Tables):
     return t.network_events.select("event_id", X.port_bin(F.col("dst_port")).alias("bin"))
 
 
-@query("i13_caps_ratio", "SELECT page_id, round(length(regexp_replace(url, '[^A-Z]', '', 'g')) / length(regexp_replace(url, '[^A-Za-z]', '', 'g')), 6) AS ratio FROM pages WHERE NOT regexp_matches(url, '[^ -~]')")
+@query("i13_caps_ratio", "SELECT page_id, CASE WHEN n > 0 THEN round(u / n, 6) ELSE 0 END::DOUBLE AS ratio FROM (SELECT page_id, len(regexp_extract_all(url, '\\p{L}')) AS n, len(regexp_extract_all(url, '\\p{Lu}')) AS u FROM pages) x")
 def _(t: Tables):
-    return t.pages.filter(~F.col("url").rlike("[^ -~]")).select("page_id", F.round(X.caps_ratio(F.col("url")), 6).alias("ratio"))
+    return t.pages.select("page_id", F.round(X.caps_ratio(F.col("url")), 6).alias("ratio"))
 
 
 @query("i14_url_counts", "SELECT conv_id, turn, len(regexp_extract_all(body, '(?i)https?://[^\\s<>\"'']+'))::INT AS urls FROM {email_logs}")
@@ -237,11 +245,18 @@ def _(t: Tables):
     return M.occlusion(_labelled(t).filter("label = 1"), model, features, "seq", 3)
 
 
-@query("k10_training_set", "SELECT count(*) AS n, 0.0::DOUBLE AS least FROM {investigations} WHERE finding_type IN ('CONFIRMED_ATTACK', 'ACTIVE_CAMPAIGN', 'NORMAL_BEHAVIOUR')")
+@query(
+    "k10_training_set",
+    """WITH r AS (SELECT alert_id, (finding_type <> 'NORMAL_BEHAVIOUR')::INT AS label, CASE WHEN finding_type = 'ACTIVE_CAMPAIGN' THEN 'campaign' ELSE 'finding' END AS label_source FROM {investigations}
+        WHERE finding_type IN ('CONFIRMED_ATTACK', 'ACTIVE_CAMPAIGN', 'NORMAL_BEHAVIOUR') AND trigger_score >= 0.2 ORDER BY started_at DESC, alert_id LIMIT 50000)
+    SELECT * FROM r WHERE (SELECT count(*) >= 10 AND count(*) FILTER (label = 0) >= 0.1 * count(*) FROM r)""",
+)
 def _(t: Tables):
-    rows = t.investigations.select("alert_id", F.col("started_at").alias("created_at"), "finding_type", F.col("trigger_score").alias("score"), F.array_repeat(F.lit(0.0), 46).alias("vector"), F.lit(False).alias("fast_path"))
-    chosen = M.training_set(M.training_rows(rows), least=10)
-    return chosen.agg(F.count("*").alias("n"), F.lit(0.0).alias("least"))
+    """The newest labelled cases, where there are enough and enough of them negative."""
+    rows = t.investigations.select("alert_id", F.col("started_at").alias("created_at"), "finding_type", F.col("trigger_score").alias("score"), F.array_repeat(F.col("trigger_score"), 46).alias("vector"), F.lit(False).alias("fast_path"))
+    labelled = M.training_rows(rows)
+    chosen = M.training_set(labelled, least=10)
+    return (labelled.limit(0) if chosen is None else chosen).select("alert_id", "label", "label_source")
 
 
 @query("j18_approximate_knn")

@@ -265,11 +265,14 @@ def _(t: Tables):
 
 @query(
     "j08_web_rule",
-    f"""SELECT page_id, (regexp_matches(url, '{_SQL}') OR regexp_matches(url, '{X.XSS}') OR regexp_matches(url, '{X.TRAVERSAL}'))::INT AS hit FROM {{web_logs}} WHERE length(url) <= 100""",
+    f"""WITH w AS (SELECT row_number() OVER () AS k, page_id, url FROM {{web_logs}}), c AS (SELECT k, count(*) AS n FROM (SELECT k, unnest(string_split(url, '')) AS ch FROM w) x GROUP BY k, ch),
+    e AS (SELECT k, -sum(n / length(url) * log2(n / length(url))) AS entropy FROM c JOIN w USING (k) GROUP BY k)
+    SELECT page_id, (regexp_matches(url, '{_SQL}') OR regexp_matches(url, '{X.XSS}') OR regexp_matches(url, '{X.TRAVERSAL}') OR (length(url) > 100 AND coalesce(entropy, 0) > 4)
+        OR CASE WHEN instr(url, '?') > 0 AND instr(url, '?') < length(url) THEN length(url[instr(url, '?') + 1:]) - length(replace(url[instr(url, '?') + 1:], '&', '')) + 1 ELSE 0 END >= 5)::INT AS hit FROM w LEFT JOIN e USING (k)""",
 )
 def _(t: Tables):
     found = X.features(t.web_logs.withColumns({"log_type": F.lit("web"), "timestamp": F.lit(None).cast("timestamp")}))
-    return found.filter(F.length("url") <= 100).select("page_id", R.web_attack(F.col("log_type")).cast("int").alias("hit"))
+    return found.select("page_id", R.web_attack(F.col("log_type")).cast("int").alias("hit"))
 
 
 def alerts(t: Tables):
@@ -358,10 +361,21 @@ def _(t: Tables):
     return K.knn(q, b("true").drop("is_fp"), 10).withColumn("distance", F.round("distance", 5))
 
 
-@query("j18_similarity_features")
+@query(
+    "j18_similarity_features",
+    """WITH p AS (SELECT q.vec_id AS q_id, b.vec_id AS b_id, b.label, sqrt(list_sum([(q.embedding[i]::DOUBLE - b.embedding[i]) * (q.embedding[i]::DOUBLE - b.embedding[i]) FOR i IN range(1, len(q.embedding) + 1)])) AS d
+        FROM embeddings q JOIN embeddings b ON q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id),
+    n AS (SELECT *, least(label, 2) AS kind, row_number() OVER (PARTITION BY q_id, least(label, 2) ORDER BY d, b_id) AS k FROM p),
+    a AS (SELECT q_id, min(d) AS near, count(*) FILTER (d < 0.3) AS n, min(d) FILTER (d < 0.3) AS least, count(*) FILTER (d < 0.3) / nullif(count(*) FILTER (d < 0.5), 0) AS share FROM n WHERE kind = 0 AND k <= 10 GROUP BY 1),
+    h AS (SELECT q_id, min(d) AS near, count(*) FILTER (b_id % 3 = 0) AS fp FROM n WHERE kind = 1 AND k <= 10 GROUP BY 1), m AS (SELECT q_id, count(*) FILTER (d < 0.4) AS m FROM n WHERE kind = 2 AND k <= 20 GROUP BY 1)
+    SELECT q.vec_id AS q_id, round(coalesce(a.near, 1), 5)::DOUBLE AS similarity_attack_embed_dist, round(coalesce(h.near, 1), 5)::DOUBLE AS similarity_historical_dist, coalesce(m, 0)::DOUBLE AS similarity_log_embed_matches, coalesce(n, 0)::DOUBLE AS similarity_confirmed_neighbor_count,
+        round(coalesce(least, 1), 5)::DOUBLE AS similarity_min_confirmed_dist, coalesce(fp, 0)::DOUBLE AS similarity_false_positive_count, round(coalesce(share, 0), 5)::DOUBLE AS similarity_label_confidence
+    FROM embeddings q LEFT JOIN a ON a.q_id = q.vec_id LEFT JOIN h ON h.q_id = q.vec_id LEFT JOIN m ON m.q_id = q.vec_id WHERE q.vec_id % 100 = 0""",
+)
 def _(t: Tables):
     q, b = _vectors(t)
-    return K.similarity_features(q, b("label = 0"), b("label = 1"), b("label > 1"))
+    found = K.similarity_features(q, b("label = 0"), b("label = 1"), b("label > 1"))
+    return found.select(*[F.round(c, 5).alias(c) if k == "double" else F.col(c) for c, k in found.dtypes])
 
 
 _RULE_VALUES = "(VALUES " + ", ".join(f"('{r}', {p}, {f}, {x}, '{tac}')" for r, p, f, x, _, tac, _ in TACTIC_RULES) + ") r(rule_id, priority, features, threshold, tactic)"
@@ -583,13 +597,12 @@ def _(t: Tables):
 
 @query(
     "n02_inclusion_proofs",
-    f"""WITH RECURSIVE {_HOST_LEAVES}, {_TREE}, w AS (SELECT * FROM l WHERE seq % 7 = 0)
-    SELECT w.batch AS hostname, w.seq, w.i, string_agg(u.h, '' ORDER BY u.level) AS path, true AS holds FROM w JOIN up u ON u.batch = w.batch AND u.level < w.depth AND u.i = xor(w.i // (2 ** u.level)::BIGINT, 1) GROUP BY 1, 2, 3""",
+    f"""WITH RECURSIVE {_HOST_LEAVES}, {_TREE}
+    SELECT w.batch AS hostname, w.seq, w.i, string_agg(u.h, '' ORDER BY u.level) AS path, true AS holds FROM l w JOIN up u ON u.batch = w.batch AND u.level < w.depth AND u.i = xor(w.i // (2 ** u.level)::BIGINT, 1) GROUP BY 1, 2, 3""",
 )
 def _(t: Tables):
-    """Proofs of every seventh event's place, each folded to the root."""
-    wanted = t.security_events.filter("seq % 7 = 0").select("hostname", "seq")
-    found = V.inclusion_proofs(_host_leaves(t), wanted, "hostname", "seq")
+    """Proofs of every event's place, each folded to the root."""
+    found = V.inclusion_proofs(_host_leaves(t), t.security_events.select("hostname", "seq"), "hostname", "seq")
     return found.select("hostname", "seq", "i", F.array_join("path", "").alias("path"), (V.proven() == F.col("merkle_root")).alias("holds"))
 
 
@@ -682,10 +695,21 @@ def _(t: Tables):
     return _rounded(D.psi_fixed(s.filter("seq % 2 = 0"), s.filter("seq % 2 = 1"), "adjusted_score"))
 
 
-@query("k12_drift_report")
+@query(
+    "k12_drift_report",
+    """WITH s AS (SELECT timestamp < TIMESTAMP '2024-01-15' AS base, adjusted_score, eif_score, lgbm_score FROM {triage_scores}),
+    l AS (SELECT base, 'adjusted_score' AS feature, adjusted_score AS x FROM s UNION ALL SELECT base, 'eif_score', eif_score FROM s UNION ALL SELECT base, 'lgbm_score', lgbm_score FROM s),
+    n AS (SELECT count(*) FILTER (base) AS nb, count(*) FILTER (NOT base) AS nc, avg(adjusted_score) FILTER (base) AS mb, avg(adjusted_score) FILTER (NOT base) AS mc FROM s), span AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY 1),
+    c AS (SELECT feature, bin, count(*) FILTER (base) AS b, count(*) FILTER (NOT base) AS c FROM (SELECT base, feature, CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 10), 9) ELSE 0 END AS bin FROM l JOIN span USING (feature)) x GROUP BY ALL),
+    g AS (SELECT feature, coalesce(b, 0) AS b, coalesce(c, 0) AS c FROM (SELECT feature, unnest(range(10)) AS bin FROM span) y LEFT JOIN c USING (feature, bin)),
+    r AS (SELECT feature, sum((b / nb + 1e-8) * ln((b / nb + 1e-8) / (c / nc + 1e-8)) + (c / nc + 1e-8) * ln((c / nc + 1e-8) / (b / nb + 1e-8))) / 2 AS kl,
+        CASE WHEN feature = 'adjusted_score' THEN sum(((c + 1e-6) / nc - (b + 1e-6) / nb) * ln(((c + 1e-6) / nc) / ((b + 1e-6) / nb))) END AS psi, any_value(abs(mc - mb)) AS shift, any_value(nb >= 10 AND nc >= 5) AS enough FROM g, n GROUP BY feature)
+    SELECT feature, round(kl, 6) AS kl, round(psi, 6) AS psi, round(shift, 6) AS shift, (kl > 0.1 OR coalesce(psi, 0) > 0.25 OR shift > 0.1) AND enough AS drift FROM r""",
+)
 def _(t: Tables):
     s = t.triage_scores
-    return D.drift_report(s.filter("timestamp < '2024-01-15'"), s.filter("timestamp >= '2024-01-15'"), ["adjusted_score", "eif_score", "lgbm_score"], ["adjusted_score"], "adjusted_score")
+    report = D.drift_report(s.filter("timestamp < '2024-01-15'"), s.filter("timestamp >= '2024-01-15'"), ["adjusted_score", "eif_score", "lgbm_score"], ["adjusted_score"], "adjusted_score")
+    return _rounded(report)
 
 
 @query("k13_scenario_metrics", """WITH l AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'true_positive' ELSE 'false_positive' END AS expected FROM {verdicts}), m AS (SELECT count(*) FILTER (verdict = 'true_positive' AND expected = 'true_positive') AS tp,
