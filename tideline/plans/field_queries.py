@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import features as X
@@ -10,10 +13,43 @@ from ..operators import ml as M
 from ..operators import rules as R
 from ..operators import sequence as S
 from ..operators import similarity as K
+from ..operators.fixed import shared_folder
+from ..sources import tables as A
 from .registry import Tables, query
 from .score_queries import investigated
 
 
+def _folder(t: Tables, name: str) -> str:
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a02_syslog_lines", "SELECT source, count(*) AS lines, sum(length(message))::BIGINT AS characters FROM {raw_logs} GROUP BY 1")
+def _(t: Tables):
+    """Raw logs as text lines with a header, read back as a line source."""
+    at = _folder(t, "syslog")
+    t.raw_logs.select(F.concat(F.lit("<34>"), "source", F.lit(": "), "message").alias("value")).write.text(at)
+    parts = A.read_syslog(t.spark, at).select(F.regexp_extract("message", r"^<\d+>([^:]*): ", 1).alias("source"), F.regexp_replace("message", r"^<\d+>[^:]*: ", "").alias("body"))
+    return parts.groupBy("source").agg(F.count("*").alias("lines"), F.sum(F.length("body")).alias("characters"))
+
+
+@query("a03_topic_round_trip", "SELECT CASE WHEN severity >= 3 THEN 'urgent' ELSE 'routine' END AS topic, count(*) AS events, count(DISTINCT event_id) AS ids, min(hostname) AS least FROM {security_events} WHERE severity > 0 GROUP BY 1")
+def _(t: Tables):
+    """Events to two topics by severity, read back from one subscription of both."""
+    at = _folder(t, "topics")
+    A.write_topic(t.security_events.select("event_id", "hostname", "severity"), at, F.when(F.col("severity") >= 3, "urgent").when(F.col("severity") > 0, "routine").otherwise("dropped"))
+    rows = A.read_topic(t.spark, at, ["urgent", "routine"]).withColumn("e", F.from_json("value", "event_id string, hostname string, severity int"))
+    return rows.groupBy("topic").agg(F.count("*").alias("events"), F.count_distinct("e.event_id").alias("ids"), F.min("e.hostname").alias("least"))
+
+
+@query("a05_day_partitions", "SELECT source, count(*) AS rows, min(timestamp) AS first, max(timestamp) AS last FROM {raw_logs} WHERE timestamp >= TIMESTAMP '2024-01-05 06:00:00' AND timestamp <= TIMESTAMP '2024-01-20' GROUP BY 1")
+def _(t: Tables):
+    """A table written by days, of which a range of time is read."""
+    at = _folder(t, "tables")
+    A.write_table(t.raw_logs, at, "raw_logs")
+    rows = A.read_table(t.spark, at, "raw_logs", datetime(2024, 1, 5, 6), datetime(2024, 1, 20))
+    return rows.groupBy("source").agg(F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
 @query("b01_timestamps", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE date_trunc('second', ts) END AS t FROM events")
 def _(t: Tables):
     raw = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("not a time")
