@@ -7,11 +7,12 @@ leave is verified on the sets.
 1. Shingles are the first pivots: {s} is at distance 1 from every set without s. In a global order, two sets within the radius share one of
    the first n - ceil(n * SHARE%) + 1 shingles of each, so a document enters the regions of these alone. The order is rare first, by a table of
    counters of fixed size; any order is right. Neighbours in size bound a region (sizes within the radius differ by its factor).
-   Regions that hold the same documents are one.
+   The least document of a shingle is its pivot, and all of a pivot's shingles make one region, so a family of near copies, which shares
+   most of its first shingles, has a few regions and not one for each shingle.
 2. In each region documents are pivots. A document goes to the Voronoi region of its nearest pivot, and as a visitor to each other
    whose distance is within twice the radius of that; documents that links connect form a ball and needn't meet each other, and
    those linked to a region's pivot stay only where the window of the others' distances to the pivot, give or take the radius, holds them. Pivots
-   themselves have met all and leave.
+   themselves have met all and leave. Where most of a region is one ball, the documents outside it are its homes and the ball visits.
 3. Regions are joined so recursively until at most `LEAF` homes are left, which a task holds while it reads the region's visitors; after
    `ROUNDS` rounds, in regions whose distances don't separate, homes are dealt over blocks of that size instead. No case is left out.
 
@@ -41,9 +42,9 @@ FOLDS, COUNTERS, BLOCKS, MARKS = 128, 1 << 24, 256, 1 << 22
 #: Rows of a batch taken together, and neighbours in size that a document of a first region is held against.
 ROWS, NEIGHBOURS = 256, 12
 #: Homes that a leaf holds, pivots of a large region, rounds of these.
-LEAF, PIVOTS, ROUNDS = 64, 8, 4
-#: Rows of a first region up to which it is told apart by its members, and the counter's logarithm from which a shingle's region is dealt out.
-MEMBERS, HOT = 4096, 15
+LEAF, PIVOTS, ROUNDS = 512, 8, 2
+#: Rows of a shingle up to which a task holds them, the counter's logarithm from which they are dealt out, and visitors of a leaf that are read together.
+MEMBERS, HOT, VISITORS = 1 << 16, 15, 4096
 SLICE_BYTES = 2_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -205,11 +206,8 @@ def entered(rows: DataFrame, rarity: np.ndarray, share: int = SHARE) -> DataFram
     return rows.filter("set IS NOT NULL").select("n", "x", "set").mapInArrow(run, "s long, salt int, n long, x binary, at int")
 
 
-REGION = ["r1", "r2", "r3"]
-
-
 def first_regions(entries: DataFrame, share: int = SHARE) -> DataFrame:
-    """r1, r2, r3, x: the regions of shingles with more than one document, cut where sizes are too far apart; alike ones are one."""
+    """p, x: for each shingle the first of its documents as pivot p, and the others; cut where sizes are too far apart. A pivot has one region, however many shingles chose it."""
 
     def regions(s: np.ndarray, salt: np.ndarray, n: np.ndarray, x: np.ndarray, at: np.ndarray, loose: bool) -> tuple:
         same = (s[1:] == s[:-1]) & (salt[1:] == salt[:-1])
@@ -227,18 +225,18 @@ def first_regions(entries: DataFrame, share: int = SHARE) -> DataFrame:
             met[:-step] |= can
         lone = (salt > 0) | loose  # others of the shingle are elsewhere
         live = met | lone
-        run, s, x, lone = run[live], s[live], x[live], lone[live] | (length[run[live]] > MEMBERS)
-        _, run = np.unique(run, return_inverse=True)
-        size = np.bincount(run)
-        sums = [np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)]
-        for k in (0, 1):
-            np.add.at(sums[k], run, x[:, k])
-        return np.where(lone, s, sums[0][run]), np.where(lone, 0, sums[1][run]), np.where(lone, 0, size[run]), x
+        run, s, x, lone = run[live], s[live], x[live], lone[live]
+        order = np.lexsort((x[:, 1], x[:, 0], run))
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(run[order]) > 0))) if len(run) else np.zeros(0, np.int64)
+        pivot = x[np.repeat(order[starts], np.diff([*starts, len(run)]))]
+        s, x, lone = s[order], x[order], lone[order]
+        others = lone | (pivot != x).any(1)
+        return s[others], pivot[others], x[others], lone[others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, open_key = None, None
         for b in (x for x in batches if x.num_rows):
-            x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.int64).reshape(-1, 2)
+            x = np.frombuffer(b"".join(b.column("x").to_pylist()), ">u8").reshape(-1, 2)
             now = (*(b.column(c).to_numpy() for c in ("s", "salt", "n")), x, b.column("at").to_numpy())
             now = now if held is None else tuple(np.concatenate(p) for p in zip(held, now))
             # The last shingle's rows wait for more, up to a number of them; beyond it they pass as they come.
@@ -251,7 +249,7 @@ def first_regions(entries: DataFrame, share: int = SHARE) -> DataFrame:
             if cut:
                 yield batch(regions(*(v[:cut] for v in now), False))
             held = tuple(v[cut:] for v in now)
-            if len(held[0]) > 16 * MEMBERS:
+            if len(held[0]) > MEMBERS:
                 open_key = (held[0][0], held[1][0])
                 yield batch(regions(*held, True))
                 held = None
@@ -261,11 +259,18 @@ def first_regions(entries: DataFrame, share: int = SHARE) -> DataFrame:
             yield batch(regions(*held, open_key == (held[0][0], held[1][0])))
 
     def batch(found: tuple) -> pa.RecordBatch:
-        r1, r2, r3, x = found
-        return pa.RecordBatch.from_arrays([pa.array(r1, pa.int64()), pa.array(r2, pa.int64()), pa.array(r3, pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], [*REGION, "x"])
+        s, p, x, lone = found
+        names = [pa.array([v.tobytes() for v in c.astype(">u8", copy=False)], pa.binary()) for c in (p, x)]
+        return pa.RecordBatch.from_arrays([pa.array(s, pa.int64(), mask=~lone), *names], ["s", "p", "x"])
 
     sorted_ = entries.repartition("s", "salt").sortWithinPartitions("s", "salt", "n", "x")
-    return sorted_.mapInArrow(run, "r1 long, r2 long, r3 long, x binary").dropDuplicates([*REGION, "x"])
+    found = sorted_.mapInArrow(run, "s long, p binary, x binary")
+    loose = written(found.dropDuplicates(["s", "p", "x"]), "jaccard-entered")
+    # Shingles whose documents lie apart: the first of them all, found by partial aggregates.
+    apart = loose.filter("s IS NOT NULL")
+    first = apart.groupBy("s").agg(F.min("x").alias("p"))
+    apart = apart.select("s", "x").join(first, "s").filter("x <> p").select("p", "x")
+    return loose.filter("s IS NULL").select("p", "x").unionByName(apart).dropDuplicates(["p", "x"])
 
 
 def _folds(column: pd.Series) -> np.ndarray:
@@ -318,36 +323,55 @@ def linked(pairs: DataFrame, rows: DataFrame, share: int) -> DataFrame:
     return written(met.select("x", "p", "set", "set_p").mapInArrow(run, "x binary, p binary"), "jaccard-links")
 
 
-def divided(regions: DataFrame, known: DataFrame, rows: DataFrame, pivots: int, share: int) -> tuple[DataFrame, DataFrame]:
-    """One round over regions(REGION, x, home, ball): links to pivots, and the regions that these leave."""
+def parted(regions: DataFrame, known: DataFrame, rows: DataFrame, pivots: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """One round over regions(r, x, home, ball): links to pivots, and the regions that these leave."""
+    # The least homes are pivots, so regions that share many documents choose the same.
+    order = Window.partitionBy("r").orderBy("x")
+    chosen = regions.filter("home").select("r", F.col("x").alias("p"), F.row_number().over(order).alias("k")).filter(F.col("k") <= pivots).drop("k")
+    own = Window.partitionBy("r", "x")
+    met = regions.join(chosen, "r").withColumn("pivot", F.max(F.col("x") == F.col("p")).over(own))
+    met = written(met.filter(~F.col("pivot")).drop("pivot"), "jaccard-met")  # pivots meet their whole region
+    far = written(distances(met.select("x", "p").distinct(), known, share), "jaccard-far")
+    radius = 1 - share / 100 + 1e-9
+    each = met.join(far, ["x", "p"]).withColumn("least", F.min(F.struct("far", "p")).over(own))
+    each = each.filter((F.col("p") == F.col("least.p")) | (F.col("far") - F.col("least.far") <= 2 * radius))
+    each = each.withColumn("home", F.col("home") & (F.col("p") == F.col("least.p")))
+    return windowed(each.groupBy("p", "x").agg(F.max("home").alias("home"), F.max("ball").alias("ball")), far, rows, share)
+
+
+def windowed(met: DataFrame, far: DataFrame, rows: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """Links of pivots among the pairs of far, and met(p, x, home, ball) as the regions of the pivots, without what their windows leave out."""
     radius = 1 - share / 100 + 1e-9
-    order = Window.partitionBy(*REGION).orderBy(F.xxhash64("x"), "x")
-    chosen = regions.filter("home").select(*REGION, F.col("x").alias("p"), F.row_number().over(order).alias("k")).filter(F.col("k") <= pivots).drop("k")
-    met = written(regions.join(chosen, REGION), "jaccard-met")
-    far = written(distances(met.filter("x <> p").select("x", "p").distinct(), known, share), "jaccard-far")
     links = linked(far.filter("near").select("x", "p"), rows, share)
-    of_ball = far.join(links.withColumn("linked", F.lit(True)), ["x", "p"], "left").select("x", "p", "far", F.coalesce("linked", F.lit(False)).alias("linked"))
-    # Pivots have met their whole region.
-    pivot = F.max(F.col("x") == F.col("p")).over(Window.partitionBy(*REGION, "x")) if pivots > 1 else F.col("x") == F.col("p")
-    each = met.withColumn("pivot", pivot).filter(~F.col("pivot")).join(of_ball, ["x", "p"])
-    if pivots > 1:
-        own = Window.partitionBy(*REGION, "x")
-        each = each.withColumn("least", F.min(F.struct("far", "p")).over(own)).filter((F.col("p") == F.col("least.p")) | (F.col("far") - F.col("least.far") <= 2 * radius))
-        each = each.withColumn("home", F.col("home") & (F.col("p") == F.col("least.p")))
+    each = met.join(far.drop("near"), ["x", "p"]).join(links.withColumn("linked", F.lit(True)), ["x", "p"], "left")
+    each = each.withColumn("linked", F.coalesce("linked", F.lit(False)))
     each = each.withColumn("ball", F.when(F.col("linked"), F.xxhash64("p")).otherwise(F.col("ball")))
     # The window: documents of the pivot's ball stay where others stand within the radius of their distance.
-    at = [*REGION, "p"]
-    span = each.filter(~F.col("linked")).groupBy(*at).agg(F.min("far").alias("low"), F.max("far").alias("high"))
-    windowed = each.join(span, at).filter(~F.col("linked") | F.col("far").between(F.col("low") - radius, F.col("high") + radius))
-    inner = F.xxhash64(*REGION, "p")
-    left = windowed.select(inner.alias("r1"), F.xxhash64("p", *REGION).alias("r2"), F.lit(-1).cast("long").alias("r3"), "x", "home", "ball")
-    return links, written(left.join(unsettled(left), REGION, "left_semi"), "jaccard-regions")
+    span = each.filter(~F.col("linked")).groupBy("p").agg(F.min("far").alias("low"), F.max("far").alias("high"))
+    kept = each.join(span, "p").filter(~F.col("linked") | F.col("far").between(F.col("low") - radius, F.col("high") + radius))
+    left = kept.select(F.xxhash64("p").alias("r"), "x", "home", "ball")
+    return links, written(left.join(unsettled(left), "r", "left_semi"), "jaccard-regions")
 
 
 def unsettled(regions: DataFrame) -> DataFrame:
-    """The regions that have homes and in which not all are of one ball, with their number of homes."""
+    """The regions that have homes and in which not all are of one ball: r, homes (their number), and others and top.
+
+    top is the region's largest ball where documents of no ball or of other balls, `others` by number, are fewer than the homes: with those
+    as its homes and the ball as visitors the region meets all the pairs that it has to.
+    """
+    one = F.coalesce("ball", F.xxhash64("x"))
+    balls = regions.groupBy("r", one.alias("one")).agg(F.count("*").alias("rows"), F.count_if("home").alias("homes"))
+    of = F.max(F.struct("rows", "one"))
+    per = balls.groupBy("r").agg(F.sum("homes").alias("homes"), F.sum("rows").alias("rows"), of.alias("of"), F.count("*").alias("balls"))
+    others = F.col("rows") - F.col("of.rows")
+    per = per.filter("homes > 0 AND balls > 1").select("r", "homes", others.alias("others"), F.when(others < F.col("homes"), F.col("of.one")).alias("top"))
+    return per.select("r", F.least("homes", "others").alias("homes"), "top")
+
+
+def turned(regions: DataFrame, homes: DataFrame) -> DataFrame:
+    """The unsettled regions with the documents outside the largest ball as homes, where these are fewer."""
     one = F.coalesce("ball", F.xxhash64("x"))
-    return regions.groupBy(*REGION).agg(F.count_if("home").alias("homes"), F.min(one).alias("a"), F.max(one).alias("b")).filter("homes > 0 AND a <> b").drop("a", "b")
+    return regions.join(homes.select("r", "top"), "r").select("r", "x", F.when(F.col("top").isNull(), F.col("home")).otherwise(one != F.col("top")).alias("home"), "ball")
 
 
 def leaves(regions: DataFrame, known: DataFrame, share: int) -> DataFrame:
@@ -356,16 +380,16 @@ def leaves(regions: DataFrame, known: DataFrame, share: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, homes = None, None
         for b in batches:
-            key = np.stack([b.column(c).to_numpy() for c in REGION], 1)
+            key = b.column("r").to_numpy()
             home = b.column("home").to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1) | (home[1:] != home[:-1]))))
+            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (home[1:] != home[:-1]))))
             out = [[], []]
             for a, e in zip(starts, [*starts[1:], len(key)]):
                 part = b.slice(a, e - a)
                 mine = [part.column(c).to_pylist() for c in ("x", "ball")]
                 mine += [part.column("n").to_numpy(), np.frombuffer(b"".join(part.column("folds").to_pylist()), np.uint32).reshape(-1, FOLDS).astype(np.int64)]
-                if tuple(key[a]) != now:
-                    now, homes = tuple(key[a]), None
+                if key[a] != now:
+                    now, homes = key[a], None
                 if homes is not None:
                     pairs_of(homes, mine, out)
                 if home[a]:
@@ -382,18 +406,22 @@ def leaves(regions: DataFrame, known: DataFrame, share: int) -> DataFrame:
                     out[0].append(min(x, xs[j]))
                     out[1].append(max(x, xs[j]))
 
-    rows = regions.join(known.select("x", "n", "folds"), "x").withColumn("visitor", ~F.col("home"))
-    rows = rows.repartition(*REGION).sortWithinPartitions(*REGION, "visitor", "x").select(*REGION, "home", "x", "ball", "n", "folds")
+    # A region's visitors are dealt over blocks, each of which its homes enter.
+    blocks = regions.groupBy("r").agg(F.ceil(F.greatest(F.count_if(~F.col("home")), F.lit(1)) / VISITORS).alias("blocks"))
+    k = F.when(F.col("home"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("x"), F.col("blocks"))))
+    spread = regions.join(blocks, "r").withColumn("k", F.explode(k)).select(F.xxhash64("r", "k").alias("r"), "x", "home", "ball")
+    rows = spread.join(known.select("x", "n", "folds"), "x").withColumn("visitor", ~F.col("home"))
+    rows = rows.repartition("r").sortWithinPartitions("r", "visitor", "x").select("r", "home", "x", "ball", "n", "folds")
     return rows.mapInArrow(run, "x binary, p binary").distinct()
 
 
 def dealt(regions: DataFrame, homes: DataFrame, leaf: int) -> DataFrame:
     """Regions cut into blocks of about `leaf` homes, all else of the region visiting each."""
-    sized = regions.join(homes, REGION)
+    sized = regions.join(homes, "r")
     blocks = F.ceil(F.col("homes") / leaf)
     all_ = sized.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     home = F.col("home") & (F.pmod(F.xxhash64("x"), blocks) == F.col("k"))
-    return all_.select("r1", "r2", F.xxhash64("r3", "k").alias("r3"), "x", home.alias("home"), "ball")
+    return all_.select(F.xxhash64("r", "k").alias("r"), "x", home.alias("home"), "ball")
 
 
 def connected(found: DataFrame) -> DataFrame:
@@ -407,26 +435,28 @@ def connected(found: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, known: DataFrame, regions: DataFrame, share: int = SHARE, leaf: int = LEAF, pivots: int = PIVOTS, rounds: int = ROUNDS) -> DataFrame:
     """x, p: links between distinct sets that connect the same sets as all pairs within the radius do."""
-    regions = regions.withColumns({"home": F.lit(True), "ball": F.lit(None).cast("long")})
-    found, regions = divided(regions, known, rows, 1, share)
+    far = written(distances(regions, known, share), "jaccard-far")
+    found, regions = windowed(regions.withColumns({"home": F.lit(True), "ball": F.lit(None).cast("long")}), far, rows, share)
     small = None
     for k in range(rounds + 1):
         if regions.isEmpty():
             break
         # Documents that links connect already are one ball wherever they are.
         balls = connected(found).withColumnRenamed("root", "ball")
-        regions = written(regions.drop("ball").join(balls, "x", "left").select(*REGION, "x", "home", "ball"), "jaccard-balls")
-        homes = unsettled(regions)
-        fit = regions.join(homes.filter(F.col("homes") <= leaf), REGION, "left_semi")
+        regions = written(regions.drop("ball").join(balls, "x", "left").select("r", "x", "home", "ball"), "jaccard-balls")
+        homes = written(unsettled(regions), "jaccard-homes")
+        regions = written(turned(regions, homes), "jaccard-turned")
+        homes = homes.drop("top")
+        fit = regions.join(homes.filter(F.col("homes") <= leaf), "r", "left_semi")
         small = fit if small is None else small.unionByName(fit)
         large = homes.filter(F.col("homes") > leaf)
         if large.isEmpty():
             break
-        regions = regions.join(large, REGION, "left_semi")
+        regions = regions.join(large, "r", "left_semi")
         if k == rounds:
             small = small.unionByName(dealt(regions, large, leaf))
             break
-        more, regions = divided(regions, known, rows, pivots, share)
+        more, regions = parted(regions, known, rows, pivots, share)
         found = found.union(more)
     pairs = None if small is None else written(leaves(small, known, share), "jaccard-pairs")
     return found if pairs is None or pairs.isEmpty() else found.union(linked(pairs, rows, share))
