@@ -5,6 +5,7 @@ import io
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -643,3 +644,32 @@ def test_query_covers_its_table(spark, name):
     got = QUERIES[name](spark, SF).count()
     assert got == (min(10, n - 1) * duckdb.sql(f"SELECT count(*) FROM '{SF}/embeddings.parquet' WHERE vec_id % 100 = 0").fetchall()[0][0] if name == "op9_topk" else got if name == "op2_mixing" else n)
     assert got >= n or name == "op9_topk"
+
+
+def test_fit_memory_follows_four_bytes_an_ngram():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=10)) for _ in range(40_000)]
+    ids, sizes = toxicity.all_grams(words)
+    want, of = toxicity.grams(words)
+    assert (ids == want).all() and (sizes == of).all()
+    assert [len(x) for x in toxicity.all_grams([])] == [0, 0]
+    bags = [Counter(words[i::8]) for i in range(8)]
+    tracemalloc.start()
+    toxicity.fit(bags, np.array([0, 1] * 4), np.ones(8), epochs=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) > 1_300_000 and peak < 60e6  # 1.4 million n-grams
+
+
+def test_bpe_decodes_bounded_blocks(monkeypatch):
+    loaded, load = [], bpe.Codec._load
+    monkeypatch.setattr(bpe.Codec, "_load", lambda self, name, columns: loaded.append((name, len(next(iter(columns.values()))))) or load(self, name, columns))
+    with bpe.codec() as one:
+        ids = one.encode(["ab cd " * 5])[0]
+        rows = [np.tile(ids, 40_000), np.zeros(0, np.uint32), ids]
+        out = [b""] * len(rows)
+        for d, part in one.decode(rows):
+            out[d] += part
+        assert out == [b"ab cd " * 5 * 40_000, b"", b"ab cd " * 5]
+    assert sum(len(x) for x in rows) == sum(n for name, n in loaded if name == "given_ids")
+    assert 1 << 18 >= max(n for name, n in loaded if name == "given_ids") and sum(name == "given_ids" for name, _ in loaded) > 1

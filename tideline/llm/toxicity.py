@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import arrow_batches, fresh, table
 
 TOKEN = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 17
@@ -31,6 +31,8 @@ SCALE = 50
 GRAMS = (3, 4, 5, 6)
 LEAST_DOCS = 4
 CACHE = 200_000
+#: Words of a vocabulary whose n-grams are made together.
+BLOCK = 4096
 THRESHOLD = 0.3
 _BASE = np.uint64(1_000_003)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -67,6 +69,16 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
 
+def all_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """grams() of any number of words, BLOCK at a time: 4 bytes an n-gram stay, where one call works with some 70."""
+    ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), BLOCK):
+        found, n = grams(words[at : at + BLOCK])
+        ids.append(found.astype(np.int32))
+        sizes.append(n)
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 @dataclass
 class Model:
     """Bucket vectors (BUCKETS x DIM), softmax weights (DIM x 2) and biases (2)."""
@@ -90,13 +102,14 @@ def fit(bags: Iterable[Counter], labels: np.ndarray, weights: np.ndarray, epochs
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
     rows = [(np.fromiter((vocab.setdefault(w, len(vocab)) for w in b), np.int64, len(b)), np.fromiter(b.values(), np.float32, len(b))) for b in bags]
-    flat, all_sizes = grams(list(vocab))
+    flat, all_sizes = all_grams(list(vocab))
+    vocab.clear()
     starts = np.concatenate(([0], np.cumsum(all_sizes)))
     texts = np.zeros(BUCKETS, np.int64)
     for ids, _ in rows:
         if len(ids):
             texts[np.unique(np.concatenate([flat[starts[i] : starts[i + 1]] for i in ids]))] += 1
-    common = texts[flat] >= LEAST_DOCS
+    common = (texts >= LEAST_DOCS)[flat]
     sizes = np.add.reduceat(np.append(common, False).astype(np.int64), starts[:-1]) if len(all_sizes) else all_sizes
     flat, starts = flat[common], np.concatenate(([0], np.cumsum(sizes)))
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -209,7 +222,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model |
 
     rows = sample(docs, labels, per_class)
     bags = rows.mapInPandas(counted, "doc_id long, toxic int, of long, words array<string>, times array<long>")
-    found = bags.repartition(1).mapInPandas(fitted, "vectors binary, weights binary, bias binary").collect()  # one row, of fixed size
+    with arrow_batches(docs.sparkSession, 500, 4):  # whole texts go in, and lists of their words between the two
+        found = bags.repartition(1).mapInPandas(fitted, "vectors binary, weights binary, bias binary").collect()  # one row, of fixed size
     if not found:
         return None
     v, w, b = (np.frombuffer(x, np.float32) for x in found[0])
