@@ -89,6 +89,14 @@ def test_simhash_edges(spark, edge, nothing):
     assert kept.columns == edge.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7]
 
 
+def test_simhash_broadcasts_nothing_that_was_exploded(spark):
+    texts = spark.range(60).selectExpr("id AS doc_id", "concat('a b c d e ', id % 20) AS text")
+    fps = simhash.fingerprints(texts).select("fp").distinct()
+    salted = simhash._join_salted(fps.selectExpr("fp AS a", "fp + 1 AS b"), fps.selectExpr("fp AS a", "fp AS m"))
+    for found in (simhash.links(fps), simhash.links(fps, 1), salted, simhash.near_duplicates(texts)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_keeps_one_of_each_component(spark):
     rng = random.Random(12)
     a, b, c, d, e = (" ".join(f"w{rng.randrange(999)}" for _ in range(80)) for _ in range(5))

@@ -141,8 +141,9 @@ def mixed(docs: DataFrame, target_entropy: float = 0.97, max_repeats: float = 2.
     if found.count() <= BROADCAST_SOURCES:
         joined = keyed.join(F.broadcast(found), "__source")
     else:
+        # Spark takes rows after an explode to be as many as before: the hint keeps them from a broadcast.
         spread = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        joined = keyed.withColumn("__salt", F.pmod("__block", F.lit(64))).join(spread, ["__source", "__salt"]).drop("__salt")
+        joined = keyed.withColumn("__salt", F.pmod("__block", F.lit(64))).join(spread.hint("merge"), ["__source", "__salt"]).drop("__salt")
     part = _place(seed, F.col("__source"), F.col("full"), F.col("__block")) <= F.col("last")
     times = F.col("full") + part.cast("int")
     out = joined.withColumn("mix_pass", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1))))

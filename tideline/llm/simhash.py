@@ -87,29 +87,34 @@ def cells_near(cell: Column) -> Column:
     return F.array_compact(F.array(cell, *up, *down))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df with the hint that its joins shuffle it: Spark takes rows after an explode to be as many as before, and would broadcast what it sizes so too low."""
+    return df.hint("merge")
+
+
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that join the same fingerprints as all pairs at 2 or fewer bits do."""
     filed = fps.select("fp", F.explode(cells_near(bit_counts(F.col("fp")))).alias("cell"))
     # A cell that one fingerprint alone is filed under joins nothing. Members are gathered up to one over the crowd only.
     sizes = filed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(filed.join(sizes, "cell"), "simhash-met")
+    met = written(filed.join(shuffled(sizes), "cell"), "simhash-met")
     small = met.filter(F.col("n") <= crowd).select("cell", "fp")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    paired = small.select("cell", F.col("fp").alias("a")).join(small.select("cell", F.col("fp").alias("b")), "cell").filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    paired = small.select("cell", F.col("fp").alias("a")).join(shuffled(small.select("cell", F.col("fp").alias("b"))), "cell").filter((F.col("a") < F.col("b")) & near).select("a", "b")
     # Crowded cells: two fingerprints at most 2 bits apart share a fingerprint at most 1 bit from both, and any two that
     # share one are at most 2 bits apart. So each shared one links its members to the least of them.
     crowded = met.filter(F.col("n") > crowd).select("fp").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)])
     by_flip = crowded.select("fp", F.explode(flips).alias("mid"))
     least = by_flip.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    chained = by_flip.join(least, "mid").filter("a < fp").select("a", F.col("fp").alias("b"))
+    chained = by_flip.join(shuffled(least), "mid").filter("a < fp").select("a", F.col("fp").alias("b"))
     return paired.union(chained).distinct()
 
 
 def _join_salted(edges: DataFrame, least: DataFrame, salts: int = 16) -> DataFrame:
     """edges(a, b) with m of least(a, m); a node with very many edges is dealt over the salts."""
     spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return edges.withColumn("salt", F.pmod("b", F.lit(salts)).cast("int")).join(spread, ["a", "salt"])
+    return edges.withColumn("salt", F.pmod("b", F.lit(salts)).cast("int")).join(shuffled(spread), ["a", "salt"])
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -143,7 +148,7 @@ def rooted(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """distinct(fp, first) of one row a fingerprint, with root: the least fingerprint of its component."""
     distinct = written(distinct, "simhash-fps")
     roots = components(links(distinct.select("fp"), crowd))
-    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(shuffled(roots), distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -158,8 +163,8 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     named = rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), crowd)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     # By fingerprint: copies may be a third of all rows, so a name goes to 16 salts and the rows to one of them each.
-    names = named.join(least, "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(16)).cast("int")).join(names, ["fp", "salt"])
+    names = named.join(shuffled(least), "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(16)).cast("int")).join(shuffled(names), ["fp", "salt"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
