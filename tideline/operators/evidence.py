@@ -37,9 +37,11 @@ LEVELS = 10
 # takes the sibling of its node i.
 _PAIRED = "transform(sequence(0, (size(s.a) + 1) div 2 - 1), j -> sha2(concat(s.a[2 * j], coalesce(get(s.a, 2 * j + 1), s.p)), 256))"
 _FOLD = f"aggregate(sequence(1, levels), named_struct('a', hs, 'p', pad), (s, l) -> named_struct('a', {_PAIRED}, 'p', sha2(concat(s.p, s.p), 256)))"
-_PATH = (
-    f"aggregate(sequence(1, levels), named_struct('a', hs, 'p', pad, 'i', at, 'path', CAST(array() AS ARRAY<STRING>)), "
-    f"(s, l) -> named_struct('a', {_PAIRED}, 'p', sha2(concat(s.p, s.p), 256), 'i', s.i div 2, 'path', concat(s.path, array(coalesce(get(s.a, CAST(s.i ^ 1 AS INT)), s.p))))).path"
+# All levels of a block at once, then for each wanted node x the siblings on its way up and those of the block itself.
+_PATHS = (
+    f"aggregate(sequence(1, levels), named_struct('a', hs, 'p', pad, 'all', array(hs), 'ps', array(pad)), "
+    f"(s, l) -> named_struct('a', {_PAIRED}, 'p', sha2(concat(s.p, s.p), 256), 'all', concat(s.all, array({_PAIRED})), 'ps', concat(s.ps, array(sha2(concat(s.p, s.p), 256)))), "
+    "s -> transform(wanted, x -> named_struct('x', x, 'path', concat(transform(sequence(0, levels - 1), l -> coalesce(get(s.all[l], CAST(shiftright(x.at, l) ^ 1 AS INT)), s.ps[l])), up))))"
 )
 
 
@@ -75,13 +77,22 @@ def merkle_roots(leaves: DataFrame, batch: str, order: str, levels: int = LEVELS
 def inclusion_proofs(leaves: DataFrame, wanted: DataFrame, batch: str, order: str, levels: int = LEVELS) -> DataFrame:
     """batch, order, i (from 0), leaf, path and merkle_root of the leaves that wanted(batch, order) names: the siblings from the leaf up."""
     rows, rounds, roots = _blocks(leaves, batch, order, levels)
-    found = rows.join(wanted.select(batch, order).distinct(), [batch, order], "left_semi").select(batch, order, "i", F.col("h").alias("leaf"), F.col("i").alias("__i"), F.array().cast("array<string>").alias("path"))
-    for blocks in rounds:
-        mine = blocks.select(F.col(batch).alias("__b"), "block", "hs", "pad", "levels")
-        met = found.join(mine, (F.col(batch) == F.col("__b")) & (F.shiftright("__i", levels) == F.col("block")), "left").withColumn("at", F.col("__i").bitwiseAND(F.lit((1 << levels) - 1)))
-        further = F.coalesce(F.expr(_PATH), F.array().cast("array<string>"))
-        found = met.select(batch, order, "i", "leaf", F.shiftright("__i", levels).alias("__i"), F.concat("path", further).alias("path"))
-    return found.drop("__i").join(roots.select(batch, "merkle_root"), batch)
+    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << levels) - 1)).cast("int")
+    found = rows.join(wanted.select(batch, order).distinct(), [batch, order], "left_semi").withColumn("block", F.shiftright("i", levels))
+    found = found.groupBy(batch, "block").agg(F.collect_list(F.struct(low("i").alias("at"), order, "i", F.col("h").alias("leaf"))).alias("wanted"))
+    # From the root down: a block's nodes get their siblings in it and then its own, so a block is folded once, not once a leaf.
+    above = None
+    for k, blocks in reversed(list(enumerate(rounds))):
+        mine = blocks.select(batch, "block", "hs", "pad", "levels")
+        if k:
+            mine = mine.withColumn("wanted", F.transform(F.sequence(F.lit(0), F.size("hs") - 1), lambda j: F.struct(j.alias("at"))))
+        else:
+            mine = mine.join(found.hint("merge"), [batch, "block"])
+        up = F.array().cast("array<string>")
+        mine = mine.withColumn("up", up) if above is None else mine.join(above.hint("merge"), [batch, "block"], "left").withColumn("up", F.coalesce("up", up))
+        met = mine.select(batch, "block", F.explode(F.expr(_PATHS)).alias("f"))
+        above = met.select(batch, (F.shiftleft("block", levels) + F.col("f.x.at")).alias("block"), F.col("f.path").alias("up"))
+    return met.select(batch, f"f.x.{order}", "f.x.i", "f.x.leaf", "f.path").join(roots.select(batch, "merkle_root"), batch)
 
 
 def proven(leaf: str = "leaf", i: str = "i", path: str = "path") -> Column:
